@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ._stage import table
+from .decontamination import contaminated
+from .packing import pack
 from .quality_rules import quality_rules
 from .token_counts import token_counts
 
@@ -19,6 +21,17 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_token_counts)}
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    path = public_tokenizers.path
+    return pack(table(spark, sf_dir, "documents"), path("byte_bpe_50k.json"), ranks_path=path("byte_bpe_50k.tiktoken"), pattern=public_tokenizers.PATTERN)
+
+
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_token_counts, op3_packing, op4_decontamination)}
 
 ORACLE_SQL: dict[str, str] = {}
