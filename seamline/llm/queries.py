@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ._stage import table
 from .decontamination import contaminated
+from .ngram_join import jaccard_components
 from .packing import pack
 from .quality_rules import quality_rules
 from .token_counts import token_counts
@@ -32,6 +33,10 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_token_counts, op3_packing, op4_decontamination)}
+def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_token_counts, op3_packing, op4_decontamination, op8_ngram_jaccard_join)}
 
 ORACLE_SQL: dict[str, str] = {}
