@@ -6,9 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ._stage import table
 from .decontamination import contaminated
+from .language_id import identify
 from .ngram_join import jaccard_components
 from .packing import pack
+from .quality_classifier import classify
 from .quality_rules import quality_rules
+from .secrets import scan
 from .token_counts import token_counts
 
 
@@ -37,6 +40,18 @@ def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_token_counts, op3_packing, op4_decontamination, op8_ngram_jaccard_join)}
+def op5_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan(table(spark, sf_dir, "documents"))
+
+
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify(table(spark, sf_dir, "documents"))
+
+
+def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_token_counts, op3_packing, op4_decontamination, op5_secret_scans, op6_language_id, op8_ngram_jaccard_join, op10_quality_classifier)}
 
 ORACLE_SQL: dict[str, str] = {}
