@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ._stage import table
 from .decontamination import contaminated
+from .html_extraction import extract_text
 from .language_id import identify
 from .ngram_join import jaccard_components
 from .packing import pack
@@ -13,6 +14,7 @@ from .quality_classifier import classify
 from .quality_rules import quality_rules
 from .secrets import scan
 from .token_counts import token_counts
+from .url_filter import judge_urls
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -48,10 +50,18 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(table(spark, sf_dir, "documents"))
 
 
+def op7_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge_urls(table(spark, sf_dir, "pages"))
+
+
+def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_text(table(spark, sf_dir, "pages"))
+
+
 def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_token_counts, op3_packing, op4_decontamination, op5_secret_scans, op6_language_id, op8_ngram_jaccard_join, op10_quality_classifier)}
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_token_counts, op3_packing, op4_decontamination, op5_secret_scans, op6_language_id, op7_url_filters, op8_ngram_jaccard_join, op9_html_extraction, op10_quality_classifier)}
 
 ORACLE_SQL: dict[str, str] = {}

@@ -78,20 +78,10 @@ def _joined(spans: Column) -> Column:
     return F.array_join(F.transform(F.array_sort(spans), lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
 
 
-def scan(docs: DataFrame, *, repository: str = "doc_id", owner: str = "source", max_owners: int = 2) -> DataFrame:
-    """Find secrets in every whole text (columns ``doc_id, text`` and those named).
-
-    ``repository`` and ``owner``: the columns by which a value's spread is counted. ``max_owners``:
-    with up to so many distinct owners a value is live-looking, with more a copied example.
-
-    A null text is empty. A null repository or owner counts as one of its own; repeated rows
-    are scanned one by one, and those that share a doc_id share the verdicts on their values.
-    An empty table gives no rows. Returns doc_id, n_assign, n_access, n_hex (long), base_sha256,
-    spans (string), n_live, n_example, n_added (long), live_spans (string).
-    """
+def _found(docs: DataFrame, repository: str, owner: str) -> DataFrame:
+    """The spans of every text: doc_id, repository, owner, base, further."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    names = dict.fromkeys(["doc_id", "text", repository, owner])
-    rows = needed(docs, *names).select(
+    rows = needed(docs, *dict.fromkeys(["doc_id", "text", repository, owner])).select(
         F.col("doc_id").cast("long").alias("doc_id"),
         F.coalesce(F.col(repository).cast("string"), F.lit("")).alias("repository"),
         F.coalesce(F.col(owner).cast("string"), F.lit("")).alias("owner"),
@@ -100,21 +90,69 @@ def scan(docs: DataFrame, *, repository: str = "doc_id", owner: str = "source",
     )
     # tokens that overlap a base span are no further finds
     apart = F.filter("further", lambda f: ~F.exists("base", lambda b: (b["start"] < f["end"]) & (f["start"] < b["end"])))
-    rows = staged(rows.withColumn("further", F.coalesce(apart, F.array().cast(f"array<{SPAN}>"))), "spans")
+    return rows.withColumn("further", F.coalesce(apart, F.array().cast(f"array<{SPAN}>")))
 
-    held = rows.filter((F.size("base") > 0) | (F.size("further") > 0))
+
+def _verdicts(held: DataFrame, max_owners: int) -> DataFrame:
+    """For each doc_id the hashes of its live-looking values, by the spread of every value."""
     each = held.select("doc_id", "repository", "owner", F.explode(F.array_distinct(F.transform(F.concat("base", "further"), lambda s: F.xxhash64(s["value"])))).alias("hash"))
     spread = (
         each.groupBy("hash", "owner", "repository").agg(F.lit(1).alias("one"))
         .groupBy("hash", "owner").agg(F.sum("one").alias("repositories"))
         .groupBy("hash").agg(F.count("*").alias("owners"), F.sum("repositories").alias("repositories"))
     )
-    verdicts = (
+    return (
         each.select("doc_id", "hash").distinct().join(spread.withColumn("live", F.col("owners") <= max_owners), "hash")
         .groupBy("doc_id").agg(F.collect_set(F.when(F.col("live"), F.col("hash"))).alias("live"))
     )
-    live = F.coalesce("live", F.array().cast("array<bigint>"))
-    with_live = held.select("doc_id", "base", "further").join(verdicts, "doc_id", "left").withColumn("live", live)
+
+
+def mask(docs: DataFrame, *, repository: str = "doc_id", owner: str = "source", max_owners: int = 2, put: str = "[secret]") -> DataFrame:
+    """The documents with every live-looking value replaced by ``put``, in all columns that they
+    have; ``n_chars``, if there, follows the new text. Widely copied examples stay.
+
+    Spans and verdicts are those of :func:`scan`. Rows without a live-looking value, null texts
+    and null doc_ids among them, are returned as they are.
+    """
+    rows = staged(_found(docs, repository, owner).filter((F.size("base") > 0) | (F.size("further") > 0)), "spans")
+    live = staged(_verdicts(rows, max_owners).filter(F.size("live") > 0).select(F.col("doc_id").alias("__live_of"), F.col("live").alias("__live")), "live")
+    text = F.col("text")
+    may = F.coalesce(text.rlike("|".join(f"(?:{x})" for x in (*QUICK, FURTHER_QUICK))), F.lit(False))
+
+    def without(spans: Column) -> Column:
+        def cut(state: Column, s: Column) -> Column:
+            value_start = s["end"] - F.length(s["value"])
+            ahead = F.concat(state["out"], F.substring(text, state["at"] + 1, value_start - state["at"]), F.lit(put))
+            fits = value_start >= state["at"]
+            return F.struct(F.when(fits, s["end"]).otherwise(F.greatest(state["at"], s["end"])).alias("at"), F.when(fits, ahead).otherwise(state["out"]).alias("out"))
+
+        start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+        return F.aggregate(F.array_sort(spans), start, cut, lambda s: F.concat(s["out"], F.substring(text, s["at"] + 1, F.length(text))))
+
+    found = F.concat(_spans(text), F.coalesce(_further(text), F.array().cast(f"array<{SPAN}>")))
+    hit = F.filter(found, lambda s: F.array_contains("__live", F.xxhash64(s["value"])))
+    joined = docs.filter(may).join(live, F.col("doc_id").cast("long") == F.col("__live_of"), "left")
+    masked = joined.withColumn("text", F.when(F.col("__live").isNotNull(), without(hit)).otherwise(text))
+    if "n_chars" in docs.columns:
+        masked = masked.withColumn("n_chars", F.when(F.col("__live").isNotNull(), F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+    return docs.filter(~may).unionByName(masked.select(*[F.col(f"`{c}`") for c in docs.columns]))
+
+
+def scan(docs: DataFrame, *, repository: str = "doc_id", owner: str = "source", max_owners: int = 2) -> DataFrame:
+    """Find secrets in every whole text (columns ``doc_id, text`` and those named).
+
+    ``repository`` and ``owner``: the columns by which a value's spread is counted. ``max_owners``:
+    with up to so many distinct owners a value is live-looking, with more a copied example.
+
+    A null text is empty. A null repository or owner counts as one of its own; repeated rows
+    are scanned one by one, and those that share a doc_id share the verdicts on their values.
+    An empty table gives no rows. Returns doc_id, n_assign, n_access, n_hex (long), base_sha256,
+    spans (string), n_live, n_example, n_added (long), live_spans (string).
+    """
+    rows = staged(_found(docs, repository, owner), "spans")
+    held = rows.filter((F.size("base") > 0) | (F.size("further") > 0))
+    with_live = held.select("doc_id", "base", "further").join(_verdicts(held, max_owners), "doc_id", "left")
+    with_live = with_live.withColumn("live", F.coalesce("live", F.array().cast("array<bigint>")))
 
     is_live = lambda s: F.array_contains("live", F.xxhash64(s["value"]))
     judged = with_live.withColumns({"added": F.filter("further", is_live), "live_base": F.filter("base", is_live)})
