@@ -11,12 +11,12 @@ each language. That bounds what is broadcast.
 
 from __future__ import annotations
 
-import math
 import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -62,37 +62,47 @@ def fit(docs: DataFrame, *, max_rows: int = 20_000, max_words: int = 30_000, max
     return ranked.filter(F.col("rank") <= F.when(F.col("length") == 0, max_words).otherwise(max_grams)).drop("rank")
 
 
-def _tables(rows: list) -> tuple[list[str], dict[int, dict[str, np.ndarray]]]:
-    langs = sorted({r["lang"] for r in rows})
-    at = {x: k for k, x in enumerate(langs)}
-    floor: dict[int, np.ndarray] = {}
-    for r in rows:
-        floor.setdefault(r["length"], np.full(len(langs), 1.0))[at[r["lang"]]] = r["total"]
-    floor = {k: np.log(0.5) - np.log(v + 1) for k, v in floor.items()}
-    tables: dict[int, dict[str, np.ndarray]] = {k: {} for k in (0, *LENGTHS)}
-    for r in rows:
-        own = tables[r["length"]]
-        if r["item"] not in own:
-            own[r["item"]] = floor[r["length"]].copy()
-        own[r["item"]][at[r["lang"]]] = math.log(r["n"]) - math.log(r["total"] + 1)
+Tables = dict[int, tuple[pa.Array, np.ndarray]]
+
+
+def _tables(counts: pa.Table) -> tuple[list[str], Tables]:
+    """For each length the items and the matrix of their log frequencies by language; an item
+    that a language lacks has half a count there."""
+    counts = counts.combine_chunks()
+    langs = sorted(pc.unique(counts["lang"]).to_pylist())
+    column = pc.index_in(counts["lang"], pa.array(langs, pa.string())).to_numpy()
+    length, n, total = (counts[k].to_numpy().astype(np.float64) for k in ("length", "n", "total"))
+    tables: Tables = {}
+    for k in (0, *LENGTHS):
+        own = np.flatnonzero(length == k)
+        coded = counts["item"].take(pa.array(own)).combine_chunks().dictionary_encode()
+        row, at = coded.indices.to_numpy(), column[own]
+        floor = np.ones(len(langs))
+        floor[at] = total[own]
+        matrix = np.tile(np.log(0.5) - np.log(floor + 1), (len(coded.dictionary), 1))
+        matrix[row, at] = np.log(n[own]) - np.log(total[own] + 1)
+        tables[k] = coded.dictionary, matrix.astype(np.float32)
     return langs, tables
 
 
 class _Scores(dict):
     """Rows of the score matrix by word; unseen words are scored when they first come."""
 
-    def __init__(self, tables: dict[int, dict[str, np.ndarray]], width: int):
+    def __init__(self, tables: dict[int, tuple[dict[str, int], np.ndarray]], width: int):
         super().__init__()
         self.tables, self.rows, self.none = tables, [], np.zeros(width)
 
     def __missing__(self, word: str) -> int:
-        found = self.tables[0].get(word)
+        found = None
+        items, matrix = self.tables[0]
+        if word in items:
+            found = matrix[items[word]]
         marked = f"<{word}>"
         for k in LENGTHS if found is None else ():
-            own = self.tables[k]
-            known = [own[g] for i in range(max(1, len(marked) - k + 1)) if (g := marked[i : i + k]) in own]
+            items, matrix = self.tables[k]
+            known = [items[g] for i in range(max(1, len(marked) - k + 1)) if (g := marked[i : i + k]) in items]
             if known:
-                found = np.mean(known, axis=0)
+                found = matrix[known].mean(axis=0)
                 break
         self[word] = len(self.rows)
         self.rows.append(self.none if found is None else found)
@@ -101,11 +111,12 @@ class _Scores(dict):
 
 def predict(docs: DataFrame, model: DataFrame) -> DataFrame:
     """The language of every whole text, with the posterior of the mean log score of up to 100 words."""
-    langs, tables = _tables(model.collect())  # bounded by fit()
+    langs, tables = _tables(model.toArrow())  # bounded by fit()
     sent = docs.sparkSession.sparkContext.broadcast((langs, tables))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        langs, tables = sent.value
+        langs, packed = sent.value
+        tables = {k: (dict(zip(items.to_pylist(), range(len(items)), strict=True)), matrix) for k, (items, matrix) in packed.items()}
         scores = _Scores(tables, len(langs))
         for batch in batches:
             best, sure = [], []
