@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._stage import needed, staged
+from .decontamination import let
 
 LENGTHS = (4, 3, 2, 1)
 REMEMBERED = 300_000
@@ -48,9 +49,9 @@ def fit(docs: DataFrame, *, max_rows: int = 20_000, max_words: int = 30_000, max
         .groupBy("lang", "item").agg(F.count("*").alias("n"))
     )
     words = staged(words, "words")
-    marked = F.concat(F.lit("<"), "item", F.lit(">"))
+    chars = F.split(F.concat(F.lit("<"), "item", F.lit(">")), "")
     grams = [
-        words.select("lang", F.lit(k).alias("length"), F.explode(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(marked) - (k - 1))), lambda i, k=k: F.substring(marked, i, F.lit(k)))).alias("item"), "n")
+        words.select("lang", F.lit(k).alias("length"), F.explode(let(chars, lambda c, k=k: F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(c) - (k - 1))), lambda i: F.array_join(F.slice(c, i, k), "")))).alias("item"), "n")
         .groupBy("lang", "length", "item").agg(F.sum("n").alias("n"))
         for k in LENGTHS
     ]
