@@ -32,11 +32,10 @@ from ._words import U64, mix, shingle_sets, slices
 
 BITS, PARTS = 20, 16
 BLOCK, SHARD = 2_000_000, 2_000_000
-BLOOM_BITS = 24
 PROFILE_SCHEMA = "doc_id long, n long, key long, part int, counts binary"
 SHARD_SCHEMA = "shard int, passing boolean, payload binary"
 POSTING_SCHEMA = "token long, key long, n long, pos int"
-SET_SCHEMA = "key long, n long, shingles binary"
+SET_SCHEMA = "node long, n long, shingles binary"
 _OWNER = np.dtype([("key", "<i8"), ("n", "<i8")])
 
 
@@ -195,44 +194,80 @@ def shared_postings(packed: DataFrame) -> DataFrame:
     return met.unionByName(packed.filter("passing").select("shard", "payload").mapInArrow(passing, POSTING_SCHEMA)).dropDuplicates(["token", "key", "n"])
 
 
-def class_sets(docs: DataFrame, keys: DataFrame, size: int) -> DataFrame:
-    """The sets of the classes in ``keys``. A bit table of fixed size, broadcast, keeps most
-    other texts from being sent; what passes by chance, the join drops."""
-    spot = F.col("key").bitwiseAND((1 << BLOOM_BITS) - 1)
-    words = keys.groupBy(F.shiftrightunsigned(spot, 5).alias("at")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(key & {31} as int))")).alias("bits"))
-    table = np.zeros(1 << (BLOOM_BITS - 5), np.uint32)
-    got = words.toArrow()  # at most 2**19 rows
+def bit_table(nodes: DataFrame, bits: int) -> np.ndarray:
+    """A table of ``2**bits`` bits with those of the nodes set."""
+    spot = F.xxhash64("node").bitwiseAND((1 << bits) - 1)
+    words = nodes.groupBy(F.shiftrightunsigned(spot, 5).cast("int").alias("at")).agg(F.bit_or(F.pow(F.lit(2.0), spot.bitwiseAND(31)).cast("long")).alias("bits"))
+    table = np.zeros(1 << (bits - 5), np.uint32)
+    got = words.toArrow()  # at most 2**(bits - 5) rows
     table[got.column("at").to_numpy()] = got.column("bits").to_numpy().astype(np.uint32)
-    sent = docs.sparkSession.sparkContext.broadcast(table)
+    return table
+
+
+def marked(df: DataFrame, node: str, nodes: DataFrame, n: int) -> DataFrame:
+    """Add ``wanted``: whether the row's node is among the ``n`` nodes, by a broadcast bit table
+    of 8 bits a node, 32 MB at most; a few others pass by chance."""
+    bits = min(28, max(16, (8 * n).bit_length()))
+    sent = df.sparkSession.sparkContext.broadcast(bit_table(nodes, bits))
+    names = [*df.columns, "wanted"]
+    spot = df.withColumn("__spot", F.xxhash64(F.col(node)).bitwiseAND((1 << bits) - 1))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits, done = sent.value, set()
+        table = sent.value
         for batch in batches:
+            at = batch.column(batch.num_columns - 1).to_numpy()
+            hit = (table[at >> 5] >> (at & 31).astype(np.uint32) & 1).astype(bool)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(hit)], names=names)
+
+    return spot.mapInArrow(run, ", ".join(f"{k} {v}" for k, v in df.dtypes) + ", wanted boolean")
+
+
+def encode_set(shingles: np.ndarray) -> bytes:
+    """Sorted hashes, cut to 48 bits, as byte planes of their differences."""
+    short = np.diff(shingles >> U64(16), prepend=U64(0))
+    return zlib.compress(np.ascontiguousarray(short.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].T).tobytes(), 1)
+
+
+def decode_set(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(zlib.decompress(data), np.uint8).reshape(6, -1)
+    wide = np.zeros((planes.shape[1], 8), np.uint8)
+    wide[:, :6] = planes.T
+    return np.unique(np.cumsum(wide.view("<u8").reshape(-1), dtype=U64))
+
+
+def class_sets(docs: DataFrame, nodes: DataFrame, n: int, size: int) -> DataFrame:
+    """The sets of the classes' nodes, written by the task that has the node's text: nothing is
+    shuffled. A node that several texts have gets the sets of all."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        done: set[tuple[int, int]] = set()
+        for batch in batches:
+            batch = batch.filter(batch.column(2))
+            ids = batch.column(0).to_pylist()
             rows: list[tuple[int, int, bytes]] = []
             for part in slices(batch.column(1), lower=True):
-                for own in shingle_sets(part, size):
-                    key = _digest(own)
-                    if len(own) and bits[key >> 5 & (1 << BLOOM_BITS - 5) - 1] >> (key & 31) & 1 and (key, len(own)) not in done:
-                        done.add((key, len(own)))
-                        rows.append((key, len(own), own.tobytes()))
+                for node, own in zip(ids[part.first : part.last], shingle_sets(part, size), strict=True):
+                    key = node, _digest(own)
+                    if len(own) and key not in done:
+                        done.add(key)
+                        rows.append((node, len(own), encode_set(own)))
                 if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["key", "n", "shingles"])
+                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["node", "n", "shingles"])
                     rows = []
 
-    return docs.mapInArrow(run, SET_SCHEMA).join(keys, ["key", "n"]).groupBy("node", "n").agg(F.any_value("shingles").alias("shingles"))
+    return marked(docs.select("doc_id", "text"), "doc_id", nodes, n).mapInArrow(run, SET_SCHEMA)
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sets reach the similarity."""
+    """The pairs (a, b) whose sets reach the similarity. Only sets that a pair needs are sent."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        edges = np.arange(1, 16, dtype=U64) << U64(60)
+        edges = np.arange(1, 16, dtype=U64) << U64(44)
         for batch in batches:
             keep = []
-            for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                p, q = np.frombuffer(x.as_buffer(), U64), np.frombuffer(y.as_buffer(), U64)
+            for x, y, n, m in zip(*(batch.column(k).to_pylist() for k in range(2, 6)), strict=True):
+                p, q, both = decode_set(x), decode_set(y), n + m
                 bound = np.minimum(np.diff(np.searchsorted(p, edges), prepend=0, append=len(p)), np.diff(np.searchsorted(q, edges), prepend=0, append=len(q))).sum()
-                both = len(p) + len(q)
                 # shared * 100 >= percent * (both - shared)
                 if bound * (100 + percent) < percent * both:
                     keep.append(False)
@@ -241,9 +276,11 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 keep.append(shared * (100 + percent) >= percent * both)
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    one = sets.select(F.col("node").alias("a"), F.col("shingles").alias("p"))
-    two = sets.select(F.col("node").alias("b"), F.col("shingles").alias("q"))
-    return pairs.join(one, "a").join(two, "b").select("a", "b", "p", "q").mapInArrow(run, "a long, b long")
+    nodes = staged(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "wanted")
+    sets = marked(sets, "node", nodes, nodes.count()).filter("wanted")
+    one = sets.select(F.col("node").alias("a"), F.col("shingles").alias("p"), F.col("n").alias("n"))
+    two = sets.select(F.col("node").alias("b"), F.col("shingles").alias("q"), F.col("n").alias("m"))
+    return pairs.join(one, "a").join(two, "b").select("a", "b", "p", "q", "n", "m").mapInArrow(run, "a long, b long")
 
 
 def connect(labels: DataFrame, links: DataFrame) -> DataFrame:
@@ -287,10 +324,9 @@ def jaccard_components(docs: DataFrame, *, percent: int = 75, size: int = 5, bit
     postings = rows.agg(F.sum(F.col("n") - F.ceil(F.col("n") * percent / 100) + 1)).first()[0] or 0
     shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-int(postings) // SHARD))
     packed = staged(prefixes(docs.filter("doc_id is not null"), bucket_counts(profiles, bits), size, percent, shards, bits), "prefixes")
-    shared = staged(shared_postings(packed).join(classes, ["key", "n"]).select("token", "key", "node", "n", "pos"), "shared")
-    keys = shared.select("key", "n", "node").distinct()
-    sets = staged(class_sets(docs, keys, size), "sets")
-    labels = staged(keys.select("node", F.col("node").alias("label")).distinct(), "labels")
+    shared = staged(shared_postings(packed).join(classes, ["key", "n"]).select("token", "node", "n", "pos"), "shared")
+    labels = staged(shared.select("node", F.col("node").alias("label")).distinct(), "labels")
+    sets = staged(class_sets(docs.filter("doc_id is not null"), labels, labels.count(), size), "sets")
 
     def fits(n: str, pos: str, m: str, at: str) -> F.Column:
         small, large = F.least(n, m), F.greatest(n, m)
