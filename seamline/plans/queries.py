@@ -252,18 +252,21 @@ def _scratch(spark: SparkSession) -> str:
 
 
 def _streamed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The captures as a stream in several micro-batches, merged by the stateful processor; at
-    the end each topic says that it is done."""
+    """The captures as a stream in three runs, merged by the stateful processor; at the end each
+    topic says that it is done."""
     use_rocksdb(spark)
     top = _scratch(spark)
     rows = captures(spark, sf_dir).select("partition", "seq", "topic_idx", "offset", "arrival", F.encode("event_type", "UTF-8").alias("payload"))
     ends = rows.select("partition").distinct().join(spark.range(3).select(F.col("id").cast("int").alias("topic_idx")))
     done = ends.select("partition", F.lit(None).cast("bigint").alias("seq"), "topic_idx", *[F.lit(None).cast("bigint").alias(x) for x in ("offset", "arrival")], F.lit(None).cast("binary").alias("payload"))
-    rows.repartitionByRange(3, "arrival").write.parquet(f"{top}/in")
-    done.coalesce(1).write.mode("append").parquet(f"{top}/in")
-    source = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 2).option("latestFirst", "false").parquet(f"{top}/in")
+    first, last = rows.agg(F.min("arrival"), F.max("arrival")).first()
+    rows.limit(0).write.parquet(f"{top}/in")
+    source = spark.readStream.schema(rows.schema).parquet(f"{top}/in")
     merged = stream_dedup(source, topics=3, ordered=True, timeout_ms=None)
-    merged.writeStream.format("parquet").option("checkpointLocation", f"{top}/checkpoint").outputMode("append").trigger(availableNow=True).start(f"{top}/out").awaitTermination()
+    for k in range(3):  # each part is written, then read by a query that goes on from the last one's checkpoint
+        part = rows if first is None else rows.filter(F.floor((F.col("arrival") - first) * 3 / (last - first + 1)) == k)
+        (part.unionByName(done) if k == 2 else part).write.mode("append").parquet(f"{top}/in")
+        merged.writeStream.format("parquet").option("checkpointLocation", f"{top}/checkpoint").outputMode("append").trigger(availableNow=True).start(f"{top}/out").awaitTermination()
     return spark.read.schema(merged.schema).parquet(f"{top}/out")
 
 

@@ -60,11 +60,10 @@ class Sequencer:
         if seq == self.next:
             self.next = seq + count
             return SEND, [Sent(seq, record), *self._settle(now, True)]
-        if seq in self.held:
-            return CACHE, self._settle(now, False)
         earlier = not self._heap or seq < self._heap[0]
-        self.held[seq] = count, record
-        heapq.heappush(self._heap, seq)
+        if seq not in self.held:
+            self.held[seq] = count, record
+            heapq.heappush(self._heap, seq)
         out = self._settle(now, earlier)
         return (SEND if any(isinstance(x, Sent) and x.seq == seq for x in out) else CACHE), out
 

@@ -17,7 +17,8 @@ from .core import MAX_UNSIGNED, Gap, Sent, Sequencer
 
 PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 ROW_SCHEMA = "kind string, seq bigint, from_seq bigint, to_seq bigint, topic_idx int, offset bigint, payload binary"
-INPUT = ("seq", "num_seq", "topic_idx", "offset", "arrival", "payload")
+OUTPUT = {"kind": "object", "seq": "Int64", "from_seq": "Int64", "to_seq": "Int64", "topic_idx": "Int32", "offset": "Int64", "payload": "object"}
+NONE = -(1 << 63)  # of an offset; pandas would turn a column with nulls into floats
 
 
 def use_rocksdb(spark: SparkSession) -> None:
@@ -81,26 +82,25 @@ class DedupProcessor(StatefulProcessor):
             self.handle.registerTimer(min(times))
 
     def _rows(self, key: tuple, out: list[Sent | Gap]) -> pd.DataFrame:
-        rows = []
-        for x in out:
-            if isinstance(x, Gap):
-                rows.append((*key, "gap", None, _signed(x.from_seq), _signed(x.to_seq), None, None, None))
-            else:
-                rows.append((*key, "record", _signed(x.seq), None, None, *x.record))
-        frame = pd.DataFrame(rows, columns=[*self.keys, "kind", "seq", "from_seq", "to_seq", "topic_idx", "offset", "payload"])
-        return frame.astype({"seq": "Int64", "from_seq": "Int64", "to_seq": "Int64", "topic_idx": "Int32", "offset": "Int64"})
+        rows = [
+            ("gap", None, _signed(x.from_seq), _signed(x.to_seq), None, None, None) if isinstance(x, Gap) else ("record", _signed(x.seq), None, None, *x.record) for x in out
+        ]
+        columns = {k: [v] * len(rows) for k, v in zip(self.keys, key, strict=True)}
+        for (name, kind), values in zip(OUTPUT.items(), zip(*rows, strict=True), strict=True):
+            columns[name] = pd.array(values, dtype=kind)  # nullable types: long integers stay exact
+        return pd.DataFrame(columns)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         now = timerValues.getCurrentProcessingTimeInMs()
         core, out = self._load(), []
         marks = dict(core.marks)
-        batch = pd.concat(list(rows), ignore_index=True).sort_values(["arrival", "topic_idx", "offset"], kind="stable", na_position="last")
-        for seq, num, topic, offset, payload in zip(batch["seq"], batch["num_seq"], batch["topic_idx"], batch["offset"], batch["payload"], strict=True):
-            if pd.isna(seq):
-                out += core.finished(int(topic), now)
+        batch = pd.concat(list(rows), ignore_index=True).sort_values(["done", "arrival", "topic_idx", "offset"], kind="stable")
+        for done, *numbers, payload in zip(*(batch[k].tolist() for k in ("done", "topic_idx", "seq", "num_seq", "offset", "payload")), strict=True):
+            topic, seq, num, offset = numbers
+            if done:
+                out += core.finished(topic, now)
             else:
-                count = 1 if pd.isna(num) or num < 1 else int(num)
-                out += core.offer(int(topic), int(seq) & MAX_UNSIGNED, (int(topic), None if pd.isna(offset) else int(offset), payload), now, count)[1]
+                out += core.offer(topic, seq & MAX_UNSIGNED, (topic, None if offset == NONE else offset, payload), now, max(1, num))[1]
         self._save(core, marks, now)
         if out:
             yield self._rows(key, out)
@@ -135,7 +135,14 @@ def stream_dedup(
     """
     num = F.col("num_seq") if "num_seq" in records.columns else F.lit(1)
     value = F.col("payload") if payload is None else payload
-    rows = records.select(*keys, F.col("seq").cast("bigint"), num.cast("bigint").alias("num_seq"), F.col("topic_idx").cast("int"), F.col("offset").cast("bigint"), F.col("arrival").cast("bigint"), value.cast("binary").alias("payload"))
+
+    def whole(c: Column, otherwise: int, kind: str = "bigint") -> Column:
+        return F.coalesce(c.cast(kind), F.lit(otherwise).cast(kind))
+
+    rows = records.select(
+        *keys, F.col("seq").isNull().alias("done"), whole(F.col("seq"), 0).alias("seq"), whole(num, 1).alias("num_seq"), whole(F.col("topic_idx"), -1, "int").alias("topic_idx"),
+        whole(F.col("offset"), NONE).alias("offset"), whole(F.col("arrival"), (1 << 63) - 1).alias("arrival"), value.cast("binary").alias("payload"),
+    )
     types = dict(rows.dtypes)
     schema = ", ".join(f"{k} {types[k]}" for k in keys) + ", " + ROW_SCHEMA
     timers = timeout_ms is not None or expire_ms is not None
