@@ -64,4 +64,28 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_token_counts, op3_packing, op4_decontamination, op5_secret_scans, op6_language_id, op7_url_filters, op8_ngram_jaccard_join, op9_html_extraction, op10_quality_classifier)}
 
-ORACLE_SQL: dict[str, str] = {}
+_SHINGLES = """(SELECT DISTINCT id, array_to_string(w[i : i + 4], ' ') AS s FROM (
+  SELECT id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM (
+    SELECT {id} AS id, regexp_extract_all({lower}, '[^\\x20\\x09-\\x0D]+') AS w FROM {table} WHERE text IS NOT NULL) WHERE len(w) > 0))"""
+
+
+def _shingles(table: str, id: str, lower: str) -> str:
+    return _SHINGLES.format(table=table, id=id, lower=lower)
+
+
+#: For the operators whose results SQL can express; tests hold the others against brute force.
+ORACLE_SQL: dict[str, str] = {
+    "op4_decontamination": f"""WITH d AS {_shingles('documents', 'doc_id', 'lower(text)')}, t AS {_shingles('benchmark', 'item_id', 'lower(text)')},
+n AS (SELECT id, count(*) AS n_item FROM t GROUP BY id)
+SELECT d.id AS doc_id, t.id AS item_id, n_item, count(*) AS n_common, count(*) / n_item AS containment
+FROM d JOIN t USING (s) JOIN n ON n.id = t.id GROUP BY d.id, t.id, n_item HAVING count(*) * 100 >= n_item * 75""",
+    "op8_ngram_jaccard_join": f"""WITH RECURSIVE d AS MATERIALIZED {_shingles('documents', 'doc_id', "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")},
+n AS MATERIALIZED (SELECT id, count(*) AS n FROM d GROUP BY id),
+shared AS MATERIALIZED (SELECT s FROM d GROUP BY s HAVING count(*) > 1),
+pairs AS (SELECT x.id AS a, y.id AS b, count(*) AS c FROM d x JOIN shared USING (s) JOIN d y USING (s) WHERE x.id < y.id GROUP BY ALL),
+links AS MATERIALIZED (SELECT a, b FROM pairs JOIN n p ON p.id = a JOIN n q ON q.id = b WHERE 100 * c >= 75 * (p.n + q.n - c)),
+ways AS MATERIALIZED (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach AS (SELECT a, b FROM ways UNION SELECT r.a, w.b FROM reach r JOIN ways w ON r.b = w.a)
+SELECT doc_id, coalesce(n.n, 0) AS n_shingles, least(doc_id, coalesce(r.b, doc_id)) AS component_id
+FROM documents LEFT JOIN n ON n.id = doc_id LEFT JOIN (SELECT a, min(b) AS b FROM reach GROUP BY a) r ON r.a = doc_id""",
+}
