@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.codec import long_to_bytes
-from ..operators.dedup import sequenced_dedup, union_topics
+from ..operators.dedup import sequenced_dedup
 from ..operators.ordered import numbered
 from ..operators.populate import outbound_records
 
@@ -28,9 +28,16 @@ def bus(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def captures(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All captures, with topic_idx; a record's offset in its topic grows with its sequence."""
+    """All captures, with topic_idx; a record's offset in its topic grows with its sequence. One
+    pass over the bus gives each record's copies."""
+    heard = F.array(*[F.when(F.col("seq") % m != r, F.lit(k)) for k, (m, r) in enumerate(MISSES)])
+    return bus(spark, sf_dir).withColumn("offset", F.col("seq")).withColumn("topic_idx", F.explode(F.array_compact(heard)))
+
+
+def topics(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
+    """The same captures as one table for each topic."""
     heard = bus(spark, sf_dir).withColumn("offset", F.col("seq"))
-    return union_topics([heard.filter(F.col("seq") % m != r) for m, r in MISSES])
+    return [heard.filter(F.col("seq") % m != r) for m, r in MISSES]
 
 
 def outbound(spark: SparkSession, sf_dir: str) -> DataFrame:

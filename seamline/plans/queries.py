@@ -15,7 +15,7 @@ from ..operators.ordered import numbered
 from ..operators.populate import populate, split_header
 from ..sources.kafka import normalise
 from ..streaming.dedup import stream_dedup, use_rocksdb
-from .fixture import BUS_SQL, bus, captures, outbound
+from .fixture import BUS_SQL, bus, captures, outbound, topics
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -38,7 +38,7 @@ def longs(df: DataFrame, *names: str) -> DataFrame:
 
 @query("SELECT part::BIGINT AS partition, topic_idx::BIGINT AS topic_idx, seq, arrival FROM cap")
 def topic_union(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return longs(captures(spark, sf_dir), "partition", "topic_idx", "seq", "arrival")
+    return longs(dedup.union_topics(topics(spark, sf_dir)), "partition", "topic_idx", "seq", "arrival")
 
 
 @query("SELECT part::BIGINT AS partition, seq, topic_idx::BIGINT AS topic_idx, arrival, event_type FROM sent")
