@@ -31,7 +31,7 @@ from ._stage import needed, staged
 from ._words import U64, mix, shingle_sets, slices
 
 BITS, PARTS = 20, 16
-BLOCK, SHARD = 2_000_000, 2_000_000
+BLOCK, SHARD, PAIRS = 1_000_000, 2_000_000, 256
 PROFILE_SCHEMA = "doc_id long, n long, key long, part int, counts binary"
 SHARD_SCHEMA = "shard int, passing boolean, payload binary"
 POSTING_SCHEMA = "token long, key long, n long, pos int"
@@ -263,18 +263,17 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         edges = np.arange(1, 16, dtype=U64) << U64(44)
-        for batch in batches:
-            keep = []
-            for x, y, n, m in zip(*(batch.column(k).to_pylist() for k in range(2, 6)), strict=True):
-                p, q, both = decode_set(x), decode_set(y), n + m
-                bound = np.minimum(np.diff(np.searchsorted(p, edges), prepend=0, append=len(p)), np.diff(np.searchsorted(q, edges), prepend=0, append=len(q))).sum()
-                # shared * 100 >= percent * (both - shared)
-                if bound * (100 + percent) < percent * both:
-                    keep.append(False)
-                    continue
-                shared = len(np.intersect1d(p, q, assume_unique=True))
-                keep.append(shared * (100 + percent) >= percent * both)
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+        def similar(x: bytes, y: bytes, both: int) -> bool:
+            p, q = decode_set(x), decode_set(y)
+            bound = np.minimum(np.diff(np.searchsorted(p, edges), prepend=0, append=len(p)), np.diff(np.searchsorted(q, edges), prepend=0, append=len(q))).sum()
+            # shared * 100 >= percent * (both - shared)
+            return bound * (100 + percent) >= percent * both and len(np.intersect1d(p, q, assume_unique=True)) * (100 + percent) >= percent * both
+
+        for whole in batches:
+            for at in range(0, len(whole), PAIRS):  # a part at a time: bounded memory
+                batch = whole.slice(at, PAIRS)
+                keep = [similar(x, y, n + m) for x, y, n, m in zip(*(batch.column(k).to_pylist() for k in range(2, 6)), strict=True)]
+                yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     nodes = staged(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "wanted")
     sets = marked(sets, "node", nodes, nodes.count()).filter("wanted")
