@@ -105,21 +105,27 @@ class Strategy:
     sequence: Column
     producer_key: Column | None = None
     num_sequences: Column | None = None
-    timeout_ms: int = 10_000
+    timeout_ms: int | None = 10_000
     expire_ms: int | None = None
     header_prefix: str = ""
 
 
+def _timeout(props: dict) -> int | None:
+    """Milliseconds to wait for a missing sequence; null waits for ever."""
+    given = props.get("gap_timeout_ms", 10_000)
+    return None if given is None else int(given)
+
+
 def _binary(column: str) -> Callable[[dict], Strategy]:
     def make(props: dict) -> Strategy:
         order = {"LITTLE_ENDIAN": "little", "BIG_ENDIAN": "big"}[props["byte_order"]]
-        return Strategy(long_at(column, int(props["offset"]), order), timeout_ms=int(props.get("gap_timeout_ms", 10_000)), header_prefix=props.get("header_prefix", ""))
+        return Strategy(long_at(column, int(props["offset"]), order), timeout_ms=_timeout(props), header_prefix=props.get("header_prefix", ""))
 
     return make
 
 
 def _long_key(props: dict) -> Strategy:
-    return Strategy(bytes_to_long("key"), timeout_ms=int(props.get("gap_timeout_ms", 10_000)), header_prefix=props.get("header_prefix", ""))
+    return Strategy(bytes_to_long("key"), timeout_ms=_timeout(props), header_prefix=props.get("header_prefix", ""))
 
 
 def _session(props: dict) -> Strategy:
@@ -128,7 +134,7 @@ def _session(props: dict) -> Strategy:
     expire = props.get("expire_seconds")
     return Strategy(
         long_at("value", int(props.get("offset", 0)), {"LITTLE_ENDIAN": "little", "BIG_ENDIAN": "big"}[props.get("byte_order", "LITTLE_ENDIAN")]), producer_key=session,
-        timeout_ms=int(props.get("gap_timeout_ms", 10_000)), expire_ms=None if expire is None else 1000 * int(expire),
+        timeout_ms=_timeout(props), expire_ms=None if expire is None else 1000 * int(expire),
     )
 
 

@@ -256,9 +256,9 @@ def _streamed(spark: SparkSession, sf_dir: str) -> DataFrame:
     topic says that it is done."""
     use_rocksdb(spark)
     top = _scratch(spark)
-    rows = captures(spark, sf_dir).select("partition", "seq", "topic_idx", "offset", "arrival", F.encode("event_type", "UTF-8").alias("payload"))
+    rows = captures(spark, sf_dir).select("partition", "seq", "topic_idx", "offset", "arrival", F.encode("event_type", "UTF-8").alias("payload"), F.lit(False).alias("done"))
     ends = rows.select("partition").distinct().join(spark.range(3).select(F.col("id").cast("int").alias("topic_idx")))
-    done = ends.select("partition", F.lit(None).cast("bigint").alias("seq"), "topic_idx", *[F.lit(None).cast("bigint").alias(x) for x in ("offset", "arrival")], F.lit(None).cast("binary").alias("payload"))
+    done = ends.select("partition", F.lit(None).cast("bigint").alias("seq"), "topic_idx", *[F.lit(None).cast("bigint").alias(x) for x in ("offset", "arrival")], F.lit(None).cast("binary").alias("payload"), F.lit(True).alias("done"))
     first, last = rows.agg(F.min("arrival"), F.max("arrival")).first()
     rows.limit(0).write.parquet(f"{top}/in")
     source = spark.readStream.schema(rows.schema).parquet(f"{top}/in")

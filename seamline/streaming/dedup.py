@@ -16,8 +16,8 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor, Stateful
 from .core import MAX_UNSIGNED, Gap, Sent, Sequencer
 
 PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-ROW_SCHEMA = "kind string, seq bigint, from_seq bigint, to_seq bigint, topic_idx int, offset bigint, payload binary"
-OUTPUT = {"kind": "object", "seq": "Int64", "from_seq": "Int64", "to_seq": "Int64", "topic_idx": "Int32", "offset": "Int64", "payload": "object"}
+OUTPUT = {"kind": "object", "seq": "Int64", "num_seq": "Int64", "from_seq": "Int64", "to_seq": "Int64", "topic_idx": "Int32", "offset": "Int64", "handled": "object"}
+ROW_SCHEMA = "kind string, seq bigint, num_seq bigint, from_seq bigint, to_seq bigint, topic_idx int, offset bigint, handled string"
 NONE = -(1 << 63)  # of an offset; pandas would turn a column with nulls into floats
 
 
@@ -29,6 +29,16 @@ def _signed(seq: int) -> int:
     return seq - (1 << 64) if seq >= 1 << 63 else seq
 
 
+def _handled(offsets: dict[int, int]) -> str:
+    return ",".join(f"{k}:{v}" for k, v in sorted(offsets.items()))
+
+
+def handled_offsets(handled: Column | str) -> Column:
+    """The map from topic index to offset in the column ``handled`` of the merge's rows."""
+    entries = F.map_entries(F.str_to_map(F.col(handled) if isinstance(handled, str) else handled, F.lit(","), F.lit(":")))
+    return F.map_from_entries(F.transform(F.filter(entries, lambda e: e["key"] != ""), lambda e: F.struct(e["key"].cast("int"), e["value"].cast("bigint"))))
+
+
 class _Held:
     """Held records in a map state, as the sequencer's store."""
 
@@ -51,17 +61,23 @@ class _Held:
 
 
 class DedupProcessor(StatefulProcessor):
-    """Sends each key's records in order, and reports gaps. A row with a null seq says that its
-    topic sends no more for that key."""
+    """Sends each key's records in order, and reports gaps. ``carry``: the columns that a record
+    takes along."""
 
-    def __init__(self, keys: Sequence[str], topics: int, ordered: bool, timeout_ms: int | None, expire_ms: int | None):
-        self.keys, self.topics, self.ordered, self.timeout_ms, self.expire_ms = list(keys), topics, ordered, timeout_ms, expire_ms
+    def __init__(self, keys: Sequence[str], topics: int, ordered: bool, timeout_ms: int | None, expire_ms: int | None, carry: Sequence[str]):
+        self.keys, self.topics, self.ordered, self.timeout_ms, self.expire_ms, self.carry = list(keys), topics, ordered, timeout_ms, expire_ms, list(carry)
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.position = handle.getValueState("position", "next string, waiting bigint, last bigint")
         self.marks = handle.getMapState("marks", "topic int", "mark string")
         self.held = handle.getMapState("held", "seq bigint", "num bigint, record binary")
+        self.offsets = handle.getMapState("offsets", "topic int", "last bigint")
+
+    def handleInitialState(self, key, initialState, timerValues) -> None:  # noqa: N802, N803
+        start = initialState["start_seq"].tolist()[0]
+        if start is not None and start == start:
+            self.position.update((str(int(start) & MAX_UNSIGNED), None, timerValues.getCurrentProcessingTimeInMs()))
 
     def _load(self) -> Sequencer:
         at = self.position.get() if self.position.exists() else (None, None, None)
@@ -81,26 +97,44 @@ class DedupProcessor(StatefulProcessor):
         if times:
             self.handle.registerTimer(min(times))
 
-    def _rows(self, key: tuple, out: list[Sent | Gap]) -> pd.DataFrame:
-        rows = [
-            ("gap", None, _signed(x.from_seq), _signed(x.to_seq), None, None, None) if isinstance(x, Gap) else ("record", _signed(x.seq), None, None, *x.record) for x in out
-        ]
+    def _rows(self, key: tuple, out: list[tuple[Sent | Gap, str | None]]) -> pd.DataFrame:
+        rows, carried = [], []
+        for x, handled in out:
+            if isinstance(x, Gap):
+                rows.append(("gap", None, None, _signed(x.from_seq), _signed(x.to_seq), None, None, None))
+                carried.append((None,) * len(self.carry))
+            else:
+                topic, offset, num, record = x.record
+                rows.append(("record", _signed(x.seq), num, None, None, topic, offset, handled))
+                carried.append(record)
         columns = {k: [v] * len(rows) for k, v in zip(self.keys, key, strict=True)}
         for (name, kind), values in zip(OUTPUT.items(), zip(*rows, strict=True), strict=True):
             columns[name] = pd.array(values, dtype=kind)  # nullable types: long integers stay exact
+        for name, values in zip(self.carry, zip(*carried, strict=True), strict=True):
+            columns[name] = pd.Series(values, dtype=object)
         return pd.DataFrame(columns)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         now = timerValues.getCurrentProcessingTimeInMs()
         core, out = self._load(), []
-        marks = dict(core.marks)
+        marks, offsets = dict(core.marks), {k[0]: v[0] for k, v in self.offsets.iterator()}
+        before = dict(offsets)
         batch = pd.concat(list(rows), ignore_index=True).sort_values(["done", "arrival", "topic_idx", "offset"], kind="stable")
-        for done, *numbers, payload in zip(*(batch[k].tolist() for k in ("done", "topic_idx", "seq", "num_seq", "offset", "payload")), strict=True):
-            topic, seq, num, offset = numbers
+        for done, topic, seq, num, offset, *record in zip(*(batch[k].tolist() for k in ("done", "topic_idx", "seq", "num_seq", "offset", *self.carry)), strict=True):
             if done:
-                out += core.finished(topic, now)
+                events = core.finished(topic, now)
             else:
-                out += core.offer(topic, seq & MAX_UNSIGNED, (topic, None if offset == NONE else offset, payload), now, max(1, num))[1]
+                offset = None if offset == NONE else offset
+                if offset is not None:
+                    offsets[topic] = max(offset, offsets.get(topic, offset))
+                num = max(1, num)
+                events = core.offer(topic, seq & MAX_UNSIGNED, (topic, offset, num, tuple(record)), now, num)[1]
+            if events:
+                handled = _handled(offsets)
+                out += [(x, handled) for x in events]
+        for k, v in offsets.items():
+            if before.get(k) != v:
+                self.offsets.updateValue((k,), (v,))
         self._save(core, marks, now)
         if out:
             yield self._rows(key, out)
@@ -114,7 +148,8 @@ class DedupProcessor(StatefulProcessor):
                 self.position.clear()
                 self.marks.clear()
                 return
-        out = core.tick(now)
+        handled = _handled({k[0]: v[0] for k, v in self.offsets.iterator()})
+        out = [(x, handled) for x in core.tick(now)]
         self._save(core, marks, last)
         if out:
             yield self._rows(key, out)
@@ -124,27 +159,37 @@ class DedupProcessor(StatefulProcessor):
 
 
 def stream_dedup(
-    records: DataFrame, *, topics: int, keys: Sequence[str] = ("partition",), ordered: bool = False, timeout_ms: int | None = 10_000, expire_ms: int | None = None, payload: Column | None = None
+    records: DataFrame, *, topics: int, keys: Sequence[str] = ("partition",), ordered: bool = False, timeout_ms: int | None = 10_000, expire_ms: int | None = None,
+    carry: Sequence[str] = ("payload",), start: DataFrame | None = None,
 ) -> DataFrame:
-    """Merge a stream of captured records (``keys``, seq, topic_idx, offset, arrival, payload, and
-    num_seq if records cover several sequences) into rows of ``kind`` record or gap.
+    """Merge a stream of captured records (``keys``, seq, topic_idx, offset, arrival, those in
+    ``carry``, and num_seq if records cover several sequences) into rows of ``kind`` record or gap.
 
     A gap is skipped when all topics are past it (``ordered``) or after ``timeout_ms``. Within a
-    micro-batch records count in the order of arrival, topic and offset. Needs the RocksDB
-    provider (:func:`use_rocksdb`). Keys run apart, so the parallelism is the number of keys.
+    micro-batch records count in the order of arrival, topic and offset. A row whose boolean
+    ``done`` is true, where there is such a column, says that its topic sends no more for its
+    key; other rows with a null seq are left out (dead letters, see the sources). ``carry`` are
+    columns of binary, string or array type. ``start``: keys and ``start_seq`` from which a new
+    query goes on. ``handled`` has the last offset of each topic at that point.
+
+    Needs the RocksDB provider (:func:`use_rocksdb`). With a timeout or expiry there are timers,
+    and the query has to run on a processing-time trigger: with ``availableNow`` it would go on
+    with empty batches. Keys run apart, so the parallelism is the
+    number of keys.
     """
     num = F.col("num_seq") if "num_seq" in records.columns else F.lit(1)
-    value = F.col("payload") if payload is None else payload
+    done = F.coalesce(F.col("done"), F.lit(False)) if "done" in records.columns else F.lit(False)
 
     def whole(c: Column, otherwise: int, kind: str = "bigint") -> Column:
         return F.coalesce(c.cast(kind), F.lit(otherwise).cast(kind))
 
-    rows = records.select(
-        *keys, F.col("seq").isNull().alias("done"), whole(F.col("seq"), 0).alias("seq"), whole(num, 1).alias("num_seq"), whole(F.col("topic_idx"), -1, "int").alias("topic_idx"),
-        whole(F.col("offset"), NONE).alias("offset"), whole(F.col("arrival"), (1 << 63) - 1).alias("arrival"), value.cast("binary").alias("payload"),
+    rows = records.filter(F.col("seq").isNotNull() | done).select(
+        *keys, done.alias("done"), whole(F.col("seq"), 0).alias("seq"), whole(num, 1).alias("num_seq"), whole(F.col("topic_idx"), -1, "int").alias("topic_idx"),
+        whole(F.col("offset"), NONE).alias("offset"), whole(F.col("arrival"), (1 << 63) - 1).alias("arrival"), *carry,
     )
     types = dict(rows.dtypes)
-    schema = ", ".join(f"{k} {types[k]}" for k in keys) + ", " + ROW_SCHEMA
+    schema = ", ".join(f"{k} {types[k]}" for k in keys) + f", {ROW_SCHEMA}, " + ", ".join(f"{k} {types[k]}" for k in carry)
     timers = timeout_ms is not None or expire_ms is not None
-    processor = DedupProcessor(keys, topics, ordered, timeout_ms, expire_ms)
-    return rows.groupBy(*keys).transformWithStateInPandas(processor, outputStructType=schema, outputMode="Append", timeMode="ProcessingTime" if timers else "None")
+    processor = DedupProcessor(keys, topics, ordered, timeout_ms, expire_ms, carry)
+    initial = None if start is None else start.select(*keys, F.col("start_seq").cast("string").alias("start_seq")).groupBy(*keys)
+    return rows.groupBy(*keys).transformWithStateInPandas(processor, outputStructType=schema, outputMode="Append", timeMode="ProcessingTime" if timers else "None", initialState=initial)

@@ -10,7 +10,7 @@ from seamline.operators import dedup
 from seamline.streaming.dedup import stream_dedup, use_rocksdb
 from seamline.streaming.listener import ProgressListener, observed
 
-SCHEMA = "partition int, producer_key string, seq long, topic_idx int, offset long, arrival long, payload binary"
+SCHEMA = "partition int, producer_key string, seq long, topic_idx int, offset long, arrival long, payload binary, done boolean"
 
 
 @pytest.fixture(autouse=True)
@@ -37,7 +37,7 @@ def test_stream_equals_batch_over_restarts(spark, tmp_path):
     rows = []
     for p, producer in ((0, "a"), (0, "b"), (1, "a")):
         for t in range(3):
-            rows += [(p, producer, s + (1 << 63) - 20 - ((1 << 64) if s >= 20 else 0), t, s, s * 10 + t, f"{s}".encode()) for s in range(40) if chance.random() < 0.6 or s == 0]
+            rows += [(p, producer, s + (1 << 63) - 20 - ((1 << 64) if s >= 20 else 0), t, s, s * 10 + t, f"{s}".encode(), False) for s in range(40) if chance.random() < 0.6 or s == 0]
     rows.sort(key=lambda r: r[5])
     third = len(rows) // 3
     seen = []
@@ -46,7 +46,7 @@ def test_stream_equals_batch_over_restarts(spark, tmp_path):
     for part in (rows[:third], rows[third : 2 * third], rows[2 * third :]):
         put(spark, tmp_path / "in", part)
         step(spark, tmp_path, topics=3, keys=("partition", "producer_key"), ordered=True, timeout_ms=None)
-    put(spark, tmp_path / "in", [(p, producer, None, t, None, None, None) for p, producer in ((0, "a"), (0, "b"), (1, "a")) for t in range(3)])
+    put(spark, tmp_path / "in", [(p, producer, None, t, None, None, None, True) for p, producer in ((0, "a"), (0, "b"), (1, "a")) for t in range(3)])
     out = step(spark, tmp_path, topics=3, keys=("partition", "producer_key"), ordered=True, timeout_ms=None)
     spark.streams.removeListener(listener)
     keys = ("partition", "producer_key")
@@ -57,7 +57,7 @@ def test_stream_equals_batch_over_restarts(spark, tmp_path):
 
 
 def test_gap_times_out(spark, tmp_path):
-    put(spark, tmp_path / "in", [(0, "a", s, 0, s, s, b"x") for s in (0, 1, 5)])
+    put(spark, tmp_path / "in", [(0, "a", s, 0, s, s, b"x", False) for s in (0, 1, 5)])
     source = spark.readStream.schema(SCHEMA).parquet(str(tmp_path / "in"))
     merged = stream_dedup(source, topics=2, timeout_ms=500)
     query = merged.writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "checkpoint")).trigger(processingTime="300 milliseconds").start(str(tmp_path / "out"))
@@ -77,9 +77,47 @@ def test_gap_times_out(spark, tmp_path):
 
 
 def test_packets_in_a_stream(spark, tmp_path):
-    df = spark.createDataFrame([(0, "a", s, 0, s, s, b"") for s in (0, 2, 3, 5)], SCHEMA).withColumn("num_seq", F.element_at(F.create_map(F.lit(0), F.lit(3), F.lit(2), F.lit(4), F.lit(3), F.lit(1), F.lit(5), F.lit(1)), F.col("seq").cast("int")))
+    df = spark.createDataFrame([(0, "a", s, 0, s, s, b"", None) for s in (0, 2, 3, 5)], SCHEMA).withColumn("num_seq", F.element_at(F.create_map(F.lit(0), F.lit(3), F.lit(2), F.lit(4), F.lit(3), F.lit(1), F.lit(5), F.lit(1)), F.col("seq").cast("int")))
     df.coalesce(1).write.parquet(str(tmp_path / "in"))
     source = spark.readStream.schema(df.schema).parquet(str(tmp_path / "in"))
     merged = stream_dedup(source, topics=1, ordered=True, timeout_ms=None)
     merged.writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "checkpoint")).trigger(availableNow=True).start(str(tmp_path / "out")).awaitTermination()
     assert sorted(r["seq"] for r in spark.read.parquet(str(tmp_path / "out")).filter("kind = 'record'").collect()) == [0, 3, 5]
+
+
+def test_settings_build_the_whole_merge(spark, tmp_path):
+    """Kafka-shaped rows to outbound rows with recovery headers, dead letters apart, resumed from
+    a recovered start."""
+    from seamline.functions.codec import long_to_bytes
+    from seamline.functions.headers import header_long
+    from seamline.operators.recovery import last_offsets, resume_sequences
+    from seamline.plans.config import DedupSettings, from_dict
+    from seamline.plans.merge import dead_letters, merge, outbound_gaps, outbound_rows
+
+    settings = from_dict(DedupSettings, {
+        "group_prefix": "g", "consumer": {}, "producer": {}, "inbound_topics": ["a", "b"], "outbound_topic": "o", "ordered": True,
+        "strategy": {"impl": "long_key", "props": {"gap_timeout_ms": None}},
+    })
+    rows = [("a", 5, 0, 0), ("b", 7, 0, 0), ("a", 7, 1, 1), ("a", None, 2, 1), ("a", 4, 3, 2), ("b", 8, 1, 3)]
+    df = spark.createDataFrame(rows, "topic string, n long, offset long, ms long").select(
+        F.when(F.col("n").isNull(), F.lit(b"bad")).otherwise(long_to_bytes("n")).alias("key"), F.lit(b"v").alias("value"), "topic", F.lit(0).alias("partition"), "offset",
+        F.timestamp_millis("ms").alias("timestamp"), F.lit(0).alias("timestampType"), F.lit(None).cast("array<struct<key:string,value:binary>>").alias("headers"))
+    df.coalesce(1).write.parquet(str(tmp_path / "in"))
+    source = spark.readStream.schema(df.schema).parquet(str(tmp_path / "in"))
+    start = spark.createDataFrame([(0, 5)], "partition int, start_seq long")
+    merged = merge(source, settings, start=start)
+    merged.writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start(str(tmp_path / "out")).awaitTermination()
+    out = spark.read.schema(merged.schema).parquet(str(tmp_path / "out"))
+    sent = outbound_rows(out, settings)
+    assert sorted(r[:] for r in sent.select("partition", bytes_of("key"), header_long("headers", "DDSEQ"), header_long("headers", "DDNUM")).collect()) == [(0, 5, 5, 1), (0, 7, 7, 1), (0, 8, 8, 1)]
+    assert [r[:] for r in outbound_gaps(out).select("partition", "from_seq", "to_seq").collect()] == [(0, 6, 6)]
+    assert [r["offset"] for r in dead_letters(df, settings).collect()] == [2]
+    kept = sent.withColumn("offset", header_long("headers", "DDSEQ"))
+    assert [r[:] for r in resume_sequences(kept).collect()] == [(0, 9)]
+    assert sorted(r[:] for r in last_offsets(kept).collect()) == [(0, 0, 3), (0, 1, 1)]
+
+
+def bytes_of(name):
+    from seamline.functions.codec import bytes_to_long
+
+    return bytes_to_long(name)
