@@ -206,6 +206,15 @@ def test_html_extraction(spark, empty):
     assert extract_text(df.limit(0)).count() == 0
 
 
+def test_marks_of_elements():
+    from seamline.llm._dom import body, parse
+
+    parts = {"<div class='page has-sidebar no-menu'>in</div>": "in", "<div class=topnav>x</div>in": "in", "<p>in<div id=ad12>x</div>": "in", "<section id='comments'><p>x</section>in": "in", "<div role=search>x</div>in": "in",
+             "<ol class='comment-list'><li>x</ol>in": "in", "<div class='cookie-notice'>x</div>in": "in", "<div hidden>x</div>in": "in", "<form>x<p>y</form>in": "in", "<article class=comment>x</article><article>in</article>": "in", "<main><nav>x</nav>in</main>out": "in"}
+    for html, text in parts.items():
+        assert "\n\n".join(n.text for n in body(parse(html))[0]) == text, html
+
+
 def test_wrappers_are_induced(spark):
     def page(k, extra=""):
         return f"<div><div>Welcome to the site</div><div><p>story {k} begins {'word%d ' % k * 20}<p>and ends {k}{extra}</div><div>All rights reserved by us</div></div>"
