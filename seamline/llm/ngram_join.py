@@ -194,32 +194,26 @@ def shared_postings(packed: DataFrame) -> DataFrame:
     return met.unionByName(packed.filter("passing").select("shard", "payload").mapInArrow(passing, POSTING_SCHEMA)).dropDuplicates(["token", "key", "n"])
 
 
-def bit_table(nodes: DataFrame, bits: int) -> np.ndarray:
-    """A table of ``2**bits`` bits with those of the nodes set."""
-    spot = F.xxhash64("node").bitwiseAND((1 << bits) - 1)
-    words = nodes.groupBy(F.shiftrightunsigned(spot, 5).cast("int").alias("at")).agg(F.bit_or(F.pow(F.lit(2.0), spot.bitwiseAND(31)).cast("long")).alias("bits"))
-    table = np.zeros(1 << (bits - 5), np.uint32)
-    got = words.toArrow()  # at most 2**(bits - 5) rows
-    table[got.column("at").to_numpy()] = got.column("bits").to_numpy().astype(np.uint32)
-    return table
-
-
-def marked(df: DataFrame, node: str, nodes: DataFrame, n: int) -> DataFrame:
-    """Add ``wanted``: whether the row's node is among the ``n`` nodes, by a broadcast bit table
-    of 8 bits a node, 32 MB at most; a few others pass by chance."""
-    bits = min(28, max(16, (8 * n).bit_length()))
-    sent = df.sparkSession.sparkContext.broadcast(bit_table(nodes, bits))
-    names = [*df.columns, "wanted"]
-    spot = df.withColumn("__spot", F.xxhash64(F.col(node)).bitwiseAND((1 << bits) - 1))
+class Wanted:
+    """A set of ``n`` nodes as a broadcast bit table of 8 bits a node, 32 MB at most; others pass
+    by chance. ``spot`` is the column to look up."""
+
+    def __init__(self, nodes: DataFrame, n: int):
+        self.bits = min(28, max(16, (8 * n).bit_length()))
+        spot = self.spot("node")
+        words = nodes.groupBy(F.shiftrightunsigned(spot, 5).cast("int").alias("at")).agg(F.bit_or(F.pow(F.lit(2.0), spot.bitwiseAND(31)).cast("long")).alias("bits"))
+        table = np.zeros(1 << (self.bits - 5), np.uint32)
+        got = words.toArrow()  # at most 2**(bits - 5) rows
+        table[got.column("at").to_numpy()] = got.column("bits").to_numpy().astype(np.uint32)
+        self.sent = nodes.sparkSession.sparkContext.broadcast(table)
+
+    def spot(self, node: str) -> F.Column:
+        return F.xxhash64(F.col(node)).bitwiseAND((1 << self.bits) - 1)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = sent.value
-        for batch in batches:
-            at = batch.column(batch.num_columns - 1).to_numpy()
-            hit = (table[at >> 5] >> (at & 31).astype(np.uint32) & 1).astype(bool)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(hit)], names=names)
 
-    return spot.mapInArrow(run, ", ".join(f"{k} {v}" for k, v in df.dtypes) + ", wanted boolean")
+def among(table: np.ndarray, spots: pa.Array) -> pa.Array:
+    at = spots.to_numpy()
+    return pa.array((table[at >> 5] >> (at & 31).astype(np.uint32) & 1).astype(bool))
 
 
 def encode_set(shingles: np.ndarray) -> bytes:
@@ -238,11 +232,13 @@ def decode_set(data: bytes) -> np.ndarray:
 def class_sets(docs: DataFrame, nodes: DataFrame, n: int, size: int) -> DataFrame:
     """The sets of the classes' nodes, written by the task that has the node's text: nothing is
     shuffled. A node that several texts have gets the sets of all."""
+    wanted = Wanted(nodes, n)
+    sent = wanted.sent
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         done: set[tuple[int, int]] = set()
         for batch in batches:
-            batch = batch.filter(batch.column(2))
+            batch = batch.filter(among(sent.value, batch.column(2)))
             ids = batch.column(0).to_pylist()
             rows: list[tuple[int, int, bytes]] = []
             for part in slices(batch.column(1), lower=True):
@@ -255,7 +251,7 @@ def class_sets(docs: DataFrame, nodes: DataFrame, n: int, size: int) -> DataFram
                     yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["node", "n", "shingles"])
                     rows = []
 
-    return marked(docs.select("doc_id", "text"), "doc_id", nodes, n).mapInArrow(run, SET_SCHEMA)
+    return docs.select("doc_id", "text", wanted.spot("doc_id").alias("spot")).mapInArrow(run, SET_SCHEMA)
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -276,7 +272,14 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     nodes = staged(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "wanted")
-    sets = marked(sets, "node", nodes, nodes.count()).filter("wanted")
+    wanted = Wanted(nodes, nodes.count())
+    sent = wanted.sent
+
+    def needed_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(among(sent.value, batch.column(3))).select(["node", "n", "shingles"])
+
+    sets = sets.select("node", "n", "shingles", wanted.spot("node").alias("spot")).mapInArrow(needed_sets, SET_SCHEMA)
     one = sets.select(F.col("node").alias("a"), F.col("shingles").alias("p"), F.col("n").alias("n"))
     two = sets.select(F.col("node").alias("b"), F.col("shingles").alias("q"), F.col("n").alias("m"))
     return pairs.join(one, "a").join(two, "b").select("a", "b", "p", "q", "n", "m").mapInArrow(run, "a long, b long")
