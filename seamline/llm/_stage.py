@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -26,8 +27,23 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Settings of Arrow batches, and their upper ends for columns of whole texts.
+BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": 1_000, "spark.sql.execution.arrow.maxBytesPerBatch": 8 << 20}
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Lower the session's Arrow batches for long texts, where they are larger: a batch of 10,000
+    whole texts costs some hundred MB in an executor and each of its Python workers."""
+    for key, most in BATCHES.items():
+        given = re.fullmatch(r"(-?\d+)b?", spark.conf.get(key))
+        if given and not 0 < int(given[1]) <= most:  # a size with a unit is the user's own choice
+            spark.conf.set(key, most)
+
+
 def needed(df: DataFrame, *names: str) -> DataFrame:
     """Only the named columns, so that extra columns cannot clash with what operators add."""
+    if "text" in names:
+        small_batches(df.sparkSession)
     return df.select(*[F.col(f"`{n}`") for n in names])
 
 
