@@ -2,8 +2,9 @@
 
 Base spans come from fixed patterns. Candidates are these and further long mixed tokens. The
 hash of each candidate's value is counted over the corpus by distinct repositories and owners:
-a value that many owners hold is a widely copied example, one that a single owner (or a few)
-holds and that looks random is a live-looking credential. The method adds the latter kind of
+a value that many owners or many repositories hold is a widely copied example, one that a
+single owner (or a few) holds in few repositories and that looks random is a live-looking
+credential. The method adds the latter kind of
 further token to the spans; base spans stay whatever their class.
 """
 
@@ -31,6 +32,9 @@ QUICK = [
 #: Further tokens: 24 or more characters of keys, with a lower-case letter, an upper-case letter and digits.
 FURTHER = r"(?<![A-Za-z0-9+/_-])(?=[a-z+/_-]*[A-Z0-9])(?=[A-Z0-9+/_-]*[a-z])(?=[A-Za-z+/_-]*[0-9][A-Za-z+/_-]*[0-9])[A-Za-z0-9+/_-]{24,}"
 FURTHER_QUICK = r"[A-Za-z0-9+/_-]{24}"
+#: A value in more repositories than this is a copied example, however few owners they have. A credential
+#: that a few repositories of one owner share, or that some copies of its document repeat, stays below.
+MAX_REPOSITORIES = 20
 SPAN = "struct<start:int,rank:int,end:int,kind:string,value:string>"
 
 
@@ -93,21 +97,18 @@ def _found(docs: DataFrame, repository: str, owner: str) -> DataFrame:
     return rows.withColumn("further", F.coalesce(apart, F.array().cast(f"array<{SPAN}>")))
 
 
-def _verdicts(held: DataFrame, max_owners: int) -> DataFrame:
+def _verdicts(held: DataFrame, max_owners: int, max_repositories: int) -> DataFrame:
     """For each doc_id the hashes of its live-looking values, by the spread of every value."""
     each = held.select("doc_id", "repository", "owner", F.explode(F.array_distinct(F.transform(F.concat("base", "further"), lambda s: F.xxhash64(s["value"])))).alias("hash"))
-    spread = (
-        each.groupBy("hash", "owner", "repository").agg(F.lit(1).alias("one"))
-        .groupBy("hash", "owner").agg(F.sum("one").alias("repositories"))
-        .groupBy("hash").agg(F.count("*").alias("owners"), F.sum("repositories").alias("repositories"))
-    )
+    spread = each.groupBy("hash").agg(F.count_distinct("owner").alias("owners"), F.count_distinct("repository").alias("repositories"))
+    live = (F.col("owners") <= max_owners) & (F.col("repositories") <= max_repositories)
     return (
-        each.select("doc_id", "hash").distinct().join(spread.withColumn("live", F.col("owners") <= max_owners), "hash")
+        each.select("doc_id", "hash").distinct().join(spread.withColumn("live", live), "hash")
         .groupBy("doc_id").agg(F.collect_set(F.when(F.col("live"), F.col("hash"))).alias("live"))
     )
 
 
-def mask(docs: DataFrame, *, repository: str = "doc_id", owner: str = "source", max_owners: int = 2, put: str = "[secret]") -> DataFrame:
+def mask(docs: DataFrame, *, repository: str = "doc_id", owner: str = "source", max_owners: int = 2, max_repositories: int = MAX_REPOSITORIES, put: str = "[secret]") -> DataFrame:
     """The documents with every live-looking value replaced by ``put``, in all columns that they
     have; ``n_chars``, if there, follows the new text. Widely copied examples stay.
 
@@ -115,7 +116,7 @@ def mask(docs: DataFrame, *, repository: str = "doc_id", owner: str = "source",
     and null doc_ids among them, are returned as they are.
     """
     rows = staged(_found(docs, repository, owner).filter((F.size("base") > 0) | (F.size("further") > 0)), "spans")
-    live = staged(_verdicts(rows, max_owners).filter(F.size("live") > 0).select(F.col("doc_id").alias("__live_of"), F.col("live").alias("__live")), "live")
+    live = staged(_verdicts(rows, max_owners, max_repositories).filter(F.size("live") > 0).select(F.col("doc_id").alias("__live_of"), F.col("live").alias("__live")), "live")
     text = F.col("text")
     may = F.coalesce(text.rlike("|".join(f"(?:{x})" for x in (*QUICK, FURTHER_QUICK))), F.lit(False))
 
@@ -138,11 +139,12 @@ def mask(docs: DataFrame, *, repository: str = "doc_id", owner: str = "source",
     return docs.filter(~may).unionByName(masked.select(*[F.col(f"`{c}`") for c in docs.columns]))
 
 
-def scan(docs: DataFrame, *, repository: str = "doc_id", owner: str = "source", max_owners: int = 2) -> DataFrame:
+def scan(docs: DataFrame, *, repository: str = "doc_id", owner: str = "source", max_owners: int = 2, max_repositories: int = MAX_REPOSITORIES) -> DataFrame:
     """Find secrets in every whole text (columns ``doc_id, text`` and those named).
 
-    ``repository`` and ``owner``: the columns by which a value's spread is counted. ``max_owners``:
-    with up to so many distinct owners a value is live-looking, with more a copied example.
+    ``repository`` and ``owner``: the columns by which a value's spread is counted. ``max_owners``
+    and ``max_repositories``: with up to so many distinct owners and up to so many distinct
+    repositories over all documents a value is live-looking, with more of either a copied example.
 
     A null text is empty. A null repository or owner counts as one of its own; repeated rows
     are scanned one by one, and those that share a doc_id share the verdicts on their values.
@@ -151,7 +153,7 @@ def scan(docs: DataFrame, *, repository: str = "doc_id", owner: str = "source",
     """
     rows = staged(_found(docs, repository, owner), "spans")
     held = rows.filter((F.size("base") > 0) | (F.size("further") > 0))
-    with_live = held.select("doc_id", "base", "further").join(_verdicts(held, max_owners), "doc_id", "left")
+    with_live = held.select("doc_id", "base", "further").join(_verdicts(held, max_owners, max_repositories), "doc_id", "left")
     with_live = with_live.withColumn("live", F.coalesce("live", F.array().cast("array<bigint>")))
 
     is_live = lambda s: F.array_contains("live", F.xxhash64(s["value"]))

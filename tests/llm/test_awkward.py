@@ -133,6 +133,24 @@ def test_secret_scans(spark, awkward, empty):
     assert mask(awkward).count() == len(brute.AWKWARD)
 
 
+def test_secrets_copied_within_one_source(spark):
+    """Values in many documents of a single source, or without one, are copied examples; those in a few are not."""
+    copied, mixed, orphan = "password=changeme123", "Zx81QpLm04TyUi77AsDfGhJk22Zz", "token=n0s0urce99"
+    few = "secret=s3cr3tS3CR3T99"
+    docs = [(k, f"see {copied} or {mixed} here" + (f" and {few}" if k < 20 else ""), "hot") for k in range(40)] + [(100 + k, f"see {orphan}", None) for k in range(21)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, source string").repartition(3)
+    r = {x["doc_id"]: x for x in scan(df).collect()}
+    assert {(r[k]["n_live"], r[k]["n_example"], r[k]["n_added"]) for k in range(20)} == {(1, 1, 0)}
+    assert {(r[k]["n_live"], r[k]["n_example"], r[k]["n_added"]) for k in (*range(20, 40), *range(100, 121))} == {(0, 1, 0)}
+    assert not any("mixed" in x["spans"] for x in r.values())
+    masked = {x["doc_id"]: x["text"] for x in mask(df).collect()}
+    assert masked == {d: t.replace("s3cr3tS3CR3T99", "[secret]") for d, t, _ in docs}
+    # a repository that two owners hold counts once; the bound is a parameter
+    shared = spark.createDataFrame([(k, copied, f"owner{k % 2}", f"repo{k // 2}") for k in range(6)], "doc_id long, text string, source string, repo string")
+    assert {x["n_live"] for x in scan(shared, repository="repo", max_repositories=3).collect()} == {1}
+    assert {x["n_live"] for x in scan(shared, repository="repo", max_repositories=2).collect()} == {0}
+
+
 def test_language_id(spark, awkward, empty):
     found = identify(awkward).collect()
     assert len(found) == len(brute.AWKWARD)
