@@ -2,10 +2,10 @@
 
 The model is a character n-gram model with modified Kneser-Ney smoothing. Spark counts the
 n-grams of every text up to one character more than the model's order; n-grams are keyed by
-hashes of ``bits`` bits that include the language, so the model has at most
-``order * 2**bits`` entries whatever the corpus: that is the bound of what is broadcast
-(about 12 bytes an entry). Each order is stored as a sorted array of hashes with the log
-probabilities and back-off weights in the same order.
+64-bit hashes that include the language, so counts are exact whatever the corpus's size. Each
+order is stored as a sorted array of hashes with the log probabilities and back-off weights in
+the same order (16 bytes an entry). A model of more than ``MOST_ENTRIES`` entries is neither
+collected nor broadcast: Spark computes its probabilities, and n-grams are looked up by a join.
 
 All orders, the highest too, use continuation counts (distinct characters before an n-gram),
 so that thousands of copies of one text make its n-grams no likelier than one copy does and
@@ -27,14 +27,17 @@ from pyspark.sql import functions as F
 from ._stage import needed, staged
 from ._words import IS_SPACE, U64, mix, slices, text_buffers, windows
 
-ORDER, BITS = 4, 21
+ORDER = 4
+#: Entries of a model that the driver computes and broadcasts: some 130 MB there, 70 MB in a worker.
+MOST_ENTRIES = 4_000_000
 _RADIX = 0x2545F4914F6CDD1D
 _BLANK = " \t\n\v\f\r"
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[list(b"#*$%&|<>")] = True
 CHUNK_BYTES = 1 << 19
+RECENT_BITS, REMEMBERED = 18, 1 << 21
 
-NGRAM_SCHEMA = "n int, slot int, context int, suffix int"
+NGRAM_SCHEMA = "n int, gram long, context long, suffix long"
 SCORE_SCHEMA = (
     "doc_id long, lang string, n_words long, word_chars long, n_symbols long, n_dup_lines long, "
     "n_repeat_words long, n_chars long, log_loss double"
@@ -45,9 +48,9 @@ def _seeds(langs: list[str | None]) -> np.ndarray:
     return np.array([np.frombuffer((x or "und").encode()[-8:].rjust(8, b"\0"), U64)[0] for x in langs], U64)
 
 
-def _slots(column: pa.Array, langs: list[str | None], order: int, bits: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+def _hashes(column: pa.Array, langs: list[str | None], order: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """Chunks of texts: their first row, the offsets of texts among scored characters, and for
-    each order the slot of the n-gram that ends at each padded character; row 0 is the mask
+    each order the hash of the n-gram that ends at each padded character; row 0 is the mask
     of scored characters."""
     seeds, at = mix(_seeds(langs)), text_buffers(column)[1]
     first = 0
@@ -66,82 +69,116 @@ def _slots(column: pa.Array, langs: list[str | None], order: int, bits: int) ->
         for n in range(order):
             total_hash[n:] += code[: len(code) - n] * U64(power)
             power = power * _RADIX & (1 << 64) - 1
-            rows.append((mix(total_hash + seed, n + 1) >> U64(64 - bits)).astype(np.int32))
+            rows.append(mix(total_hash + seed, n + 1))
         yield first, real, np.concatenate(([0], np.cumsum(sizes))), rows
         first = last
 
 
-def count_ngrams(docs: DataFrame, order: int = ORDER, bits: int = BITS) -> DataFrame:
+class _Seen:
+    """The n-grams that a task has sent, up to ``REMEMBERED`` of them: what it forgets is sent again."""
+
+    def __init__(self) -> None:
+        self.recent = np.zeros(1 << RECENT_BITS, U64)  # most n-grams are found here, by the whole hash
+        self.all = np.zeros(0, U64)
+
+    def new(self, grams: np.ndarray) -> np.ndarray:
+        """The places of one of each n-gram that is not yet sent."""
+        slot = (grams >> U64(64 - RECENT_BITS)).astype(np.int32)
+        at = np.flatnonzero(self.recent[slot] != grams)
+        self.recent[slot[at]] = grams[at]
+        found, first = np.unique(grams[at], return_index=True)
+        if len(self.all):
+            fresh = self.all[np.minimum(np.searchsorted(self.all, found), len(self.all) - 1)] != found
+            found, first = found[fresh], first[fresh]
+        self.all = np.sort(np.concatenate((self.all if len(self.all) <= REMEMBERED else self.all[:0], found)), kind="stable")
+        return at[first]
+
+
+def count_ngrams(docs: DataFrame, order: int = ORDER) -> DataFrame:
     """Continuation counts of all n-grams of all texts: how many distinct characters stand
-    before each. A task sends each n-gram of up to ``order + 1`` characters once."""
+    before each. A task sends each n-gram of up to ``order + 1`` characters about once."""
 
     def distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        size = 1 << bits
-        seen = [np.zeros(size, bool) for _ in range(order + 1)]
-        context, suffix = [[np.zeros(size, np.int32) for _ in range(order + 1)] for _ in range(2)]
+        seen = [_Seen() for _ in range(order + 1)]
         for batch in batches:
-            for _, real, _, rows in _slots(batch.column(0), batch.column(1).to_pylist(), order + 1, bits):
+            for _, real, _, rows in _hashes(batch.column(0), batch.column(1).to_pylist(), order + 1):
                 at = np.flatnonzero(real)
                 for n in range(order + 1):
-                    slot = rows[n][at]
-                    seen[n][slot] = True
-                    if n:
-                        context[n][slot], suffix[n][slot] = rows[n - 1][at - 1], rows[n - 1][at]
-        for n in range(order + 1):
-            used = np.flatnonzero(seen[n]).astype(np.int32)
-            for a in range(0, len(used), 50_000):
-                u = used[a : a + 50_000]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(u), n + 1, np.int32)), pa.array(u), pa.array(context[n][u]), pa.array(suffix[n][u])], names=["n", "slot", "context", "suffix"])
+                    own = at[seen[n].new(rows[n][at])]
+                    for a in range(0, len(own), 50_000):
+                        u = own[a : a + 50_000]
+                        none = np.zeros(len(u), U64)
+                        columns = rows[n][u], rows[n - 1][u - 1] if 0 < n < order else none, rows[n - 1][u] if n else none
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(u), n + 1, np.int32)), *(pa.array(x.view(np.int64)) for x in columns)], names=["n", "gram", "context", "suffix"])
 
     grams = (
         needed(docs, "text", "lang")
         .mapInArrow(distinct, NGRAM_SCHEMA)
-        .groupBy("n", "slot")
+        .groupBy("n", "gram")
         .agg(F.max("context").alias("context"), F.max("suffix").alias("suffix"))
     )
     grams = staged(grams, "ngrams")
-    before = grams.filter(F.col("n") > 1).groupBy((F.col("n") - 1).alias("n"), F.col("suffix").alias("slot")).agg(F.count("*").cast("int").alias("count"))
-    return grams.filter(F.col("n") <= order).join(before, ["n", "slot"], "left").select("n", "slot", F.coalesce("count", F.lit(1)).alias("count"), "context", "suffix")
+    before = grams.filter(F.col("n") > 1).groupBy((F.col("n") - 1).alias("n"), F.col("suffix").alias("gram")).agg(F.count("*").cast("int").alias("count"))
+    return grams.filter(F.col("n") <= order).join(before, ["n", "gram"], "left").select("n", "gram", F.coalesce("count", F.lit(1)).alias("count"), "context", "suffix")
 
 
-def _discounts(counts: np.ndarray) -> np.ndarray:
-    """Modified Kneser-Ney discounts for counts of 0, 1, 2 and 3 or more."""
-    of = np.bincount(np.minimum(counts, 5).astype(np.int64), minlength=6).astype(float)[1:5] + 1e-9
+def _discounts(of: np.ndarray) -> np.ndarray:
+    """Modified Kneser-Ney discounts for counts of 0, 1, 2 and 3 or more, from the numbers of
+    n-grams with counts of 1, 2, 3 and 4."""
+    of = of.astype(float) + 1e-9
     y = of[0] / (of[0] + 2 * of[1])
     d = np.array([0, *(k - (k + 1) * y * of[k] / of[k - 1] for k in (1, 2, 3))])
     return np.clip(d, [0, 0.01, 0.01, 0.01], [0, 0.99, 1.99, 2.99])
 
 
-def kneser_ney(counts: DataFrame, order: int = ORDER, bits: int = BITS) -> list[tuple[np.ndarray, ...]]:
+def kneser_ney(counts: DataFrame, order: int = ORDER) -> list[tuple[np.ndarray, ...]]:
     """The model from the counts: for each order sorted hashes, log probabilities and log
-    back-off weights. ``counts`` has at most ``order * 2**bits`` rows."""
+    back-off weights. Contexts that are no n-grams of a text (its start) have a weight only."""
     table = counts.toArrow()
-    size = 1 << bits
-    held = {k: table.column(k).to_numpy() for k in ("n", "slot", "count", "context", "suffix")}
+    held = {k: table.column(k).to_numpy() for k in ("n", "gram", "count", "context", "suffix")}
     model, lower = [], None
     for n in range(order):
         own = np.flatnonzero(held["n"] == n + 1)
-        own = own[np.argsort(held["slot"][own])]
-        t = {k: v[own] for k, v in held.items()}
-        slot, c = t["slot"], t["count"].astype(np.int64)
-        d = _discounts(c)[np.minimum(c, 3)]
-        where = t["context"] if n else np.zeros(len(slot), np.int64)
-        room = size if n else 1
-        total = np.bincount(where, c, room)
-        left = np.bincount(where, d, room)
+        t = {k: v[own].view(U64) if v.dtype == np.int64 else v[own] for k, v in held.items()}
+        by = np.argsort(t["gram"])
+        gram, context, suffix, c = t["gram"][by], t["context"][by], t["suffix"][by], t["count"][by].astype(np.int64)
+        d = _discounts(np.bincount(np.minimum(c, 5), minlength=6)[1:5])[np.minimum(c, 3)]
+        contexts, where = np.unique(context, return_inverse=True)
+        total, left = np.bincount(where, c), np.bincount(where, d)
         share = left / np.maximum(total, 1)
-        base = lower[t["suffix"]] if n else 1.0 / max(2, len(slot) + 1)
+        base = lower[np.searchsorted(model[n - 1][0], suffix)] if n else 1.0 / max(2, len(gram) + 1)
         p = (c - d) / np.maximum(total[where], 1) + share[where] * base
         if n:
-            prior = model[n - 1]
-            back = np.where(total[prior[0]] > 0, np.log(np.maximum(share[prior[0]], 1e-12)), 0.0)
-            model[n - 1] = (prior[0], prior[1], back.astype(np.float32))
-        model.append((slot.astype(np.int32), np.log(np.maximum(p, 1e-12)).astype(np.float32), np.zeros(len(slot), np.float32)))
-        lower = np.full(size, 1e-9)
-        lower[slot] = p
+            grams, logp, _ = model[n - 1]
+            every = np.union1d(grams, contexts)
+            known, back = np.full(len(every), -np.inf, np.float32), np.zeros(len(every), np.float32)
+            known[np.searchsorted(every, grams)] = logp
+            back[np.searchsorted(every, contexts)] = np.log(np.maximum(share, 1e-12))
+            model[n - 1] = (every, known, back)
+        model.append((gram, np.log(np.maximum(p, 1e-12)).astype(np.float32), np.zeros(len(gram), np.float32)))
+        lower = p
     return model
 
 
+def log_probabilities(counts: DataFrame, order: int = ORDER) -> DataFrame:
+    """The log probabilities of the n-grams of the highest order, as :func:`kneser_ney` has them,
+    computed by Spark for counts of any size: gram, logp."""
+    numbers = np.zeros((order + 1, 6))
+    for n, count, number in counts.groupBy("n", F.least("count", F.lit(5)).alias("count")).agg(F.count("*")).collect():
+        numbers[n, count] = number
+    lower = None
+    for n in range(1, order + 1):
+        d = [float(x) for x in _discounts(numbers[n, 1:5])]
+        discount = F.when(F.col("count") == 1, d[1]).when(F.col("count") == 2, d[2]).otherwise(d[3])
+        own = counts.filter(F.col("n") == n).withColumn("discount", discount)
+        totals = own.groupBy("context").agg(F.sum("count").alias("total"), F.sum("discount").alias("left"))
+        rows = own.join(totals, "context")
+        rows = rows.join(lower.select(F.col("gram").alias("suffix"), F.col("p").alias("base")), "suffix") if n > 1 else rows.withColumn("base", F.lit(1.0 / max(2, int(numbers[1].sum()) + 1)))
+        p = (F.col("count") - F.col("discount") + F.col("left") * F.col("base")) / F.col("total")
+        lower = staged(rows.select("gram", p.alias("p")), f"probabilities{n}")
+    return lower.select("gram", F.log(F.greatest("p", F.lit(1e-12))).alias("logp"))
+
+
 def text_statistics(column: pa.Array, size: int = 5) -> Iterator[tuple[int, int, int, int, int]]:
     """Words, characters in words, symbols, duplicate lines and repeated words of each text."""
     for part in slices(column, lower=False):
@@ -167,27 +204,53 @@ def text_statistics(column: pa.Array, size: int = 5) -> Iterator[tuple[int, int,
             yield int(b - a), int(chars[k + 1] - chars[k]), int(symbols[k + 1] - symbols[k]), len(lines) - len(set(lines)), repeated
 
 
-def score(docs: DataFrame, model: list[tuple[np.ndarray, ...]], order: int = ORDER, bits: int = BITS) -> DataFrame:
+class _Order:
+    """The sorted hashes of one order, with an index of where each prefix of bits begins."""
+
+    def __init__(self, grams: np.ndarray, logp: np.ndarray, back: np.ndarray) -> None:
+        self.shift = U64(64 - max(1, len(grams).bit_length()))
+        prefixes = np.arange(1 << 64 - int(self.shift), dtype=U64) << self.shift
+        self.starts = np.searchsorted(grams, prefixes).astype(np.int32)
+        self.grams = np.append(grams, U64((1 << 64) - 1))
+        self.logp, self.back = np.append(logp, np.float32(-np.inf)), np.append(back, np.float32(0))
+
+    def find(self, grams: np.ndarray) -> np.ndarray:
+        """The place of each hash; the last one, without a probability, if it isn't there."""
+        at = self.starts[(grams >> self.shift).astype(np.int64)]
+        todo = np.flatnonzero(self.grams[at] < grams)
+        while len(todo):
+            at[todo] += 1
+            todo = todo[self.grams[at[todo]] < grams[todo]]
+        return np.where(self.grams[at] == grams, at, len(self.grams) - 1)
+
+
+def _losses(model: list[_Order], rows: list[np.ndarray], where: np.ndarray) -> np.ndarray:
+    """Log probabilities of the characters at some places, by the longest known n-gram."""
+    logp = model[-1].logp[model[-1].find(rows[-1][where])]
+    missing = np.flatnonzero(np.isneginf(logp))
+    if len(missing):
+        at = where[missing]
+        low = model[0].logp[model[0].find(rows[0][at])]
+        low[np.isneginf(low)] = np.log(1e-9)
+        for n in range(1, len(model)):
+            found = model[n].logp[model[n].find(rows[n][at])]
+            back = model[n - 1].back[model[n - 1].find(rows[n - 1][at - 1])]
+            low = np.where(np.isneginf(found), low + back, found)
+        logp[missing] = low
+    return logp
+
+
+def score(docs: DataFrame, model: list[tuple[np.ndarray, ...]], order: int = ORDER) -> DataFrame:
     """Base statistics and the model's total log loss of each whole text."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        size, dense = 1 << bits, []
-        for slot, p, back in sent.value:  # unpacked for direct look-up
-            logp, weight = np.full(size, np.nan, np.float32), np.zeros(size, np.float32)
-            logp[slot], weight[slot] = p, back
-            dense.append((logp, weight))
-        floor = np.float32(np.log(1e-9))
+        own = [_Order(*x) for x in sent.value]
         for batch in batches:
             text, langs = batch.column(1), batch.column(2).to_pylist()
             sizes, losses = np.zeros(len(text), np.int64), np.zeros(len(text))
-            for first, real, at, rows in _slots(text, langs, order, bits):
-                where = np.flatnonzero(real)
-                logp = np.nan_to_num(dense[0][0][rows[0][where]], nan=floor)
-                for n in range(1, order):
-                    found = dense[n][0][rows[n][where]]
-                    logp = np.where(np.isnan(found), logp + dense[n - 1][1][rows[n - 1][where - 1]], found)
-                sums = np.concatenate(([0.0], np.cumsum(logp, dtype=np.float64)))
+            for first, real, at, rows in _hashes(text, langs, order):
+                sums = np.concatenate(([0.0], np.cumsum(_losses(own, rows, np.flatnonzero(real)), dtype=np.float64)))
                 sizes[first : first + len(at) - 1] = np.diff(at)
                 losses[first : first + len(at) - 1] = -np.diff(sums[at])
             stats = np.array(list(text_statistics(text)), np.int64).reshape(-1, 5)
@@ -199,8 +262,36 @@ def score(docs: DataFrame, model: list[tuple[np.ndarray, ...]], order: int = ORD
     return needed(docs, "doc_id", "text", "lang").withColumn("doc_id", F.col("doc_id").cast("long")).mapInArrow(rate, SCORE_SCHEMA)
 
 
+def score_by_join(docs: DataFrame, logp: DataFrame, order: int = ORDER) -> DataFrame:
+    """As :func:`score`, for the texts that the model was counted on: all their n-grams of the
+    highest order have a probability, and each text's distinct ones are joined with it."""
+    parts = SCORE_SCHEMA.split(", ")[:-1]
+
+    def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = [*(x.split()[0] for x in parts), "grams", "times"]
+        for batch in batches:
+            text, langs = batch.column(1), batch.column(2).to_pylist()
+            stats = np.array(list(text_statistics(text)), np.int64).reshape(-1, 5)
+            for first, real, at, rows in _hashes(text, langs, order):
+                n, grams = len(at) - 1, rows[-1][real]
+                each = [np.unique(grams[at[k] : at[k + 1]], return_counts=True) for k in range(n)]
+                ends = np.concatenate(([0], np.cumsum([len(x) for x, _ in each]))).astype(np.int32)
+                lists = [pa.ListArray.from_arrays(ends, pa.array(np.concatenate([x[k] for x in each]).view(np.int64))) for k in (0, 1)]
+                own = batch.slice(first, n)
+                yield pa.RecordBatch.from_arrays([own.column(0), own.column(2), *(pa.array(stats[first : first + n, k]) for k in range(5)), pa.array(np.diff(at).astype(np.int64)), *lists], names=names)
+
+    rows = needed(docs, "doc_id", "text", "lang").withColumn("doc_id", F.col("doc_id").cast("long"))
+    rows = rows.mapInArrow(rate, ", ".join([*parts, "grams array<long>, times array<long>"])).withColumn("row", F.monotonically_increasing_id())
+    # what belongs to a text goes with its first n-gram only
+    held = F.struct(*[x.split()[0] for x in parts])
+    each = rows.select("row", held.alias("held"), F.posexplode_outer(F.arrays_zip("grams", "times")).alias("k", "z"))
+    each = each.select("row", F.when(F.coalesce("k", F.lit(0)) == 0, F.col("held")).alias("held"), F.col("z.grams").alias("gram"), F.col("z.times").alias("times"))
+    summed = each.join(logp, "gram", "left").groupBy("row").agg(F.max("held").alias("held"), F.sum(-F.col("times") * F.col("logp")).alias("log_loss"))
+    return summed.select("held.*", F.coalesce("log_loss", F.lit(0.0)).alias("log_loss"))
+
+
 def quality_rules(
-    docs: DataFrame, *, lower: float = 10.0, upper: float = 10.0, least_sd: float = 0.02, order: int = ORDER, bits: int = BITS, min_words: int = 10, max_repeat_percent: int = 20, broadcast_langs: int = 10_000
+    docs: DataFrame, *, lower: float = 10.0, upper: float = 10.0, least_sd: float = 0.02, order: int = ORDER, most_entries: int = MOST_ENTRIES, min_words: int = 10, max_repeat_percent: int = 20, broadcast_langs: int = 10_000
 ) -> DataFrame:
     """Judge every document (columns ``doc_id, text, lang``; others are ignored).
 
@@ -208,15 +299,19 @@ def quality_rules(
     perplexity, in standard deviations (as 1.4826 times the median absolute deviation);
     short texts get a wider band, by ``sqrt(1 + median length / length)``. ``least_sd``:
     the least standard deviation assumed, in nats a character. ``broadcast_langs``: up to so many
-    languages' bands are broadcast, more are joined by shuffle.
+    languages' bands are broadcast, more are joined by shuffle. ``most_entries``: a model of up to
+    so many n-grams is broadcast, a larger one joined by shuffle.
 
     A null or empty text has no words and fails the base rules; a null ``lang`` counts as the
     language ``und``; repeated rows are judged one by one; an empty table gives no rows.
     Returns doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words (long),
     base_failed, kept (boolean), lang, perplexity (double, null without characters), reason.
     """
-    model = kneser_ney(count_ngrams(docs, order, bits), order, bits)
-    scored = staged(score(docs, model, order, bits), "scored")
+    counts = staged(count_ngrams(docs, order), "counts")
+    if counts.count() <= most_entries:
+        scored = staged(score(docs, kneser_ney(counts, order), order), "scored")
+    else:
+        scored = staged(score_by_join(docs, log_probabilities(counts, order), order), "scored")
     loss = F.when(F.col("n_chars") > 0, F.col("log_loss") / F.col("n_chars"))
     rated = scored.withColumns({"lang": F.coalesce("lang", F.lit("und")), "loss": loss})
     full = rated.filter(F.col("n_words") >= min_words)

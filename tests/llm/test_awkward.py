@@ -255,6 +255,33 @@ def test_quality_classifier(spark, awkward, empty):
     assert classify(empty, labels).count() == 0
 
 
+def test_ngram_counts_are_exact(spark):
+    """Continuation counts of more n-grams than a fixed table would hold apart, and both ways to score."""
+    import random
+
+    from seamline.llm.quality_rules import count_ngrams
+
+    chance = random.Random(4)
+    texts = [("".join(chr(chance.randrange(0x4E00, 0x9E00)) for _ in range(2500)), chance.choice(["zh", "ja"])) for _ in range(80)]
+    seen = [{(lang, ("\2" * 5 + text)[k + 5 - n : k + 6]) for text, lang in texts for k in range(len(text))} for n in range(5)]
+    want = Counter()
+    for n in range(4):
+        before = Counter((lang, gram[1:]) for lang, gram in seen[n + 1])
+        want.update((n + 1, before[x]) for x in seen[n])
+    docs = spark.createDataFrame([(k, *x) for k, x in enumerate(texts)], "doc_id long, text string, lang string").repartition(3)
+    assert {(r["n"], r["count"]): r["number"] for r in count_ngrams(docs).groupBy("n", "count").agg(F.count("*").alias("number")).collect()} == dict(want)
+
+
+def test_quality_rules_of_a_large_model(spark, awkward, empty):
+    """A model over the bound of a broadcast gives the same perplexities by a join."""
+    key = lambda r: (r["doc_id"] is None, r["doc_id"], r["n_words"], r["reason"] or "")
+    for df in (awkward, spark.createDataFrame([(k, f"row {k} of text {'abc' * (k % 7)} and more words to fill the line up to ten", "en") for k in range(60)], "doc_id long, text string, lang string")):
+        small, large = (sorted(quality_rules(df, most_entries=m).collect(), key=key) for m in (10**6, 0))
+        assert [r.asDict() | {"perplexity": None} for r in small] == [r.asDict() | {"perplexity": None} for r in large]
+        assert [r["perplexity"] or 0 for r in small] == pytest.approx([r["perplexity"] or 0 for r in large], rel=1e-4)
+    assert quality_rules(empty, most_entries=-1).count() == 0
+
+
 def test_perplexity_of_the_model(spark):
     """The model's probabilities of all next characters sum to one, and it tells text from noise."""
     import random
