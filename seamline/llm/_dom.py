@@ -1,12 +1,13 @@
 """Small DOM trees of pages, and their alignment by simple tree matching.
 
 A tree holds block elements and, as leaves, the runs of text between them. Inline markup is
-part of a run. Elements deeper than ``DEEPEST`` levels are kept as children of the last level.
+part of a run. Trees may be of any depth: nothing here calls itself level by level.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from dataclasses import dataclass, field
 from html import unescape
 
@@ -18,7 +19,6 @@ TOKEN = re.compile(
     re.I | re.S,
 )
 ATTRIBUTE = re.compile(r"""([a-z-]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
-DEEPEST = 150
 MOST_CELLS = 40_000
 
 # Names of elements.
@@ -40,6 +40,7 @@ STATES = {"has", "with", "no", "without", "is", "js", "not"}  # a name that star
 HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 WHOLE = {"html", "body", "main", "article"}
+BOUNDS = {"article": frozenset({"article"}), "main": frozenset({"main"})}
 
 
 @dataclass(slots=True)
@@ -53,6 +54,7 @@ class Node:
     children: list[Node] = field(default_factory=list)
     shape: int = 0
     size: int = 1
+    holds: frozenset[str] = frozenset()  # which of ``BOUNDS`` are in it
 
 
 def _marks(tag: str, rest: str) -> tuple[str, bool]:
@@ -74,6 +76,7 @@ def parse(page: str) -> Node:
     a run of text is one space."""
     root = Node("html", "html")
     stack, parts, at = [root], [], 0
+    opened: Counter[str] = Counter()  # how many elements of each name are on the stack
     marked: list[list] = []  # open inline elements that are marked: tag, how many of it are open, place in the stack
 
     def flush() -> None:
@@ -82,6 +85,10 @@ def parse(page: str) -> Node:
         if text:
             stack[-1].children.append(Node("#", "#", text=text))
 
+    def close(depth: int) -> None:
+        opened.subtract(x.tag for x in stack[depth:])
+        del stack[depth:]
+
     for m in TOKEN.finditer(page):
         if m.start() > at:
             parts.append(page[at : m.start()])
@@ -96,12 +103,12 @@ def parse(page: str) -> Node:
                     marked[-1][1] -= 1
                     if not marked[-1][1]:
                         flush()
-                        del stack[marked.pop()[2] :]
+                        close(marked.pop()[2])
                 continue
-            depth = next((k for k in range(len(stack) - 1, 0, -1) if stack[k].tag == tag), 0)
-            if depth:
+            if opened[tag] > 0:
+                depth = next(k for k in range(len(stack) - 1, 0, -1) if stack[k].tag == tag)
                 flush()
-                del stack[depth:]
+                close(depth)
                 while marked and marked[-1][2] >= depth:
                     marked.pop()
             continue
@@ -110,10 +117,11 @@ def parse(page: str) -> Node:
                 parts.append(" ")
             elif marked and marked[-1][0] == tag:
                 marked[-1][1] += 1
-            elif tag not in VOID and m["rest"] and len(stack) < DEEPEST and _marks(tag, m["rest"])[1]:
+            elif tag not in VOID and m["rest"] and _marks(tag, m["rest"])[1]:
                 flush()
                 marked.append([tag, 1, len(stack)])
                 stack.append(Node(tag, _marks(tag, m["rest"])[0], True))
+                opened[tag] += 1
                 stack[-2].children.append(stack[-1])
             continue
         flush()
@@ -121,17 +129,17 @@ def parse(page: str) -> Node:
             if tag == "head":
                 continue
             if tag == "body":
-                del stack[1:]
+                close(1)
             continue
         while len(stack) > 1 and (stack[-1].tag == "p" or tag in HEADINGS and stack[-1].tag in HEADINGS):
-            stack.pop()
+            close(len(stack) - 1)
         like = SIMILAR.get(tag, {tag} if tag in CLOSED_BY_LIKE else None)
-        if like:
+        if like and any(opened[x] > 0 for x in like):
             for k in range(len(stack) - 1, 0, -1):
                 if stack[k].tag in CLOSED_BY_LIKE[tag]:
                     break
                 if stack[k].tag in like:
-                    del stack[k:]
+                    close(k)
                     break
         if tag == "hr":
             continue
@@ -141,43 +149,70 @@ def parse(page: str) -> Node:
         node = Node(tag, label, aside or tag in ASIDE_TAGS)
         stack[-1].children.append(node)
         if not m["rest"].endswith("/") or tag not in VOID:
-            if len(stack) < DEEPEST:
-                stack.append(node)
+            stack.append(node)
+            opened[tag] += 1
     parts.append(page[at:])
     flush()
     finish(root)
     return root
 
 
+def _nodes(root: Node) -> list[Node]:
+    """All nodes in page order."""
+    found, todo = [], [root]
+    while todo:
+        found.append(todo.pop())
+        todo.extend(reversed(found[-1].children))
+    return found
+
+
 def finish(root: Node) -> None:
-    """Set sizes, and shapes: equal for two subtrees with the same labels."""
-    for child in root.children:
-        finish(child)
-    root.size = 1 + sum(c.size for c in root.children)
-    root.shape = hash((root.label, *(c.shape for c in root.children)))
+    """Set sizes, what subtrees hold, and shapes: equal for two subtrees with the same labels."""
+    for x in reversed(_nodes(root)):
+        x.size = 1 + sum(c.size for c in x.children)
+        x.shape = hash((x.label, *(c.shape for c in x.children)))
+        x.holds = BOUNDS.get(x.tag, frozenset()).union(*(c.holds for c in x.children if c.holds))
 
 
 def same(a: Node, b: Node, found: dict[int, Node]) -> None:
     """Match two subtrees of one shape node by node."""
-    if a.tag == "#":
-        found[id(a)] = b
-    for x, y in zip(a.children, b.children, strict=True):
-        same(x, y, found)
+    for x, y in zip(_nodes(a), _nodes(b), strict=True):
+        if x.tag == "#":
+            found[id(x)] = y
 
 
-def weight(a: Node, b: Node, memo: dict[tuple[int, int], int]) -> int:
-    """Simple tree matching: the most nodes that match, in order and level by level."""
+def known(a: Node, b: Node, memo: dict[tuple[int, int], int]) -> int:
+    """The weight of a pair whose weight is worked out or plain."""
     if a.label != b.label:
         return 0
-    if a.shape == b.shape:
-        return a.size
-    key = a.shape, b.shape
-    if key not in memo:
-        memo[key] = 0  # also ends here on clashing shapes
+    return a.size if a.shape == b.shape else memo.get((a.shape, b.shape), 0)
+
+
+def unknown(left: list[Node], right: list[Node], memo: dict[tuple[int, int], int]) -> list[tuple[Node, Node]]:
+    """Pairs of two lists whose weights are still to be worked out, one for each pair of shapes."""
+    if not matched(left, right):
+        return []
+    lefts, rights = {x.shape: x for x in left}, {y.shape: y for y in right}
+    return [(x, y) for x in lefts.values() for y in rights.values() if x.label == y.label and x.shape != y.shape and (x.shape, y.shape) not in memo]
+
+
+def weigh(pairs: list[tuple[Node, Node]], memo: dict[tuple[int, int], int]) -> None:
+    """Simple tree matching: the most nodes that match in each pair, in order and level by level."""
+    todo, begun = list(pairs), set()
+    while todo:
+        a, b = todo[-1]
+        key = a.shape, b.shape
+        if key in memo:
+            todo.pop()
+            continue
         head, left, right = trim(a.children, b.children)
+        if key not in begun:
+            begun.add(key)  # also ends here on clashing shapes
+            todo.extend(unknown(left, right, memo))
+            continue
+        todo.pop()
         alike = a.children[:head] + a.children[head + len(left) :]
         memo[key] = 1 + sum(x.size for x in alike) + table(left, right, memo)[-1][-1]
-    return memo[key]
 
 
 def trim(left: list[Node], right: list[Node]) -> tuple[int, list[Node], list[Node]]:
@@ -191,10 +226,14 @@ def trim(left: list[Node], right: list[Node]) -> tuple[int, list[Node], list[Nod
     return head, left[head : len(left) - tail], right[head : len(right) - tail]
 
 
+def matched(left: list[Node], right: list[Node]) -> bool:
+    return bool(left and right) and len(left) * len(right) <= MOST_CELLS
+
+
 def table(left: list[Node], right: list[Node], memo: dict[tuple[int, int], int]) -> list[list[int]]:
     """Weights of the best matching of all pairs of prefixes. Lists with more than ``MOST_CELLS``
     pairs are not matched: their nodes then count as having no counterpart."""
-    if not left or not right or len(left) * len(right) > MOST_CELLS:
+    if not matched(left, right):
         return [[0]]
     rows = [[0] * (len(right) + 1)]
     for x in left:
@@ -202,26 +241,16 @@ def table(left: list[Node], right: list[Node], memo: dict[tuple[int, int], int])
         for k, y in enumerate(right):
             best = above[k + 1] if above[k + 1] > row[k] else row[k]
             if x.label == y.label:
-                best = max(best, above[k] + weight(x, y, memo))
+                best = max(best, above[k] + known(x, y, memo))
             row.append(best)
         rows.append(row)
     return rows
 
 
-def align(a: Node, b: Node, memo: dict[tuple[int, int], int], found: dict[int, Node]) -> None:
-    """Add to ``found`` each text leaf of ``a``, by identity, with its counterpart in ``b``."""
-    if a.label != b.label:
-        return
-    if a.shape == b.shape:
-        same(a, b, found)
-        return
-    head, left, right = trim(a.children, b.children)
-    tail = len(a.children) - head - len(left)
-    for x, y in zip(a.children[:head], b.children[:head], strict=True):
-        same(x, y, found)
-    for k in range(1, tail + 1):
-        same(a.children[-k], b.children[-k], found)
-    rows = table(left, right, memo)
+def pairs_of(left: list[Node], right: list[Node], memo: dict[tuple[int, int], int]) -> list[tuple[Node, Node]]:
+    """The pairs of the best matching of two lists."""
+    weigh(unknown(left, right, memo), memo)
+    rows, found = table(left, right, memo), []
     i, j = len(rows) - 1, len(rows[0]) - 1
     while i and j:
         if rows[i][j] == rows[i - 1][j]:
@@ -229,41 +258,71 @@ def align(a: Node, b: Node, memo: dict[tuple[int, int], int], found: dict[int, N
         elif rows[i][j] == rows[i][j - 1]:
             j -= 1
         else:
-            align(left[i - 1], right[j - 1], memo, found)
+            found.append((left[i - 1], right[j - 1]))
             i, j = i - 1, j - 1
+    return found
 
 
-def leaves(root: Node) -> list[Node]:
-    """Text leaves in page order."""
-    return [root] if root.tag == "#" else [x for c in root.children for x in leaves(c)]
+def align(a: Node, b: Node, memo: dict[tuple[int, int], int], found: dict[int, Node]) -> None:
+    """Add to ``found`` each text leaf of ``a``, by identity, with its counterpart in ``b``."""
+    todo = [(a, b)]
+    while todo:
+        a, b = todo.pop()
+        if a.label != b.label:
+            continue
+        if a.shape == b.shape:
+            same(a, b, found)
+            continue
+        head, left, right = trim(a.children, b.children)
+        tail = len(a.children) - head - len(left)
+        for x, y in zip(a.children[:head], b.children[:head], strict=True):
+            same(x, y, found)
+        for k in range(1, tail + 1):
+            same(a.children[-k], b.children[-k], found)
+        todo += pairs_of(left, right, memo)
 
 
-def _has(root: Node, tags: set[str]) -> bool:
-    return root.tag in tags or any(_has(c, tags) for c in root.children)
+def leaves(root: Node) -> list[Node]:
+    """Text leaves in page order."""
+    return [x for x in _nodes(root) if x.tag == "#"]
 
 
 def open_leaves(root: Node, inside: bool = False) -> list[Node]:
     """Text leaves that no element around them marks as outside the article. Of a page's header
     nothing stays; of an article's, its headings."""
-    if root.tag == "#":
-        return [root]
-    if root.aside and not (not inside and _has(root, {"article", "main"})):
-        return []
-    if root.tag == "header":
-        if not inside:
-            return []
-        return [x for c in root.children for x in (leaves(c) if c.tag in HEADINGS else open_leaves(Node("header", "header", children=c.children), True) if c.children and not c.aside else [])]
-    inside = inside or root.tag in ("article", "main")
-    return [x for c in root.children for x in open_leaves(c, inside)]
+    found, todo = [], [(root, inside, False)]
+    while todo:
+        node, inside, heading = todo.pop()
+        if not heading:
+            if node.tag == "#":
+                found.append(node)
+                continue
+            if node.aside and not (not inside and node.holds):
+                continue
+            if node.tag == "header" and not inside:
+                continue
+        if heading or node.tag == "header":  # of an article
+            for c in reversed(node.children):
+                if c.tag in HEADINGS:
+                    todo.extend((x, True, False) for x in reversed(leaves(c)))
+                elif c.children and not c.aside:
+                    todo.append((c, True, True))
+            continue
+        inside = inside or node.tag in ("article", "main")
+        todo.extend((c, inside, False) for c in reversed(node.children))
+    return found
 
 
 def regions(root: Node, tag: str) -> list[Node]:
     """The outermost elements of a tag that are not marked as outside the article."""
-    if root.tag == tag:
-        return [] if root.aside else [root]
-    if root.aside and not _has(root, {tag}):
-        return []
-    return [x for c in root.children for x in regions(c, tag)]
+    found, todo = [], [root]
+    while todo:
+        node = todo.pop()
+        if node.tag == tag:
+            found += [] if node.aside else [node]
+        elif not node.aside or tag in node.holds:
+            todo.extend(reversed(node.children))
+    return found
 
 
 def body(root: Node) -> tuple[list[Node], bool]:

@@ -233,6 +233,21 @@ def test_marks_of_elements():
         assert "\n\n".join(n.text for n in body(parse(html))[0]) == text, html
 
 
+def test_marks_of_deep_elements():
+    from seamline.llm._dom import align, body, leaves, parse
+
+    for n in (160, 5000):
+        deep, ends = "<div>" * n, "</div>" * n
+        parts = {f"<div><article><p>a{deep}b{ends}<p>c</article>out</div>": "a\n\nb\n\nc", f"{deep}a<nav>x<div>x</div></nav><aside>x</aside>b<p>c{ends}d": "a\n\nb\n\nc\n\nd", f"{deep}out<article><header><h1>t</h1>x</header>in</article>out": "t\n\nin"}
+        for html, text in parts.items():
+            assert "\n\n".join(x.text for x in body(parse(html))[0]) == text, html[:40]
+    # trees that differ at the bottom only, or in depth
+    for a, b, alike in ((f"top{deep}<p>x<p>y<h2>z</h2>{ends}end", f"top{deep}<p>x<h2>z</h2>{ends}end", ["top", "x", "z", "end"]), (f"top{deep}x{ends}end", f"top{deep}<div>x</div>{ends}end", ["top", "end"])):
+        found, one = {}, parse(a)
+        align(one, parse(b), {}, found)
+        assert [x.text for x in leaves(one) if id(x) in found and found[id(x)].text == x.text] == alike
+
+
 def test_wrappers_are_induced(spark):
     def page(k, extra=""):
         return f"<div><div>Welcome to the site</div><div><p>story {k} begins {'word%d ' % k * 20}<p>and ends {k}{extra}</div><div>All rights reserved by us</div></div>"
