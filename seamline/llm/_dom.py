@@ -11,6 +11,8 @@ from collections import Counter
 from dataclasses import dataclass, field
 from html import unescape
 
+import numpy as np
+
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
     r"|<(?P<raw>script|style|noscript|template|textarea|title|iframe|svg|select|object|xmp|noembed|noframes)\b(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>.*?(?:</(?P=raw)\s*>|\Z)"
@@ -19,7 +21,7 @@ TOKEN = re.compile(
     re.I | re.S,
 )
 ATTRIBUTE = re.compile(r"""([a-z-]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
-MOST_CELLS = 40_000
+MOST_CELLS = 40_000  # of a table that is held whole; longer lists are matched in linear memory
 
 # Names of elements.
 INLINE = set(
@@ -190,8 +192,6 @@ def known(a: Node, b: Node, memo: dict[tuple[int, int], int]) -> int:
 
 def unknown(left: list[Node], right: list[Node], memo: dict[tuple[int, int], int]) -> list[tuple[Node, Node]]:
     """Pairs of two lists whose weights are still to be worked out, one for each pair of shapes."""
-    if not matched(left, right):
-        return []
     lefts, rights = {x.shape: x for x in left}, {y.shape: y for y in right}
     return [(x, y) for x in lefts.values() for y in rights.values() if x.label == y.label and x.shape != y.shape and (x.shape, y.shape) not in memo]
 
@@ -212,7 +212,7 @@ def weigh(pairs: list[tuple[Node, Node]], memo: dict[tuple[int, int], int]) -> N
             continue
         todo.pop()
         alike = a.children[:head] + a.children[head + len(left) :]
-        memo[key] = 1 + sum(x.size for x in alike) + table(left, right, memo)[-1][-1]
+        memo[key] = 1 + sum(x.size for x in alike) + best(left, right, memo)
 
 
 def trim(left: list[Node], right: list[Node]) -> tuple[int, list[Node], list[Node]]:
@@ -226,40 +226,66 @@ def trim(left: list[Node], right: list[Node]) -> tuple[int, list[Node], list[Nod
     return head, left[head : len(left) - tail], right[head : len(right) - tail]
 
 
-def matched(left: list[Node], right: list[Node]) -> bool:
-    return bool(left and right) and len(left) * len(right) <= MOST_CELLS
-
-
 def table(left: list[Node], right: list[Node], memo: dict[tuple[int, int], int]) -> list[list[int]]:
-    """Weights of the best matching of all pairs of prefixes. Lists with more than ``MOST_CELLS``
-    pairs are not matched: their nodes then count as having no counterpart."""
-    if not matched(left, right):
-        return [[0]]
+    """Weights of the best matching of all pairs of prefixes."""
     rows = [[0] * (len(right) + 1)]
     for x in left:
         above, row = rows[-1], [0]
         for k, y in enumerate(right):
-            best = above[k + 1] if above[k + 1] > row[k] else row[k]
+            most = above[k + 1] if above[k + 1] > row[k] else row[k]
             if x.label == y.label:
-                best = max(best, above[k] + known(x, y, memo))
-            row.append(best)
+                most = max(most, above[k] + known(x, y, memo))
+            row.append(most)
         rows.append(row)
     return rows
 
 
+def last_row(left: list[Node], right: list[Node], memo: dict[tuple[int, int], int]) -> np.ndarray:
+    """The last row of :func:`table`, in linear memory and a row at a time."""
+    numbers: dict[int, int] = {}
+    at = np.array([numbers.setdefault(y.shape, len(numbers)) for y in right], np.int64)
+    kinds = list({y.shape: y for y in reversed(right)}.values())
+    kinds.sort(key=lambda y: numbers[y.shape])
+    weights: dict[int, np.ndarray] = {}
+    row = np.zeros(len(right) + 1, np.int64)
+    for x in left:
+        if x.shape not in weights:
+            weights[x.shape] = np.array([known(x, y, memo) for y in kinds], np.int64)
+        row[1:] = np.maximum.accumulate(np.maximum(row[1:], row[:-1] + weights[x.shape][at]))
+    return row
+
+
+def best(left: list[Node], right: list[Node], memo: dict[tuple[int, int], int]) -> int:
+    """The weight of the best matching of two lists."""
+    if not left or not right:
+        return 0
+    return int(last_row(left, right, memo)[-1]) if len(left) * len(right) > MOST_CELLS else table(left, right, memo)[-1][-1]
+
+
 def pairs_of(left: list[Node], right: list[Node], memo: dict[tuple[int, int], int]) -> list[tuple[Node, Node]]:
-    """The pairs of the best matching of two lists."""
+    """The pairs of the best matching of two lists. Long lists are halved where the best
+    matchings of both halves add up to the most (Hirschberg)."""
     weigh(unknown(left, right, memo), memo)
-    rows, found = table(left, right, memo), []
-    i, j = len(rows) - 1, len(rows[0]) - 1
-    while i and j:
-        if rows[i][j] == rows[i - 1][j]:
-            i -= 1
-        elif rows[i][j] == rows[i][j - 1]:
-            j -= 1
-        else:
-            found.append((left[i - 1], right[j - 1]))
-            i, j = i - 1, j - 1
+    found, todo = [], [(left, right)]
+    while todo:
+        left, right = todo.pop()
+        if not left or not right:
+            continue
+        if len(left) > 1 and len(left) * len(right) > MOST_CELLS:
+            half = len(left) // 2
+            cut = int(np.argmax(last_row(left[:half], right, memo) + last_row(left[half:][::-1], right[::-1], memo)[::-1]))
+            todo += [(left[:half], right[:cut]), (left[half:], right[cut:])]
+            continue
+        rows = table(left, right, memo)
+        i, j = len(left), len(right)
+        while i and j:
+            if rows[i][j] == rows[i - 1][j]:
+                i -= 1
+            elif rows[i][j] == rows[i][j - 1]:
+                j -= 1
+            else:
+                found.append((left[i - 1], right[j - 1]))
+                i, j = i - 1, j - 1
     return found
 
 

@@ -248,6 +248,36 @@ def test_marks_of_deep_elements():
         assert [x.text for x in leaves(one) if id(x) in found and found[id(x)].text == x.text] == alike
 
 
+def test_long_lists_are_aligned():
+    """The best matching of lists of more than 40,000 pairs, with template between blocks that differ."""
+    import random
+
+    from seamline.llm._dom import MOST_CELLS, align, leaves, pairs_of, parse, table, unknown, weigh
+
+    chance = random.Random(6)
+
+    def page(name):
+        blocks = [chance.choice(["<p>{}", "<h2>{}</h2>", "<ul><li>{}<li>x</ul>", "<pre>{}</pre>", "<ul><li>{}</ul>"]).format(f"{name}{k}") for k in range(300)]
+        return "<section>" + "".join(blocks[:150]) + "<table><tr><td>share this</table>" + "".join(blocks[150:]) + f"<h{3 + (name == 'b')}>end</h{3 + (name == 'b')}></section>"
+
+    a, b = parse(page("a")), parse(page("b"))
+    found, memo = {}, {}
+    align(a, b, memo, found)
+    assert [found[id(x)].text for x in leaves(a) if x.text == "share this"] == ["share this"]
+    left, right = a.children[0].children, b.children[0].children
+    assert len(left) * len(right) > MOST_CELLS
+    weigh(unknown(left, right, memo), memo)
+    rows = [[0] * (len(right) + 1)]
+    for x in left:
+        rows.append([0])
+        for k, y in enumerate(right):
+            w = 0 if x.label != y.label else x.size if x.shape == y.shape else memo[x.shape, y.shape]
+            rows[-1].append(max(rows[-2][k + 1], rows[-1][k], rows[-2][k] + w))
+    pairs = pairs_of(left, right, memo)
+    assert sum(x.size if x.shape == y.shape else memo[x.shape, y.shape] for x, y in pairs) == rows[-1][-1]
+    assert table(left[:20], right[:30], memo)[-1][-1] == rows[20][30]
+
+
 def test_wrappers_are_induced(spark):
     def page(k, extra=""):
         return f"<div><div>Welcome to the site</div><div><p>story {k} begins {'word%d ' % k * 20}<p>and ends {k}{extra}</div><div>All rights reserved by us</div></div>"
