@@ -54,9 +54,32 @@ def shingle_texts(text: Column, size: int) -> Column:
     return let(word_array(text), of)
 
 
+def _windows(words: Column, lengths: list[int], of: Callable[[Column], Column], kind: str) -> Column:
+    """``of`` all windows of each length, as an array."""
+    n = F.size(words)
+
+    def all_of(k: int) -> Column:
+        starts = F.sequence(F.lit(1), F.greatest(F.lit(1), n - (k - 1)))
+        return F.when(n >= k, F.transform(starts, lambda i: of(F.slice(words, i, k)))).otherwise(F.array().cast(f"array<{kind}>"))
+
+    each = [all_of(k) for k in lengths]
+    return F.concat(F.array().cast(f"array<{kind}>"), *each)
+
+
+def short_hashes(text: Column, lengths: list[int]) -> Column:
+    """Hashes of all windows of so many words, as :func:`shingle_hashes` hashes a text of so many."""
+    return let(F.transform(word_array(text), lambda w: F.xxhash64(w)), lambda h: _windows(h, lengths, F.xxhash64, "bigint"))
+
+
+def short_texts(text: Column, lengths: list[int]) -> Column:
+    """Distinct windows of so many words as text."""
+    return let(word_array(text), lambda w: F.array_distinct(_windows(w, lengths, lambda x: F.concat_ws(" ", x), "string")))
+
+
 def contaminated(docs: DataFrame, items: DataFrame, *, percent: int = 75, size: int = 5) -> DataFrame:
     """Pairs of a document and an item of which it holds at least ``percent`` of the distinct
-    word shingles of ``size`` words (docs: ``doc_id, text``; items: ``item_id, text``).
+    word shingles of ``size`` words (docs: ``doc_id, text``; items: ``item_id, text``). An item of
+    fewer words is one shingle, found wherever a document has these words in a row.
 
     Null and blank texts hold nothing and are held by nothing. Rows that repeat a doc_id or an
     item_id are compared one by one, and the best pair counts. Empty tables give no rows.
@@ -64,9 +87,10 @@ def contaminated(docs: DataFrame, items: DataFrame, *, percent: int = 75, size:
     """
     docs, items = needed(docs, "doc_id", "text"), needed(items, "item_id", "text")
     parts = staged(
-        items.select("item_id", F.array_sort(F.array_distinct(shingle_hashes(F.col("text"), size))).alias("sketch"), shingle_texts(F.col("text"), size).alias("wanted")).filter(F.size("sketch") > 0),
+        items.select("item_id", F.array_sort(F.array_distinct(shingle_hashes(F.col("text"), size))).alias("sketch"), shingle_texts(F.col("text"), size).alias("wanted"), F.size(word_array(F.col("text"))).alias("words")).filter(F.size("sketch") > 0),
         "items",
     )
+    lengths = sorted(x[0] for x in parts.filter(F.col("words") < size).select("words").distinct().collect())  # fewer than ``size``
     n = F.size("sketch")
     upper = F.lit(2) * F.expr("cast(shiftleft(1L, cast(floor(log2(size(sketch))) as int)) as bigint)") - 1  # of the size class
     kept = F.least(n, F.floor(upper * (100 - percent) / 100).cast("int") + 1)
@@ -75,12 +99,15 @@ def contaminated(docs: DataFrame, items: DataFrame, *, percent: int = 75, size:
     if highest is None:
         highest = -(1 << 63)
 
-    hashes = docs.select("doc_id", shingle_hashes(F.col("text"), size).alias("hashes"))
-    probes = hashes.select("doc_id", F.size("hashes").alias("held"), F.explode(F.filter("hashes", lambda h: h <= F.lit(highest))).alias("hash"))
+    hashes = docs.select("doc_id", shingle_hashes(F.col("text"), size).alias("hashes"), *([short_hashes(F.col("text"), lengths).alias("short")] if lengths else []))
+    hashes = hashes.select("doc_id", F.size("hashes").alias("held"), (F.concat("hashes", "short") if lengths else F.col("hashes")).alias("hashes"))
+    probes = hashes.select("doc_id", "held", F.explode(F.filter("hashes", lambda h: h <= F.lit(highest))).alias("hash"))
     found = probes.join(sketches, (probes.hash == sketches.hash) & (probes.held >= sketches.least)).select("doc_id", "item_id").distinct()
     pairs = staged(found, "candidates")
 
-    texts = docs.join(pairs.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", shingle_texts(F.col("text"), size).alias("held"))
+    held = shingle_texts(F.col("text"), size)
+    held = F.array_union(held, short_texts(F.col("text"), lengths)) if lengths else held
+    texts = docs.join(pairs.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", held.alias("held"))
     checked = pairs.join(texts, "doc_id").join(parts.select("item_id", "wanted"), "item_id")
     common = checked.select("doc_id", "item_id", F.size("wanted").cast("long").alias("n_item"), F.size(F.array_intersect("wanted", "held")).cast("long").alias("n_common"))
     return (

@@ -112,6 +112,14 @@ def test_decontamination(spark, awkward, empty):
     assert contaminated(empty, items).count() == contaminated(awkward, items.limit(0)).count() == 0
 
 
+def test_short_items_are_found_inside_documents(spark):
+    items = spark.createDataFrame([(1, "Solo"), (2, "two words"), (4, "a b  c D"), (5, "a b c d e"), (6, "absent item")], "item_id long, text string")
+    texts = {10: "here stands SOLO among other words", 11: "x two words y z and more", 12: "two other words in this text", 13: "w a b c d e", 14: "a b c", 15: "two\nwords", 16: "words solo", 17: None, 18: "b c a b c d"}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    found = by_id(contaminated(docs, items), "doc_id", "item_id", "n_item", "n_common")
+    assert found == [(d, i, 1, 1) for d, i in ((10, 1), (11, 2), (13, 4), (13, 5), (15, 2), (16, 1), (18, 4))]
+
+
 def test_secret_scans(spark, awkward, empty):
     found = by_id(scan(awkward), "doc_id", "n_assign", "n_access", "n_hex")
     assert found == expected(*[lambda t, k=k: sum(s[2] == k for s in brute.secrets(t)) for k in ("assign", "access", "hex")])
