@@ -1,288 +1,275 @@
 """N-gram Jaccard self-join of documents: rare-first prefix filtering, and components.
 
-1. *Profile.* Each text becomes the set of its distinct word shingles (64-bit hashes).
-   Texts with the same set form a class; from here on only classes are joined.
-2. *Order.* Shingles are counted in ``2**bits`` buckets, a table of fixed size. The order
-   rare-first is by the bucket's count, then by hash; any common order is exact.
-3. *Prefixes.* A class sends the first ``n - ceil(t n) + 1`` shingles of its set with their
-   positions. A task adds up before it sends: what meets at a shingle's shard is one posting
-   for each task and shingle, the others of a frequent shingle pass by the shard.
-4. *Candidates.* Only shingles of two or more classes remain. Classes are paired with one
-   leader for each shingle, verified and merged into components; then, with all shingles whose
-   classes are not yet in one component, every pair of different components. So a group of
-   thousands of near copies is linked through its leaders and not pair by pair, while any
-   two classes that are not connected so far do meet. Length and positional filters hold in
-   the join.
-5. *Verification*, once for a pair: a suffix filter bounds the overlap by counts over
-   equal ranges of hashes, then the sets are intersected.
+1. *Profile.* Each text becomes the set of its distinct word shingles (64-bit hashes). Texts
+   with the same set form a class; from here on only one text of each class is joined.
+2. *Order.* A block of texts sends its distinct tokens (the leading bits of the hashes, some 8
+   more than it takes to number all) to the tokens' shards, packed, with their counts in the block.
+   A shard adds up exact document frequencies and sends those above one back to the blocks.
+   What a token has in one block is one entry in its shard, so that no token makes a shard large.
+3. *Prefixes.* A block sorts each text's tokens rare-first (frequency, then token). Only tokens
+   that two texts have can make pairs: of the first ``n - ceil(t n) + 1``, those are the postings.
+   Most texts have none.
+4. *Candidates.* Of a pair the smaller text needs the token early enough for its size, and the
+   larger one early enough for the smaller's size, so both are dealt by token and by the ranges of
+   sizes that length and positional filter leave. In each such group some members lead, four
+   times as many in each turn until all have; a turn pairs leaders with members of another
+   component, and of two components at least one is not the group's largest. So a group of
+   near copies is linked through its leaders, and any two texts that are not connected do meet.
+5. *Verification*, once for a pair: a suffix filter bounds the overlap by the counts of both
+   sets in equal ranges of hashes; only what passes has its sets fetched and intersected.
 """
 
 from __future__ import annotations
 
+import hashlib
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._stage import needed, staged
-from ._words import U64, mix, shingle_sets, slices
+from ._stage import needed, scratch, staged
+from ._words import U64, shingle_sets, slices
 
-BITS, PARTS = 20, 16
-BLOCK, SHARD, PAIRS = 1_000_000, 2_000_000, 256
-PROFILE_SCHEMA = "doc_id long, n long, key long, part int, counts binary"
-SHARD_SCHEMA = "shard int, passing boolean, payload binary"
-POSTING_SCHEMA = "token long, key long, n long, pos int"
-SET_SCHEMA = "node long, n long, shingles binary"
-_OWNER = np.dtype([("key", "<i8"), ("n", "<i8")])
+#: Tokens of a block, and of a shard on average; what one task holds at once.
+BLOCK, SHARD = 2_000_000, 1_000_000
+#: Ranges of hashes of the suffix filter, and pairs that are intersected at a time.
+RANGES, PAIRS = 64, 256
+#: Leaders of a group in the first turn, and how many times as many all turns so far have in the next.
+LEADERS, MORE = 2, 4
+#: Nodes that a broadcast bit table of 8 bits each can hold; more are looked up by a join.
+MOST_NODES = 1 << 25
+PROFILE_SCHEMA = "doc_id long, n long, key long, check long"
+PACKED_SCHEMA = "shard long, block long, payload binary"
+POSTING_SCHEMA = "token long, node long, n long, pos long"
+SET_SCHEMA = "node long, n long, ranges array<int>, shingles binary"
 
 
-def _digest(shingles: np.ndarray) -> int:
-    return int(mix(shingles, 11).sum(dtype=U64).astype(np.int64)) if len(shingles) else 0
+def _names(schema: str) -> list[str]:
+    return [x.split()[0] for x in schema.split(", ")]
 
 
-def _planes(values: np.ndarray) -> bytes:
-    """32-bit values as four planes of bytes of one significance, which compress better."""
-    return np.ascontiguousarray(values.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes()
+def _digest(shingles: np.ndarray) -> tuple[int, int]:
+    both = np.frombuffer(hashlib.blake2b(shingles.tobytes(), digest_size=16).digest(), np.int64)
+    return int(both[0]), int(both[1])
 
 
-def _prefix(n: int, percent: int) -> int:
-    return n - -(-n * percent // 100) + 1
+def _pack(*columns: np.ndarray) -> bytes:
+    """Equally long columns of whole numbers as planes of bytes of one significance, compressed."""
+    planes = [np.ascontiguousarray(c.astype("<u8").view(np.uint8).reshape(-1, 8).T) for c in columns]
+    return np.array([len(columns), len(columns[0])], "<u4").tobytes() + zlib.compress(b"".join(x.tobytes() for x in planes), 1)
 
 
-def profile(docs: DataFrame, size: int, bits: int) -> DataFrame:
-    """A row for each document: the size and a digest of its set; and at the end of each task
-    rows with its bucket counts."""
+def _unpack(payload: bytes) -> list[np.ndarray]:
+    columns, n = np.frombuffer(payload, "<u4", 2).tolist()
+    planes = np.frombuffer(zlib.decompress(payload[8:]), np.uint8).reshape(columns, 8, n)
+    return [np.ascontiguousarray(p.T).view("<u8").reshape(-1) for p in planes]
+
+
+def _gaps(rising: np.ndarray) -> np.ndarray:
+    return np.diff(rising, prepend=U64(0))
+
+
+def _starts(of: np.ndarray) -> np.ndarray:
+    """Where runs of equal values begin."""
+    new = np.ones(len(of), bool)
+    new[1:] = of[1:] != of[:-1]
+    return np.flatnonzero(new)
+
+
+def profile(docs: DataFrame, size: int) -> DataFrame:
+    """For each row the size of its set and a 128-bit digest of it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(1 << bits, np.uint32)
-        names = ["doc_id", "n", "key", "part", "counts"]
         for batch in batches:
-            sizes, keys, at = np.zeros(len(batch.column(1)), np.int64), np.zeros(len(batch.column(1)), np.int64), 0
-            for part in slices(batch.column(1), lower=True):
-                sets = list(shingle_sets(part, size))
-                counts += np.bincount((np.concatenate(sets) >> U64(64 - bits)).astype(np.int64), minlength=1 << bits).astype(np.uint32)
-                for own in sets:
-                    sizes[at], keys[at] = len(own), _digest(own)
-                    at += 1
-            n = len(sizes)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes), pa.array(keys), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names=names)
-        if counts.any():
-            packed = [zlib.compress(x.tobytes(), 1) for x in np.split(counts, PARTS)]
-            none = pa.nulls(PARTS, pa.int64())
-            yield pa.RecordBatch.from_arrays([none, none, none, pa.array(range(PARTS), pa.int32()), pa.array(packed, pa.binary())], names=names)
+            rows = [(len(own), *_digest(own)) for part in slices(batch.column(1), lower=True) for own in shingle_sets(part, size)]
+            columns = np.array(rows, np.int64).reshape(-1, 3)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(columns[:, k]) for k in range(3))], names=_names(PROFILE_SCHEMA))
 
     return docs.mapInArrow(run, PROFILE_SCHEMA)
 
 
-def bucket_counts(profiles: DataFrame, bits: int) -> np.ndarray:
-    """The sum of all tasks' bucket counts: ``2**bits`` numbers."""
-    width = (1 << bits) // PARTS
-
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: dict[int, np.ndarray] = {}
+def only(docs: DataFrame, nodes: DataFrame, n: int) -> DataFrame:
+    """The rows (doc_id, text, wanted) to look at for some nodes; where ``wanted`` is false a row
+    isn't needed. Up to ``MOST_NODES`` nodes are looked up in a bit table, which lets a few others
+    pass; more are joined."""
+    if n > MOST_NODES:
+        return docs.join(nodes.select(F.col("node").alias("doc_id")).distinct(), "doc_id", "left_semi").select("doc_id", "text", F.lit(True).alias("wanted"))
+    bits = max(16, (8 * n).bit_length())
+    spot = lambda c: F.xxhash64(c).bitwiseAND((1 << bits) - 1)
+    words = nodes.groupBy(F.shiftrightunsigned(spot("node"), 5).cast("int").alias("at")).agg(F.bit_or(F.pow(F.lit(2.0), spot("node").bitwiseAND(31)).cast("long")).alias("bits"))
+    table = np.zeros(1 << (bits - 5), np.uint32)
+    got = words.toArrow()  # 2**(bits - 5) rows at most
+    table[got.column("at").to_numpy()] = got.column("bits").to_numpy().astype(np.uint32)
+    sent = docs.sparkSession.sparkContext.broadcast(table)
+
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part, packed in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                held = total.setdefault(part, np.zeros(width, np.uint64))
-                held += np.frombuffer(zlib.decompress(packed), np.uint32 if len(zlib.decompress(packed)) == 4 * width else np.uint64)
-        if total:
-            yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([zlib.compress(x.tobytes(), 1) for x in total.values()], pa.binary())], names=["part", "counts"])
-
-    parts = profiles.filter("part is not null").select("part", "counts")
-    parts = parts.mapInArrow(add, "part int, counts binary").repartition(PARTS, "part").mapInArrow(add, "part int, counts binary")
-    out = np.zeros((PARTS, width), np.uint64)
-    for part, packed in parts.collect():
-        out[part] = np.frombuffer(zlib.decompress(packed), np.uint64)
-    return np.minimum(out.reshape(-1), (1 << 32) - 1).astype(np.uint32)
-
-
-def prefixes(docs: DataFrame, counts: np.ndarray, size: int, percent: int, shards: int, bits: int) -> DataFrame:
-    """Packed prefix postings of classes, by shard, added up in blocks within a task."""
-    sent = docs.sparkSession.sparkContext.broadcast(counts)
-
-    def packed(owners: list[tuple[int, int]], tokens: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        table = np.array(owners, _OWNER)
-        lengths = np.array([len(x) for x in tokens])
-        token = np.concatenate(tokens)
-        owner = np.repeat(np.arange(len(tokens), dtype=np.uint32), lengths)
-        pos = (np.arange(len(token)) - np.repeat(np.cumsum(lengths) - lengths, lengths)).astype(np.uint32)
-        shard = ((token >> U64(32)) % U64(shards)).astype(np.int32)
-        low = token.astype(np.uint32)
-        order = np.lexsort((low, shard))
-        shard, low, owner, pos = shard[order], low[order], owner[order], pos[order]
-        new = np.ones(len(low), bool)
-        new[1:] = (low[1:] != low[:-1]) | (shard[1:] != shard[:-1])
-        more = np.zeros(len(low), bool)
-        more[:-1] = new[:-1] & ~new[1:]
-        out: tuple[list[int], list[bool], list[bytes]] = ([], [], [])
-        for passing in (False, True):
-            chosen = np.flatnonzero(new if not passing else ~new)
-            own = shard[chosen]
-            cuts = np.flatnonzero(np.diff(own)) + 1
-            for rows in np.split(chosen, cuts) if len(chosen) else []:
-                used, index = np.unique(owner[rows], return_inverse=True)
-                head = np.array([len(used), len(rows)], "<u4").tobytes()
-                out[0].append(int(shard[rows[0]]))
-                out[1].append(passing)
-                delta = np.diff(low[rows], prepend=np.uint32(0))
-                body = b"".join(_planes(x) for x in (index, pos[rows] * 2 + more[rows], delta))
-                out[2].append(head + table[used].tobytes() + zlib.compress(body, 1))
-        yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int32()), pa.array(out[1]), pa.array(out[2], pa.binary())], names=["shard", "passing", "payload"])
+            at = batch.column(2).to_numpy()
+            found = (sent.value[at >> 5] >> (at & 31).astype(np.uint32) & 1).astype(bool)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found)], names=["doc_id", "text", "wanted"]).filter(pa.array(found))
+
+    return docs.select("doc_id", "text", spot("doc_id").alias("spot")).mapInArrow(look, "doc_id long, text string, wanted boolean")
+
+
+def packed(docs: DataFrame, size: int, bits: int, shard_bits: int) -> DataFrame:
+    """Blocks of texts. To each shard: the block's distinct tokens, the text of the first posting
+    and the number of postings. To the block itself (as shard ``-1 - block``): its texts with
+    their sizes and numbers of tokens, then all postings but the first of each token."""
+
+    def one(block: int, owners: list[tuple[int, int, int]], held: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        token, owner = np.concatenate(held), np.repeat(np.arange(len(held), dtype=U64), [len(x) for x in held])
+        order = np.argsort(token, kind="stable")
+        token, owner = token[order], owner[order]
+        first = _starts(token)
+        more = np.ones(len(token), bool)
+        more[first] = False
+        counts = np.diff(np.append(first, len(token))).astype(U64)
+        table = np.array(owners, np.int64).T
+        rows = [(-1 - block, block, _pack(*table)), (-1 - block, block, _pack(_gaps(token[more]), owner[more]))]
+        token, owner = token[first], owner[first]
+        shard, low = token >> U64(bits - shard_bits), token & U64((1 << bits - shard_bits) - 1)
+        cuts = _starts(shard)
+        for a, b in zip(cuts, np.append(cuts[1:], len(shard)), strict=True):
+            rows.append((int(shard[a]), block, _pack(_gaps(low[a:b]), owner[a:b], counts[a:b] - U64(1))))
+        columns = zip(*rows, strict=True)
+        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, (pa.int64(), pa.int64(), pa.binary()), strict=True)], names=_names(PACKED_SCHEMA))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rank, done = sent.value, set()
-        owners: list[tuple[int, int]] = []
-        tokens: list[np.ndarray] = []
-        held = 0
+        block = TaskContext.get().partitionId() << 32  # the same in every attempt of a task
+        done: set[tuple[int, int, int]] = set()
+        owners: list[tuple[int, int, int]] = []
+        held: list[np.ndarray] = []
+        waiting = 0
         for batch in batches:
+            ids = batch.column(0).to_pylist()
             for part in slices(batch.column(1), lower=True):
-                for own in shingle_sets(part, size):
-                    owner = (_digest(own), len(own))
-                    if not len(own) or owner in done:
+                for doc_id, own in zip(ids[part.first : part.last], shingle_sets(part, size), strict=True):
+                    key = (doc_id, *_digest(own))
+                    if not len(own) or key in done:
                         continue
-                    done.add(owner)
-                    order = np.lexsort((own, rank[(own >> U64(64 - bits)).astype(np.int64)]))
-                    owners.append(owner)
-                    tokens.append(own[order[: _prefix(len(own), percent)]])
-                    held += len(tokens[-1])
-                    if held > BLOCK:
-                        yield from packed(owners, tokens)
-                        owners, tokens, held = [], [], 0
+                    done.add(key)
+                    token = own >> U64(64 - bits)
+                    token = token[_starts(token)]
+                    owners.append((doc_id, len(own), len(token)))
+                    held.append(token)
+                    waiting += len(token)
+                    if waiting >= BLOCK:
+                        yield from one(block, owners, held)
+                        block, owners, held, waiting = block + 1, [], [], 0
         if owners:
-            yield from packed(owners, tokens)
+            yield from one(block, owners, held)
 
-    return docs.mapInArrow(run, SHARD_SCHEMA)
+    return docs.select("doc_id", "text").mapInArrow(run, PACKED_SCHEMA)
 
 
-def _unpack(shard: int, payload: bytes) -> tuple[np.ndarray, ...]:
-    owners, n = np.frombuffer(payload, "<u4", 2).tolist()
-    table = np.frombuffer(payload, _OWNER, owners, 8)
-    planes = np.frombuffer(zlib.decompress(payload[8 + owners * _OWNER.itemsize :]), np.uint8).reshape(3, 4, n)
-    owner, pos, delta = (np.ascontiguousarray(p.T).view("<u4").reshape(-1) for p in planes)
-    token = np.cumsum(delta, dtype=np.uint32).astype(np.int64) + (shard << 32)
-    return token, table["key"][owner], table["n"][owner], (pos >> 1).astype(np.int32), (pos & 1).astype(bool)
-
-
-def shared_postings(packed: DataFrame) -> DataFrame:
-    """Postings of the shingles that two or more classes have."""
-    names = ["token", "key", "n", "pos"]
+def prefixes(blocks: DataFrame, percent: int, bits: int, shard_bits: int) -> DataFrame:
+    """The postings (token, node, n, pos) of tokens that two or more texts have, in the texts'
+    rare-first prefixes. Tokens of one text that are equal only as tokens count once, which
+    makes positions earlier and the filters weaker, never stronger."""
 
     def meet(table: pa.Table) -> pa.Table:
         shard = table.column("shard")[0].as_py()
-        columns = [np.concatenate(x) for x in zip(*(_unpack(shard, p) for p in table.column("payload").to_pylist()), strict=True)]
-        token, key, n, _, more = columns
-        order = np.lexsort((n, key, token))
-        columns = [x[order] for x in columns]
-        token, key, n, _, more = columns
-        change = np.ones(len(token), bool)
-        change[1:] = token[1:] != token[:-1]
-        groups = np.cumsum(change) - 1
-        other = np.zeros(len(token), bool)
-        other[1:] = ~change[1:] & ((key[1:] != key[:-1]) | (n[1:] != n[:-1]))
-        keep = np.bincount(groups, other | more) > 0
-        chosen = np.flatnonzero(keep[groups] & (change | other))
-        return pa.table([pa.array(x[chosen]) for x in columns[:4]], names=names)
-
-    def passing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for shard, payload in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in _unpack(shard, payload)[:4]], names=names)
-
-    met = packed.filter("not passing").select("shard", "payload").groupBy("shard").applyInArrow(meet, POSTING_SCHEMA)
-    return met.unionByName(packed.filter("passing").select("shard", "payload").mapInArrow(passing, POSTING_SCHEMA)).dropDuplicates(["token", "key", "n"])
-
-
-class Wanted:
-    """A set of ``n`` nodes as a broadcast bit table of 8 bits a node, 32 MB at most; others pass
-    by chance. ``spot`` is the column to look up."""
-
-    def __init__(self, nodes: DataFrame, n: int):
-        self.bits = min(28, max(16, (8 * n).bit_length()))
-        spot = self.spot("node")
-        words = nodes.groupBy(F.shiftrightunsigned(spot, 5).cast("int").alias("at")).agg(F.bit_or(F.pow(F.lit(2.0), spot.bitwiseAND(31)).cast("long")).alias("bits"))
-        table = np.zeros(1 << (self.bits - 5), np.uint32)
-        got = words.toArrow()  # at most 2**(bits - 5) rows
-        table[got.column("at").to_numpy()] = got.column("bits").to_numpy().astype(np.uint32)
-        self.sent = nodes.sparkSession.sparkContext.broadcast(table)
-
-    def spot(self, node: str) -> F.Column:
-        return F.xxhash64(F.col(node)).bitwiseAND((1 << self.bits) - 1)
-
-
-def among(table: np.ndarray, spots: pa.Array) -> pa.Array:
-    at = spots.to_numpy()
-    return pa.array((table[at >> 5] >> (at & 31).astype(np.uint32) & 1).astype(bool))
-
-
-def encode_set(shingles: np.ndarray) -> bytes:
-    """Sorted hashes, cut to 48 bits, as byte planes of their differences."""
-    short = np.diff(shingles >> U64(16), prepend=U64(0))
-    return zlib.compress(np.ascontiguousarray(short.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].T).tobytes(), 1)
-
-
-def decode_set(data: bytes) -> np.ndarray:
-    planes = np.frombuffer(zlib.decompress(data), np.uint8).reshape(6, -1)
-    wide = np.zeros((planes.shape[1], 8), np.uint8)
-    wide[:, :6] = planes.T
-    return np.unique(np.cumsum(wide.view("<u8").reshape(-1), dtype=U64))
-
-
-def class_sets(docs: DataFrame, nodes: DataFrame, n: int, size: int) -> DataFrame:
-    """The sets of the classes' nodes, written by the task that has the node's text: nothing is
-    shuffled. A node that several texts have gets the sets of all."""
-    wanted = Wanted(nodes, n)
-    sent = wanted.sent
+        if shard < 0:
+            return table
+        own = [_unpack(x) for x in table.column("payload").to_pylist()]
+        low = np.concatenate([np.cumsum(x[0], dtype=U64) for x in own])
+        source = np.repeat(np.arange(len(own)), [len(x[0]) for x in own])
+        owner, count = (np.concatenate([x[k] for x in own]) for k in (1, 2))
+        order = np.argsort(low, kind="stable")
+        starts = _starts(low[order])
+        total = np.add.reduceat(count[order] + U64(1), starts) if len(order) else np.zeros(0, U64)
+        frequency = np.zeros(len(low), U64)
+        frequency[order] = np.repeat(total, np.diff(np.append(starts, len(low))))
+        ids, rows = table.column("block").to_pylist(), []
+        ends = np.cumsum([0, *(len(x[0]) for x in own)])
+        for k, block in enumerate(ids):
+            at = ends[k] + np.flatnonzero(frequency[ends[k] : ends[k + 1]] > 1)
+            if len(at):
+                token = low[at] + U64(shard << bits - shard_bits)
+                rows.append((shard, block, _pack(_gaps(token), owner[at], frequency[at])))
+        columns = list(zip(*rows, strict=True)) or [[], [], []]
+        return pa.table([pa.array(x, t) for x, t in zip(columns, (pa.int64(), pa.int64(), pa.binary()), strict=True)], names=_names(PACKED_SCHEMA))
+
+    def finish(table: pa.Table) -> pa.Table:
+        shards, payloads = table.column("shard").to_pylist(), table.column("payload").to_pylist()
+        table_of, passing, met = None, None, []
+        for shard, payload in zip(shards, payloads, strict=True):
+            columns = _unpack(payload)
+            if shard >= 0:
+                met.append((np.cumsum(columns[0], dtype=U64), *columns[1:]))
+            elif len(columns) == 3:
+                table_of = [x.view(np.int64) for x in columns]
+            else:
+                passing = np.cumsum(columns[0], dtype=U64), columns[1]
+        none = [np.zeros(0, np.int64)] * 4
+        if met:
+            token, owner, frequency = (np.concatenate(x) for x in zip(*met, strict=True))
+            order = np.argsort(token)
+            place = order[np.searchsorted(token, passing[0], sorter=order)]
+            token, owner, frequency = np.append(token, passing[0]), np.append(owner, passing[1]).astype(np.int64), np.append(frequency, frequency[place])
+            order = np.lexsort((token, frequency, owner))
+            token, owner = token[order], owner[order]
+            shared = np.bincount(owner, minlength=len(table_of[0]))
+            node, n, tokens = (x[owner] for x in table_of)
+            rank = np.arange(len(owner)) - (np.cumsum(shared) - shared)[owner]
+            pos = tokens - shared[owner] + rank
+            chosen = np.flatnonzero(pos < n - -(-n * percent // 100) + 1)
+            none = [x[chosen] for x in (token.view(np.int64), node, n, pos)]
+        return pa.table([pa.array(x) for x in none], names=_names(POSTING_SCHEMA))
+
+    met = blocks.groupBy("shard").applyInArrow(meet, PACKED_SCHEMA)
+    return met.groupBy("block").applyInArrow(finish, POSTING_SCHEMA)
+
+
+def class_sets(docs: DataFrame, size: int) -> DataFrame:
+    """The sets of some documents, with the counts of their hashes in equal ranges. A node that
+    several texts have gets the sets of all."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        done: set[tuple[int, int]] = set()
+        done: set[tuple[int, int, int]] = set()
         for batch in batches:
-            batch = batch.filter(among(sent.value, batch.column(2)))
             ids = batch.column(0).to_pylist()
-            rows: list[tuple[int, int, bytes]] = []
             for part in slices(batch.column(1), lower=True):
+                rows = []
                 for node, own in zip(ids[part.first : part.last], shingle_sets(part, size), strict=True):
-                    key = node, _digest(own)
+                    key = (node, *_digest(own))
                     if len(own) and key not in done:
                         done.add(key)
-                        rows.append((node, len(own), encode_set(own)))
+                        ranges = np.bincount((own >> U64(64 - RANGES.bit_length() + 1)).astype(np.int64), minlength=RANGES)
+                        rows.append((node, len(own), ranges.astype(np.int32), own.tobytes()))
                 if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["node", "n", "shingles"])
-                    rows = []
+                    kinds = (pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.binary())
+                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=_names(SET_SCHEMA))
 
-    return docs.select("doc_id", "text", wanted.spot("doc_id").alias("spot")).mapInArrow(run, SET_SCHEMA)
+    return docs.select("doc_id", "text").mapInArrow(run, SET_SCHEMA)
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sets reach the similarity. Only sets that a pair needs are sent."""
+    """The pairs (a, b) whose sets reach the similarity. Only sets of pairs that pass the suffix
+    filter are fetched."""
+    reach = F.col("bound") * (100 + percent) >= percent * (F.col("n") + F.col("m"))  # shared * 100 >= percent * (n + m - shared)
+    close = pairs.join(sets.select(F.col("node").alias("a"), "n", F.col("ranges").alias("p")), "a").join(sets.select(F.col("node").alias("b"), F.col("n").alias("m"), F.col("ranges").alias("q")), "b")
+    close = close.withColumn("bound", F.aggregate(F.zip_with("p", "q", lambda x, y: F.least(x, y)), F.lit(0), lambda x, y: x + y)).filter(reach)
+    close = staged(close.select("a", "b").distinct(), "close")
+    fetched = staged(sets.join(close.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node", "left_semi").select("node", "shingles"), "fetched")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        edges = np.arange(1, 16, dtype=U64) << U64(44)
-        def similar(x: bytes, y: bytes, both: int) -> bool:
-            p, q = decode_set(x), decode_set(y)
-            bound = np.minimum(np.diff(np.searchsorted(p, edges), prepend=0, append=len(p)), np.diff(np.searchsorted(q, edges), prepend=0, append=len(q))).sum()
-            # shared * 100 >= percent * (both - shared)
-            return bound * (100 + percent) >= percent * both and len(np.intersect1d(p, q, assume_unique=True)) * (100 + percent) >= percent * both
+        def similar(x: bytes, y: bytes) -> bool:
+            p, q = np.frombuffer(x, U64), np.frombuffer(y, U64)
+            return len(np.intersect1d(p, q, assume_unique=True)) * (100 + percent) >= percent * (len(p) + len(q))
 
         for whole in batches:
             for at in range(0, len(whole), PAIRS):  # a part at a time: bounded memory
                 batch = whole.slice(at, PAIRS)
-                keep = [similar(x, y, n + m) for x, y, n, m in zip(*(batch.column(k).to_pylist() for k in range(2, 6)), strict=True)]
+                keep = [similar(x, y) for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
                 yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    nodes = staged(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "wanted")
-    wanted = Wanted(nodes, nodes.count())
-    sent = wanted.sent
-
-    def needed_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield batch.filter(among(sent.value, batch.column(3))).select(["node", "n", "shingles"])
-
-    sets = sets.select("node", "n", "shingles", wanted.spot("node").alias("spot")).mapInArrow(needed_sets, SET_SCHEMA)
-    one = sets.select(F.col("node").alias("a"), F.col("shingles").alias("p"), F.col("n").alias("n"))
-    two = sets.select(F.col("node").alias("b"), F.col("shingles").alias("q"), F.col("n").alias("m"))
-    return pairs.join(one, "a").join(two, "b").select("a", "b", "p", "q", "n", "m").mapInArrow(run, "a long, b long")
+    both = close.join(fetched.toDF("a", "p"), "a").join(fetched.toDF("b", "q"), "b")
+    return both.select("a", "b", "p", "q").mapInArrow(run, "a long, b long")
 
 
 def connect(labels: DataFrame, links: DataFrame) -> DataFrame:
@@ -294,14 +281,14 @@ def connect(labels: DataFrame, links: DataFrame) -> DataFrame:
         links.join(ends.toDF("a", "u"), "a").join(ends.toDF("b", "v"), "b").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).filter("u <> v").distinct()
     )
     edges = staged(edges, "edges")
-    while edges.limit(1).count():
-        hooks = staged(edges.groupBy(F.col("v").alias("x")).agg(F.min("u").alias("to")), "hooks")
-        while True:  # pointer jumping: hooks lead to ever smaller labels
-            jumped = hooks.join(hooks.toDF("to", "next"), "to", "left").select("x", F.coalesce("next", "to").alias("to"), F.col("next").isNotNull().alias("moved"))
-            jumped = staged(jumped, "hooks")
-            hooks = jumped.select("x", "to")
-            if not jumped.filter("moved").limit(1).count():
-                break
+    while not edges.isEmpty():
+        hooks = edges.groupBy(F.col("v").alias("x")).agg(F.min("u").alias("to"))
+        moved = True
+        while moved:  # pointer jumping: hooks lead to ever smaller labels
+            hooks = staged(hooks, "hooks")
+            step = hooks.join(hooks.toDF("to", "next"), "to", "left").select("x", F.coalesce("next", "to").alias("to"), F.col("next").isNotNull().alias("moved"))
+            moved = not step.filter("moved").isEmpty()
+            hooks = step.select("x", "to") if moved else hooks
         labels = labels.join(hooks.toDF("label", "to"), "label", "left").select("node", F.coalesce("to", "label").alias("label"))
         edges = edges.join(hooks.toDF("u", "s"), "u", "left").join(hooks.toDF("v", "t"), "v", "left")
         edges = edges.select(F.coalesce("s", "u").alias("s"), F.coalesce("t", "v").alias("t")).select(F.least("s", "t").alias("u"), F.greatest("s", "t").alias("v")).filter("u <> v").distinct()
@@ -309,51 +296,88 @@ def connect(labels: DataFrame, links: DataFrame) -> DataFrame:
     return staged(labels, "labels")
 
 
-def jaccard_components(docs: DataFrame, *, percent: int = 75, size: int = 5, bits: int = BITS) -> DataFrame:
+def _bin(size: F.Column) -> F.Column:
+    """Ranges of sizes, each a tenth wider than the one below."""
+    return F.floor(F.log(F.greatest(size, F.lit(1)).cast("double")) / F.log(F.lit(1.1))).cast("int")
+
+
+def groups(postings: DataFrame, percent: int) -> DataFrame:
+    """The postings by group (a token and two ranges of sizes), as the smaller text of a pair and
+    as the larger one; ``turn``: the share of the group's members that lead before."""
+    n, room = F.col("n"), F.col("n") - F.col("pos")
+    partner = F.floor(room * (100 + percent) / percent) - n  # the largest partner that the position leaves
+    most = F.least(F.floor(n * 100 / percent), partner)
+    small = postings.filter(most >= n).withColumns({"small": _bin(n), "large": F.explode(F.sequence(_bin(n), _bin(most))), "role": F.lit(0)})
+    least, most = F.ceil(n * percent / 100), F.least(n, partner)
+    large = postings.filter(most >= least).withColumns({"small": F.explode(F.sequence(_bin(least), _bin(most))), "large": _bin(n), "role": F.lit(1)})
+    members = staged(small.unionByName(large.select(small.columns)).select(F.xxhash64("token", "small", "large").alias("group"), "node", "n", "pos", "role"), "members")
+    sizes = members.groupBy("group").agg(F.count("*").alias("members"), F.sum("role").alias("larger")).filter("larger > 0 and larger < members")
+    turn = F.col("members") * (F.xxhash64("node").bitwiseAND((1 << 40) - 1) / float(1 << 40))
+    return members.join(sizes, "group").select("group", "node", "n", "pos", "role", "members", turn.alias("turn"))
+
+
+def linked(postings: DataFrame, sets: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+    """Labels (node, label) of the components that the postings' pairs make."""
+    active, tested, first, last = staged(groups(postings, percent), "groups"), None, 0, LEADERS
+    while True:
+        now = active.join(labels, "node")
+        open_ = now.groupBy("group", "label").agg(F.count("*").alias("held")).groupBy("group")
+        open_ = open_.agg(F.max_by("label", "held").alias("main"), F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high")
+        now = now.filter(F.col("members") > first).join(open_.select("group", "main"), "group")
+        now = staged(now.withColumn("minor", F.col("label") != F.col("main")), "open")
+        if now.isEmpty():
+            return labels
+        lead = now.filter((F.col("turn") >= first) & (F.col("turn") < last))
+        lead = lead.withColumn("minor", F.explode(F.when(F.col("minor"), F.array(F.lit(True), F.lit(False))).otherwise(F.array(F.lit(True)))))
+        lead = lead.select("group", "minor", F.col("node").alias("other"), F.col("n").alias("m"), F.col("pos").alias("at"), F.col("role").alias("part"), F.col("label").alias("with"))
+        short, long = F.least("n", "m"), F.greatest("n", "m")
+        room = F.least(F.col("n") - F.col("pos"), F.col("m") - F.col("at"))
+        fits = (short * 100 >= long * percent) & (room * (100 + percent) >= (short + long) * percent)
+        pairs = now.join(lead, ["group", "minor"]).filter((F.col("role") != F.col("part")) & (F.col("label") != F.col("with")) & fits)
+        pairs = pairs.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
+        pairs = staged(pairs.join(tested, ["a", "b"], "left_anti") if tested else pairs, "pairs")
+        tested = tested.unionByName(pairs) if tested else pairs
+        if not pairs.isEmpty():
+            labels = connect(labels, staged(verified(pairs, sets, percent), "links"))
+        active, first, last = now.select(active.columns), last, last * MORE
+
+
+def jaccard_components(docs: DataFrame, *, percent: int = 75, size: int = 5) -> DataFrame:
     """Link documents (columns ``doc_id, text``) whose shingle sets have a Jaccard similarity of
     ``percent`` or more, and return for every row doc_id, n_shingles, component_id (long).
 
     A-Z is lower-cased. A text with fewer than ``size`` words is one shingle of all its words;
     a null or blank text is empty and linked with nothing. Rows that repeat a doc_id are
-    compared one by one, and that id stands for all of them. A row with a null doc_id gets its
-    n_shingles and a null component_id and links nothing. An empty table gives no rows.
+    compared one by one, and that id stands for all of them: their components are one. A row
+    with a null doc_id gets its n_shingles and a null component_id and links nothing. An empty
+    table gives no rows.
     """
     spark = docs.sparkSession
     docs = needed(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long"))
-    profiles = staged(profile(docs, size, bits), "profile")
-    rows = profiles.filter("part is null").select("doc_id", "n", "key")
-    classes = staged(rows.filter("n > 0 and doc_id is not null").groupBy("key", "n").agg(F.min("doc_id").alias("node")), "classes")
-    postings = rows.agg(F.sum(F.col("n") - F.ceil(F.col("n") * percent / 100) + 1)).first()[0] or 0
-    shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-int(postings) // SHARD))
-    packed = staged(prefixes(docs.filter("doc_id is not null"), bucket_counts(profiles, bits), size, percent, shards, bits), "prefixes")
-    shared = staged(shared_postings(packed).join(classes, ["key", "n"]).select("token", "node", "n", "pos"), "shared")
-    labels = staged(shared.select("node", F.col("node").alias("label")).distinct(), "labels")
-    sets = staged(class_sets(docs.filter("doc_id is not null"), labels, labels.count(), size), "sets")
-
-    def fits(n: str, pos: str, m: str, at: str) -> F.Column:
-        small, large = F.least(n, m), F.greatest(n, m)
-        room = 1 + F.least(F.col(n) - F.col(pos), F.col(m) - F.col(at)) - 1
-        return (small * 100 >= large * percent) & (room * (100 + percent) >= (F.col(n) + F.col(m)) * percent)
-
-    for turn in ("nearest leader", "leaders", "all"):
-        now = shared.join(labels, "node").select("token", "node", "n", "pos", "label")
-        open_tokens = now.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.min(F.struct("n", "node", "pos", "label")).alias("lead")).filter("low < high")
-        if turn == "all":
-            left = now.join(open_tokens.select("token"), "token")
-            left = staged(left, "open")
-            right = left.toDF("token", "other", "m", "at", "with")
-            pairs = left.join(right, (left.token == right.token) & (left.label < right["with"]) & fits("n", "pos", "m", "at")).select("node", "other")
-        else:
-            lead = open_tokens.select("token", F.col("lead.node").alias("other"), F.col("lead.n").alias("m"), F.col("lead.pos").alias("at"), F.col("lead.label").alias("with"))
-            pairs = now.join(lead, "token").filter((F.col("label") != F.col("with")) & fits("n", "pos", "m", "at")).select("node", "other")
-            if turn == "nearest leader":
-                votes = pairs.groupBy("node", "other").count().groupBy("node")
-                pairs = votes.agg(F.max(F.struct("count", "other")).alias("best")).select("node", F.col("best.other").alias("other"))
-        pairs = pairs.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
-        links = staged(verified(staged(pairs, "pairs"), sets, percent), "links")
-        labels = connect(labels, links)
-
-    smallest = labels.groupBy("label").agg(F.min("node").alias("component_id"))
-    found = classes.join(labels.join(smallest, "label").select("node", "component_id"), "node", "left").select("key", "n", F.coalesce("component_id", "node").alias("component_id"))
-    out = rows.join(found, ["key", "n"], "left")
+    with scratch(spark):
+        rows = staged(profile(docs, size), "profile", keep=True)
+        named = rows.filter("n > 0 and doc_id is not null")
+        classes = staged(named.groupBy("key", "check").agg(F.min("doc_id").alias("node"), F.first("n").alias("n")), "classes", keep=True)
+        count, total = classes.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+        bits = min(64, max(32, total.bit_length() + 8))
+        shard_bits = max(0, (total // SHARD).bit_length(), (int(spark.conf.get("spark.sql.shuffle.partitions")) - 1).bit_length())
+        named_docs = docs.filter("doc_id is not null")
+        blocks = packed(only(named_docs, classes, count), size, bits, shard_bits)
+        postings = staged(prefixes(blocks, percent, bits, shard_bits), "prefixes")
+        met = postings.groupBy("token").agg(F.count("*").alias("texts")).filter("texts > 1")
+        postings = staged(postings.join(met.select("token"), "token", "left_semi"), "postings")
+        nodes = staged(postings.select("node").distinct(), "nodes")
+        sets = staged(class_sets(only(named_docs, nodes, nodes.count()), size), "sets")
+        labels = linked(postings, sets, nodes.select("node", F.col("node").alias("label")), percent)
+        # texts of one doc_id
+        own = named.join(classes.select("key", "check", "node"), ["key", "check"]).select("doc_id", "node")
+        several = own.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("b")).filter("a < b")
+        same = staged(own.join(several.select("doc_id", "a"), "doc_id").filter("node <> a").select("a", F.col("node").alias("b")).distinct(), "same")
+        if not same.isEmpty():
+            ends = same.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(labels, "node", "left_anti")
+            labels = connect(labels.unionByName(ends.select("node", F.col("node").alias("label"))), same)
+        smallest = labels.groupBy("label").agg(F.min("node").alias("component_id"))
+        found = staged(labels.join(smallest, "label").select("node", "component_id"), "components", keep=True)
+    found = classes.join(found, "node", "left").select("key", "check", F.coalesce("component_id", "node").alias("component_id"))
+    out = rows.join(found, ["key", "check"], "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))).alias("component_id"))
