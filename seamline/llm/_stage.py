@@ -46,6 +46,15 @@ def delete(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def unstage(df: DataFrame) -> None:
+    """Delete a table that :func:`staged` wrote; other tables are left alone."""
+    spark = df.sparkSession
+    home = shared_dir(spark).rstrip("/").rpartition("/")[2]
+    for folder in {x.rpartition("/")[0] for x in df.inputFiles()}:
+        if folder.split("/")[-2:-1] == [home]:
+            delete(spark, folder)
+
+
 @contextmanager
 def scratch(spark: SparkSession) -> Iterator[None]:
     """Delete what is staged inside, at the end. Only for work that is over by then: what is
@@ -80,5 +89,13 @@ def needed(df: DataFrame, *names: str) -> DataFrame:
     return df.select(*[F.col(f"`{n}`") for n in names])
 
 
+def free(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` doesn't have."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -35,7 +35,7 @@ from ._stage import needed, scratch, staged
 from ._words import U64, shingle_sets, slices
 
 #: Tokens of a block, and of a shard on average; what one task holds at once.
-BLOCK, SHARD = 2_000_000, 1_000_000
+BLOCK, SHARD = 1_000_000, 1_000_000
 #: Ranges of hashes of the suffix filter, and pairs that are intersected at a time.
 RANGES, PAIRS = 64, 256
 #: Leaders of a group in the first turn, and how many times as many all turns so far have in the next.

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._stage import needed, staged
+from ._stage import needed, scratch, staged
 from ._words import IS_SPACE, U64, mix, slices, text_buffers, windows
 
 ORDER = 4
@@ -307,11 +307,13 @@ def quality_rules(
     Returns doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words (long),
     base_failed, kept (boolean), lang, perplexity (double, null without characters), reason.
     """
-    counts = staged(count_ngrams(docs, order), "counts")
-    if counts.count() <= most_entries:
-        scored = staged(score(docs, kneser_ney(counts, order), order), "scored")
-    else:
-        scored = staged(score_by_join(docs, log_probabilities(counts, order), order), "scored")
+    with scratch(docs.sparkSession):
+        counts = staged(count_ngrams(docs, order), "counts")
+        if counts.count() <= most_entries:
+            scored = score(docs, kneser_ney(counts, order), order)
+        else:
+            scored = score_by_join(docs, log_probabilities(counts, order), order)
+        scored = staged(scored, "scored", keep=True)
     loss = F.when(F.col("n_chars") > 0, F.col("log_loss") / F.col("n_chars"))
     rated = scored.withColumns({"lang": F.coalesce("lang", F.lit("und")), "loss": loss})
     full = rated.filter(F.col("n_words") >= min_words)
