@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seamline.llm._stage import staged, table
+from seamline.llm._stage import free, scratch, staged, table, unstage
 from seamline.llm.decontamination import contaminated
 from seamline.llm.ngram_join import jaccard_components
 from seamline.llm.packing import pack
@@ -21,8 +21,9 @@ from seamline.llm.secrets import mask
 
 def without(docs: DataFrame, rejected: DataFrame, name: str) -> DataFrame:
     """The documents whose doc_id is not among the rejected ones."""
-    gone = staged(rejected.select(F.col("doc_id").alias("__gone")).distinct(), name)
-    return docs.join(gone, F.col("doc_id").cast("long") == F.col("__gone"), "left_anti")
+    own = free(docs, "gone")
+    gone = staged(rejected.select(F.col("doc_id").alias(own)).distinct(), name)
+    return docs.join(gone, F.col("doc_id").cast("long") == F.col(own), "left_anti")
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -61,12 +62,17 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("packing", packed),
 ]
 
-#: SQL can't express the perplexity bands or the packing; a brute-force test covers the stages.
+#: SQL can't express the perplexity bands or the packing; tests/llm/test_pipeline.py holds each
+#: stage against plain Python.
 ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = given = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = staged(stage(spark, docs, sf_dir), name)
+        with scratch(spark):
+            kept = staged(stage(spark, docs, sf_dir), name, keep=True)
+        if docs is not given:
+            unstage(docs)
+        docs = kept
     return STAGES[-1][1](spark, docs, sf_dir)
