@@ -94,13 +94,13 @@ def count_in_chunks(encoder: Encoder, text: str, chunk: int, overlap: int) -> tu
     if not encoder.separable:
         return len(encoder.model.encode(text)), 1
     total, chunks = 0, 1
-    left, end = 0, _even(raw, chunk)
+    left, end, step = 0, _even(raw, chunk), chunk
     bounds, _ = encoder.spans(raw, 0, end)
     while end < len(raw):
         wide = overlap
         while True:
             begin = _even(raw, max(left, end - wide))
-            stop = _even(raw, min(len(raw), end + chunk))
+            stop = _even(raw, min(len(raw), end + step))
             following, _ = encoder.spans(raw, begin, stop)
             chunks += 1
             common = np.intersect1d(bounds[bounds > begin], following[(following > begin) & (following < min(end, len(raw)))])
@@ -113,9 +113,11 @@ def count_in_chunks(encoder: Encoder, text: str, chunk: int, overlap: int) -> tu
         if common:
             at = common[len(common) // 2]
             total += int(np.searchsorted(bounds, at)) - int(np.searchsorted(bounds, left - (left == 0)))
-            left, bounds = at, following
+            left, bounds, step = at, following, chunk
         else:
-            # the rest from the last splice, together with the next chunk
+            # the rest from the last splice, together with the next chunk; chunks double until one
+            # splices, so that a text without a boundary is encoded a few times and not once a chunk
+            step *= 2
             bounds, _ = encoder.spans(raw, left + (left > 0), stop)
         end = stop
     return total + len(bounds) - 1 - int(np.searchsorted(bounds, left - (left == 0))), chunks
