@@ -5,8 +5,7 @@ back to its character n-grams, from the longest length to the shortest; the firs
 which the model knows any n-gram decides.
 
 The model is fitted on a bounded sample of labelled rows: ``max_rows`` rows in the mean, chosen
-by a hash of the id, and up to ``max_words`` words and ``max_grams`` n-grams of each length for
-each language. That bounds what is broadcast.
+by a hash of the id. All their words and n-grams are kept; what is broadcast is bounded by them.
 """
 
 from __future__ import annotations
@@ -17,7 +16,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._stage import needed, staged
@@ -35,14 +34,20 @@ def fold(doc_id: str = "doc_id") -> Column:
     return F.crc32(F.col(doc_id).cast("string")) % 3
 
 
+def drawn(key: str, share: float) -> Column:
+    """Whether a row is among the given share, by 53 bits of a hash of its key: exact for any share."""
+    return F.shiftrightunsigned(F.xxhash64(key, F.lit(17)), 11) < share * float(1 << 53)
+
+
 def bounded_sample(rows: DataFrame, max_rows: int, key: str = "doc_id") -> DataFrame:
     """About ``max_rows`` rows by a hash of the key, all rows if there are fewer."""
     n = rows.count()
-    return rows if n <= max_rows else rows.filter(F.pmod(F.xxhash64(key, F.lit(17)), F.lit(1 << 20)) < max_rows * (1 << 20) // n)
+    return rows if n <= max_rows else rows.filter(drawn(key, max_rows / n))
 
 
-def fit(docs: DataFrame, *, max_rows: int = 20_000, max_words: int = 30_000, max_grams: int = 20_000) -> DataFrame:
-    """Counts of words (length 0) and of n-grams for each language: lang, length, item, n, total."""
+def fit(docs: DataFrame, *, max_rows: int = 20_000) -> DataFrame:
+    """Counts of words (length 0) and of n-grams for each language: lang, length, item, n, total.
+    The model has all of the sample's words and n-grams; only labelled rows are bounded."""
     rows = bounded_sample(needed(docs, "doc_id", "text", "lang").filter("lang is not null and text is not null"), max_rows)
     words = (
         rows.select("lang", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(WORD), F.lit(0))).alias("item"))
@@ -58,9 +63,8 @@ def fit(docs: DataFrame, *, max_rows: int = 20_000, max_words: int = 30_000, max
     counts = words.select("lang", F.lit(0).alias("length"), "item", "n")
     for g in grams:
         counts = counts.unionByName(g)
-    group = Window.partitionBy("lang", "length")
-    ranked = counts.withColumns({"total": F.sum("n").over(group), "rank": F.row_number().over(group.orderBy(F.desc("n"), "item"))})
-    return ranked.filter(F.col("rank") <= F.when(F.col("length") == 0, max_words).otherwise(max_grams)).drop("rank")
+    counts = staged(counts, "counts")
+    return counts.join(counts.groupBy("lang", "length").agg(F.sum("n").alias("total")), ["lang", "length"])
 
 
 Tables = dict[int, tuple[pa.Array, np.ndarray]]
