@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from ._stage import needed, staged
 from .decontamination import let
+from .language_id import drawn
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 Rule = tuple[str, str]
@@ -72,8 +73,8 @@ def entropy(text: Column) -> Column:
 
 
 def suffix_of(host: Column) -> Column:
-    """The last label of a host."""
-    return F.substring_index(host, ".", -1)
+    """The last label of a host, without a port."""
+    return F.substring_index(F.regexp_replace(host, ":[0-9]*$", ""), ".", -1)
 
 
 def lexical(url: Column, host: Column, path: Column) -> dict[str, Column]:
@@ -146,18 +147,19 @@ def judge_urls(pages: DataFrame, *, rules: list[Rule] = RULES, max_rows: int = 2
     rows = rows.select("*", rule.alias("rule"), said.alias("said"), suffix_of(F.col("host")).alias("suffix"))
     rows = staged(rows.select("page_id", "host", "path", "rule", "said", "suffix", *[v.alias(k) for k, v in lexical(F.col("url"), F.col("host"), F.col("path")).items()], F.xxhash64("url").alias("draw")), "urls")
 
-    blocked = F.sum((F.col("said") == "block").cast("long"))
-    suffixes = staged(
-        rows.groupBy("suffix").agg(F.log1p(F.count("*")).alias("suffix_urls"), ((F.coalesce(blocked, F.lit(0)) + 1) / (F.count("said") + 2)).alias("suffix_share")), "suffixes"
-    )
+    is_block = (F.col("said") == "block").cast("long")
+    suffixes = staged(rows.groupBy("suffix").agg(F.log1p(F.count("*")).alias("suffix_urls"), F.coalesce(F.sum(is_block), F.lit(0)).alias("blocked"), F.count("said").alias("decided")), "suffixes")
     if suffixes.count() <= broadcast_rows:
         suffixes = F.broadcast(suffixes)
-    full = rows.join(suffixes, "suffix")
+    # a suffix's share of blocked URLs leaves out the row's own label
+    own = F.col("said").isNotNull().cast("long")
+    share = (F.col("blocked") - F.coalesce(is_block, F.lit(0)) + 1) / (F.col("decided") - own + 2)
+    full = rows.join(suffixes, "suffix").withColumn("suffix_share", share)
 
     known = full.filter("said is not null").withColumn("label", (F.col("said") == "block").cast("int"))
     n = rows.filter("said is not null").count()
     if n > max_rows:
-        known = known.filter(F.pmod(F.xxhash64("draw", F.lit(17)), F.lit(1 << 20)) < max_rows * (1 << 20) // n)
+        known = known.filter(drawn("draw", max_rows / n))
     learnt = staged(known.select("label", *FEATURES), "labelled").coalesce(4).cache()
     score = fit(learnt)
     learnt.unpersist()
