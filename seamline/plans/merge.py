@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from ..functions.codec import unsigned_key
 from ..operators.populate import outbound_records
+from ..operators.recovery import last_offsets, resume_producers, resume_sequences, starting_offsets
 from ..sources import kafka
 from ..streaming.dedup import handled_offsets, stream_dedup, use_rocksdb
 from .config import DedupSettings, strategy
@@ -51,23 +53,49 @@ def outbound_gaps(merged: DataFrame) -> DataFrame:
     return merged.filter("kind = 'gap'").select(*keys, "from_seq", "to_seq")
 
 
-def start_merge(
-    spark: SparkSession, settings: DedupSettings, checkpoint: str, *, start: DataFrame | None = None, starting_offsets: str = "earliest", on_gaps: Callable[[DataFrame], None] | None = None
-) -> StreamingQuery:
-    """Run the merge from Kafka to Kafka (needs the connector). ``on_gaps`` gets each micro-batch's
-    gaps, if it has any."""
-    use_rocksdb(spark)
-    servers = settings.consumer["bootstrap.servers"]
-    merged = merge(kafka.read_stream(spark, kafka.source_options(servers, settings.inbound_topics, starting_offsets=starting_offsets, group_prefix=settings.group_prefix)), settings, start=start)
-    sink = kafka.sink_options(settings.producer.get("bootstrap.servers", servers), settings.outbound_topic)
+def recovered(outbound: DataFrame, settings: DedupSettings) -> tuple[DataFrame, DataFrame]:
+    """Where a restart goes on, from what is sent: the sequences (keys, start_seq), and the offset
+    from which each partition and topic was handled."""
+    own = strategy(settings.strategy)
+    start = resume_sequences(outbound, own.header_prefix) if own.producer_key is None else resume_producers(outbound)
+    return start.filter("start_seq is not null"), last_offsets(outbound)
+
+
+def sender(settings: DedupSettings, sink: Callable[[DataFrame], None], *, sent: Callable[[], DataFrame] | None = None, on_gaps: Callable[[DataFrame], None] | None = None) -> Callable[[DataFrame, int], None]:
+    """What a micro-batch does: ``sink`` gets the outbound rows, ``on_gaps`` the gaps if there are
+    any. ``sent`` reads the outbound topic: the first micro-batch of a run may be one that an
+    earlier run has sent in part, so it leaves out what is there already."""
+    first = [sent is not None]
 
     def send(batch: DataFrame, _: int) -> None:
         batch.persist()
-        outbound_rows(batch, settings).write.format("kafka").options(**sink).save()
+        rows = batch
+        if first[0]:
+            done = recovered(sent(), settings)[0]
+            keys = [c for c in done.columns if c != "start_seq"]
+            done = done.select(*[F.col(k).alias(f"__{k}") for k in keys], "start_seq")
+            known = batch.join(done, [batch[k] == done[f"__{k}"] for k in keys], "left")
+            rows = known.filter((F.col("kind") != "record") | F.col("start_seq").isNull() | (unsigned_key("seq") >= unsigned_key("start_seq"))).select(batch.columns)
+            first[0] = False
+        sink(outbound_rows(rows, settings))
         found = outbound_gaps(batch)
-        if on_gaps is not None and found.limit(1).count():
+        if on_gaps is not None and not found.isEmpty():
             on_gaps(found)
         batch.unpersist()
 
+    return send
+
+
+def start_merge(spark: SparkSession, settings: DedupSettings, checkpoint: str, *, partitions: list[int] | None = None, on_gaps: Callable[[DataFrame], None] | None = None) -> StreamingQuery:
+    """Run the merge from Kafka to Kafka (needs the connector). What the outbound topic holds decides
+    where it goes on: sequences and, for a new checkpoint and the given ``partitions``, offsets."""
+    use_rocksdb(spark)
+    servers = settings.consumer["bootstrap.servers"]
+    sink = kafka.sink_options(settings.producer.get("bootstrap.servers", servers), settings.outbound_topic)
+    sent = lambda: kafka.read_batch(spark, kafka.source_options(servers, [settings.outbound_topic]))
+    start, offsets = recovered(sent(), settings)
+    at = starting_offsets(offsets, settings.inbound_topics, partitions) if partitions else "earliest"
+    captured = kafka.read_stream(spark, kafka.source_options(servers, settings.inbound_topics, starting_offsets=at, group_prefix=settings.group_prefix))
+    send = sender(settings, lambda rows: rows.write.format("kafka").options(**sink).save(), sent=sent, on_gaps=on_gaps)
     interval = f"{settings.commit_ms} milliseconds"
-    return merged.writeStream.foreachBatch(send).option("checkpointLocation", checkpoint).trigger(processingTime=interval).start()
+    return merge(captured, settings, start=start).writeStream.foreachBatch(send).option("checkpointLocation", checkpoint).trigger(processingTime=interval).start()

@@ -10,8 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
 from ..operators.populate import now_ms
-from ..functions.headers import header_long
-from ..schema import DEDUP_SEND_TIME, SEQUENCE
+from ..schema import DEDUP_SEND_TIME
 
 
 def source_options(servers: str, topics: Sequence[str], *, starting_offsets: str = "earliest", max_per_trigger: int | None = None, group_prefix: str | None = None) -> dict[str, str]:
@@ -57,15 +56,6 @@ def start_capture(records: DataFrame, options: dict[str, str], checkpoint: str,
     return records.writeStream.format("kafka").options(**options).option("checkpointLocation", checkpoint).trigger(processingTime=interval)
 
 
-def not_yet_sent(batch: DataFrame, last: DataFrame) -> DataFrame:
-    """A micro-batch without what an earlier, failed try has sent: records at or below the last
-    outbound sequence of their partition (``partition, headers``)."""
-    done = last.select(F.col("partition").alias("__partition"), header_long("headers", SEQUENCE).alias("__seq"))
-    sign = F.lit(-(1 << 63)).cast("bigint")
-    joined = batch.join(done, batch["partition"] == done["__partition"], "left")
-    return joined.filter(F.coalesce(F.col("seq").bitwiseXOR(sign) > F.col("__seq").bitwiseXOR(sign), F.lit(True))).drop("__partition", "__seq")
-
-
 def stamped(rows: DataFrame) -> DataFrame:
     """Rows with the send time added to their headers."""
     from ..functions.headers import append_headers, long_header

@@ -10,11 +10,13 @@ import struct
 import threading
 from collections import deque
 from collections.abc import Callable, Iterator
-from typing import Protocol
+from contextlib import suppress
+from typing import Any, Protocol
 
 from pyspark.sql.datasource import DataSource, SimpleDataSourceStreamReader
 from pyspark.sql.types import StructType
 
+from ..plans.config import UdpCapture, WebsocketCapture
 from ..schema import SPOOL_SCHEMA
 from .spool import SpoolWriter
 
@@ -57,34 +59,40 @@ class UdpReceiver:
 class WebsocketReceiver:
     """Binary frames as they are, text frames encoded with ``charset``; reconnects after a pause.
     ``connect``: opens a connection with ``recv()`` and ``close()``; by default that of the
-    optional websocket-client library."""
+    optional websocket-client library. ``lost``: the errors besides OSError by which a
+    connection tells that it is lost."""
 
-    def __init__(self, url: str, *, charset: str = "UTF-8", pause: float = 1.0, connect: Callable[[str], object] | None = None):
-        self.url, self.charset, self.pause, self.connect = url, charset, pause, connect
+    def __init__(self, url: str, *, charset: str = "UTF-8", pause: float = 1.0, connect: Callable[[str], object] | None = None, lost: tuple[type[Exception], ...] = ()):
+        self.url, self.charset, self.pause, self.connect, self.lost = url, charset, pause, connect, (OSError, *lost)
         self.connection = None
         self.stopped = threading.Event()
 
     def open(self) -> None:
         if self.connect is None:
-            from websocket import create_connection
+            from websocket import WebSocketException, create_connection
 
-            self.connect = create_connection
+            self.connect, self.lost = create_connection, (*self.lost, WebSocketException)
 
     def receive(self) -> bytes | None:
         try:
             if self.connection is None:
                 self.connection = self.connect(self.url)
             frame = self.connection.recv()
-        except OSError:
-            self.connection = None
+        except self.lost:
+            self._drop()
             self.stopped.wait(self.pause)
             return None
         return frame.encode(self.charset) if isinstance(frame, str) else bytes(frame)
 
+    def _drop(self) -> None:
+        connection, self.connection = self.connection, None
+        if connection is not None:
+            with suppress(*self.lost):
+                connection.close()
+
     def close(self) -> None:
         self.stopped.set()
-        if self.connection is not None:
-            self.connection.close()
+        self._drop()
 
 
 class Agent:
@@ -122,6 +130,19 @@ class Agent:
             raise self.failure
 
 
+def agent_of(settings: UdpCapture | WebsocketCapture, **given: Any) -> Agent:
+    """The agent of a capture's settings, not yet started. ``given``: what settings can't hold,
+    such as a websocket's ``connect``."""
+    own = settings.receiver
+    if isinstance(settings, WebsocketCapture):
+        receiver = WebsocketReceiver(own.url, charset=own.charset, **given)
+    elif isinstance(settings, UdpCapture):
+        receiver = UdpReceiver(own.port, group=own.group, iface=own.iface, mtu=own.mtu, **given)
+    else:
+        raise TypeError(f"there is no receiver for {type(settings).__name__}")
+    return Agent(receiver, SpoolWriter(settings.spool.path, max_ms=settings.spool.roll_ms))
+
+
 class _UdpReader(SimpleDataSourceStreamReader):
     """Datagrams numbered from 0; those of uncommitted batches can be read again."""
 

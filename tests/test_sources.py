@@ -4,6 +4,7 @@ import json
 import socket
 import time
 
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -60,6 +61,51 @@ def test_websocket_receiver_reconnects(tmp_path):
     receiver.close()
 
 
+def test_websocket_receiver_reconnects_on_the_errors_of_its_library(tmp_path):
+    class Closed(Exception):
+        pass
+
+    class Connection:
+        closed = 0
+
+        def __init__(self, frames):
+            self.frames = frames
+
+        def recv(self):
+            if not self.frames:
+                raise Closed
+            return self.frames.pop(0)
+
+        def close(self):
+            Connection.closed += 1
+            raise Closed
+
+    rounds = [[b"1"], [b"2", b"3"]]
+    given = config.from_dict(config.WebsocketCapture, {"receiver": {"url": "ws://x"}, "spool": {"path": str(tmp_path), "roll_ms": 20}, "kafka": {"producer": {}, "topic": "t", "partition": 0}})
+    agent = receivers.agent_of(given, pause=0.05, connect=lambda url: Connection(rounds.pop(0)) if rounds else Connection([]), lost=(Closed,))
+    agent.start()
+    time.sleep(0.6)
+    agent.close()
+    assert sorted(x for f in tmp_path.glob("*.parquet") for x in pq.read_table(f)["payload"].to_pylist()) == [b"1", b"2", b"3"]
+    assert Connection.closed >= 2
+
+
+def test_capture_restarts_from_its_settings(spark, tmp_path):
+    """Each message is spooled once over two runs of a capture built from settings."""
+    given = {"receiver": {"iface": "127.0.0.1", "group": None, "port": 0}, "spool": {"path": str(tmp_path)}, "kafka": {"producer": {}, "topic": "t", "partition": 0}}
+    for run in range(2):
+        agent = receivers.agent_of(config.from_dict(config.UdpCapture, given))
+        agent.start()
+        with socket.socket(socket.AF_INET, socket.SOCK_DGRAM) as out:
+            for k in range(5):
+                out.sendto(f"M{run}{k}".encode(), ("127.0.0.1", agent.receiver.port))
+        time.sleep(0.3)
+        agent.close()
+    assert sorted(r["payload"] for r in spark.read.parquet(str(tmp_path)).collect()) == sorted(f"M{run}{k}".encode() for run in range(2) for k in range(5))
+    with pytest.raises(TypeError):
+        receivers.agent_of(config.BusCapture(config.BusSettings("d", "c", 1), config.Spool("p"), config.KafkaTarget({}, "t", 0)))
+
+
 def test_udp_source_replays_until_commit():
     reader = receivers.UdpDataSource({"port": "0", "iface": "127.0.0.1"}).simpleStreamReader(None)
     with socket.socket(socket.AF_INET, socket.SOCK_DGRAM) as out:
@@ -83,12 +129,6 @@ def test_kafka_rows(spark):
     assert sorted(r[:] for r in rows) == [(0, 8, 1, 1234, "8"), (1, 7, 1, 1234, "7")]
 
 
-def test_retried_batches_are_not_sent_twice(spark):
-    batch = spark.createDataFrame([(0, 5), (0, 6), (1, 1), (0, -1)], "partition int, seq long")
-    last = spark.createDataFrame([(0,)], "partition int").withColumn("headers", header_list(long_header("DDSEQ", F.lit(5))))
-    assert sorted((r["partition"], r["seq"]) for r in kafka.not_yet_sent(batch, last).collect()) == [(0, -1), (0, 6), (1, 1)]
-
-
 def test_settings(spark, tmp_path):
     given = {
         "group_prefix": "g", "consumer": {}, "producer": {}, "inbound_topics": ["a", "b"], "outbound_topic": "o",
