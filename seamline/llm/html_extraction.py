@@ -93,23 +93,26 @@ def votes(joined: DataFrame) -> DataFrame:
         names = [x.split()[0] for x in VOTE_SCHEMA.split(", ")]
         for batch in batches:
             total: dict[tuple[str, int, int, int], list[int]] = {}
-            for host, html, slot, reference in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
-                if html == reference:
-                    continue
-                own = parsed[reference]
-                texts = [x.text for x in leaves(own)]
-                pairs = [(k, texts[k] == x.text) for k, x in counterparts(own, parse(html))]
-                alike = sum(len(texts[k]) for k, same in pairs if same)
-                share = SHARES * alike // max(1, sum(map(len, texts)))
-                for k, same in [(-1, False), *pairs]:
-                    count = total.setdefault((host, slot, share, k), [0, 0])
-                    count[0] += 1
-                    count[1] += same
+            for host, html, references in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+                page = None
+                for slot, reference in ((x["slot"], x["reference"]) for x in references):
+                    if html == reference:
+                        continue
+                    page = page or parse(html)
+                    own = parsed[reference]
+                    texts = [x.text for x in leaves(own)]
+                    pairs = [(k, texts[k] == x.text) for k, x in counterparts(own, page)]
+                    alike = sum(len(texts[k]) for k, same in pairs if same)
+                    share = SHARES * alike // max(1, sum(map(len, texts)))
+                    for k, same in [(-1, False), *pairs]:
+                        count = total.setdefault((host, slot, share, k), [0, 0])
+                        count[0] += 1
+                        count[1] += same
             if total:
                 columns = [*zip(*total, strict=True), *zip(*total.values(), strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, (pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64()), strict=True)], names=names)
 
-    return joined.select("host", "html", "slot", "reference").mapInArrow(run, VOTE_SCHEMA).groupBy("host", "slot", "share", "leaf").agg(F.sum("met").alias("met"), F.sum("alike").alias("alike"))
+    return joined.select("host", "html", "references").mapInArrow(run, VOTE_SCHEMA).groupBy("host", "slot", "share", "leaf").agg(F.sum("met").alias("met"), F.sum("alike").alias("alike"))
 
 
 def constant_leaves(counted: DataFrame, least_pages: int, percent: int, copy_share: float) -> DataFrame:
@@ -177,7 +180,8 @@ def extract_text(pages: DataFrame, *, slots: int = 2, least_pages: int = 4, perc
         chosen = staged(references(rows, slots), "references")
         size = chosen.agg(F.sum(F.octet_length("reference") + F.octet_length("host"))).first()[0] or 0
         hint = F.broadcast if size <= broadcast_bytes else lambda x: x
-        counted = staged(votes(rows.filter("html is not null").join(hint(chosen), "host")), "votes")
+        together = chosen.groupBy("host").agg(F.collect_list(F.struct("slot", "reference")).alias("references"))  # one for each slot
+        counted = staged(votes(rows.filter("html is not null").join(hint(together), "host")), "votes")
         constant = constant_leaves(counted, least_pages, percent, copy_share)
         wrappers = chosen.join(constant, ["host", "slot"]).groupBy("host").agg(F.collect_list(F.struct("reference", "constant")).alias("wrappers"))
         wrappers = staged(wrappers, "wrappers", keep=True)
