@@ -15,6 +15,7 @@
    times as many in each turn until all have; a turn pairs leaders with members of another
    component, and of two components at least one is not the group's largest. So a group of
    near copies is linked through its leaders, and any two texts that are not connected do meet.
+   A group with a large share of all members is dealt to pieces, and its leaders go to each.
 5. *Verification*, once for a pair: a suffix filter bounds the overlap by the counts of both
    sets in equal ranges of hashes; only what passes has its sets fetched and intersected.
 """
@@ -40,6 +41,8 @@ BLOCK, SHARD = 1_000_000, 1_000_000
 RANGES, PAIRS = 64, 256
 #: Leaders of a group in the first turn, and how many times as many all turns so far have in the next.
 LEADERS, MORE = 2, 4
+#: A group with more than one in so many of all members is dealt to pieces, none above that share.
+PIECES = 256
 #: Nodes that a broadcast bit table of 8 bits each can hold; more are looked up by a join.
 MOST_NODES = 1 << 25
 PROFILE_SCHEMA = "doc_id long, n long, key long, check long"
@@ -301,9 +304,15 @@ def _bin(size: F.Column) -> F.Column:
     return F.floor(F.log(F.greatest(size, F.lit(1)).cast("double")) / F.log(F.lit(1.1))).cast("int")
 
 
+def _each_piece(df: DataFrame) -> DataFrame:
+    """Each row once for every piece of its group."""
+    return df.withColumn("piece", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)))
+
+
 def groups(postings: DataFrame, percent: int) -> DataFrame:
     """The postings by group (a token and two ranges of sizes), as the smaller text of a pair and
-    as the larger one; ``turn``: the share of the group's members that lead before."""
+    as the larger one; ``turn``: the share of the group's members that lead before. Members of a
+    large group are dealt to ``pieces`` by hash, so that no task has to read one whole."""
     n, room = F.col("n"), F.col("n") - F.col("pos")
     partner = F.floor(room * (100 + percent) / percent) - n  # the largest partner that the position leaves
     most = F.least(F.floor(n * 100 / percent), partner)
@@ -312,8 +321,13 @@ def groups(postings: DataFrame, percent: int) -> DataFrame:
     large = postings.filter(most >= least).withColumns({"small": F.explode(F.sequence(_bin(least), _bin(most))), "large": _bin(n), "role": F.lit(1)})
     members = staged(small.unionByName(large.select(small.columns)).select(F.xxhash64("token", "small", "large").alias("group"), "node", "n", "pos", "role"), "members")
     sizes = members.groupBy("group").agg(F.count("*").alias("members"), F.sum("role").alias("larger")).filter("larger > 0 and larger < members")
+    sizes = staged(sizes.select("group", "members"), "sizes")
+    share = F.ceil(F.col("members") * PIECES / F.lit(max(1, members.count()))).cast("int")
+    large = F.broadcast(sizes.filter(share > 1).select("group", share.alias("pieces")))  # fewer than PIECES rows
+    sizes, members = (x.join(large, "group", "left").withColumn("pieces", F.coalesce("pieces", F.lit(1))) for x in (sizes, members))
+    members = members.withColumn("piece", F.pmod(F.xxhash64("group", "node"), "pieces").cast("int"))
     turn = F.col("members") * (F.xxhash64("node").bitwiseAND((1 << 40) - 1) / float(1 << 40))
-    return members.join(sizes, "group").select("group", "node", "n", "pos", "role", "members", turn.alias("turn"))
+    return members.join(_each_piece(sizes).drop("pieces"), ["group", "piece"]).select("group", "piece", "pieces", "node", "n", "pos", "role", "members", turn.alias("turn"))
 
 
 def linked(postings: DataFrame, sets: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
@@ -321,19 +335,19 @@ def linked(postings: DataFrame, sets: DataFrame, labels: DataFrame, percent: int
     active, tested, first, last = staged(groups(postings, percent), "groups"), None, 0, LEADERS
     while True:
         now = active.join(labels, "node")
-        open_ = now.groupBy("group", "label").agg(F.count("*").alias("held")).groupBy("group")
+        open_ = now.groupBy("group", "pieces", "label").agg(F.count("*").alias("held")).groupBy("group", "pieces")
         open_ = open_.agg(F.max_by("label", "held").alias("main"), F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high")
-        now = now.filter(F.col("members") > first).join(open_.select("group", "main"), "group")
+        now = now.filter(F.col("members") > first).join(_each_piece(open_).select("group", "piece", "main"), ["group", "piece"])
         now = staged(now.withColumn("minor", F.col("label") != F.col("main")), "open")
         if now.isEmpty():
             return labels
         lead = now.filter((F.col("turn") >= first) & (F.col("turn") < last))
         lead = lead.withColumn("minor", F.explode(F.when(F.col("minor"), F.array(F.lit(True), F.lit(False))).otherwise(F.array(F.lit(True)))))
-        lead = lead.select("group", "minor", F.col("node").alias("other"), F.col("n").alias("m"), F.col("pos").alias("at"), F.col("role").alias("part"), F.col("label").alias("with"))
+        lead = _each_piece(lead.drop("piece")).select("group", "piece", "minor", F.col("node").alias("other"), F.col("n").alias("m"), F.col("pos").alias("at"), F.col("role").alias("part"), F.col("label").alias("with"))
         short, long = F.least("n", "m"), F.greatest("n", "m")
         room = F.least(F.col("n") - F.col("pos"), F.col("m") - F.col("at"))
         fits = (short * 100 >= long * percent) & (room * (100 + percent) >= (short + long) * percent)
-        pairs = now.join(lead, ["group", "minor"]).filter((F.col("role") != F.col("part")) & (F.col("label") != F.col("with")) & fits)
+        pairs = now.join(lead, ["group", "piece", "minor"]).filter((F.col("role") != F.col("part")) & (F.col("label") != F.col("with")) & fits)
         pairs = pairs.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
         pairs = staged(pairs.join(tested, ["a", "b"], "left_anti") if tested else pairs, "pairs")
         tested = tested.unionByName(pairs) if tested else pairs
