@@ -24,7 +24,7 @@ from __future__ import annotations
 
 import hashlib
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -45,6 +45,8 @@ LEADERS, MORE = 2, 4
 PIECES = 256
 #: Nodes that a broadcast bit table of 8 bits each can hold; more are looked up by a join.
 MOST_NODES = 1 << 25
+#: What a Python worker does with its batches (doc_id, text).
+Work = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
 PROFILE_SCHEMA = "doc_id long, n long, key long, check long"
 PACKED_SCHEMA = "shard long, block long, payload binary"
 POSTING_SCHEMA = "token long, node long, n long, pos long"
@@ -95,12 +97,13 @@ def profile(docs: DataFrame, size: int) -> DataFrame:
     return docs.mapInArrow(run, PROFILE_SCHEMA)
 
 
-def only(docs: DataFrame, nodes: DataFrame, n: int) -> DataFrame:
-    """The rows (doc_id, text, wanted) to look at for some nodes; where ``wanted`` is false a row
-    isn't needed. Up to ``MOST_NODES`` nodes are looked up in a bit table, which lets a few others
-    pass; more are joined."""
+def only(docs: DataFrame, nodes: DataFrame, n: int, work: Work, schema: str) -> DataFrame:
+    """``work`` on the rows (doc_id, text) of some nodes, in the Python worker that looks them up.
+    Up to ``MOST_NODES`` nodes are looked up in a bit table, which lets a few others pass; more
+    are joined."""
     if n > MOST_NODES:
-        return docs.join(nodes.select(F.col("node").alias("doc_id")).distinct(), "doc_id", "left_semi").select("doc_id", "text", F.lit(True).alias("wanted"))
+        held = docs.join(nodes.select(F.col("node").alias("doc_id")).distinct(), "doc_id", "left_semi")
+        return held.select("doc_id", "text").mapInArrow(work, schema)
     bits = max(16, (8 * n).bit_length())
     spot = lambda c: F.xxhash64(c).bitwiseAND((1 << bits) - 1)
     words = nodes.groupBy(F.shiftrightunsigned(spot("node"), 5).cast("int").alias("at")).agg(F.bit_or(F.pow(F.lit(2.0), spot("node").bitwiseAND(31)).cast("long")).alias("bits"))
@@ -113,13 +116,13 @@ def only(docs: DataFrame, nodes: DataFrame, n: int) -> DataFrame:
         for batch in batches:
             at = batch.column(2).to_numpy()
             found = (sent.value[at >> 5] >> (at & 31).astype(np.uint32) & 1).astype(bool)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found)], names=["doc_id", "text", "wanted"]).filter(pa.array(found))
+            yield batch.select(["doc_id", "text"]).filter(pa.array(found))
 
-    return docs.select("doc_id", "text", spot("doc_id").alias("spot")).mapInArrow(look, "doc_id long, text string, wanted boolean")
+    return docs.select("doc_id", "text", spot("doc_id").alias("spot")).mapInArrow(lambda batches: work(look(batches)), schema)
 
 
-def packed(docs: DataFrame, size: int, bits: int, shard_bits: int) -> DataFrame:
-    """Blocks of texts. To each shard: the block's distinct tokens, the text of the first posting
+def packed(size: int, bits: int, shard_bits: int) -> Work:
+    """Makes blocks of texts. To each shard: the block's distinct tokens, the text of the first posting
     and the number of postings. To the block itself (as shard ``-1 - block``): its texts with
     their sizes and numbers of tokens, then all postings but the first of each token."""
 
@@ -166,7 +169,7 @@ def packed(docs: DataFrame, size: int, bits: int, shard_bits: int) -> DataFrame:
         if owners:
             yield from one(block, owners, held)
 
-    return docs.select("doc_id", "text").mapInArrow(run, PACKED_SCHEMA)
+    return run
 
 
 def prefixes(blocks: DataFrame, percent: int, bits: int, shard_bits: int) -> DataFrame:
@@ -228,8 +231,8 @@ def prefixes(blocks: DataFrame, percent: int, bits: int, shard_bits: int) -> Dat
     return met.groupBy("block").applyInArrow(finish, POSTING_SCHEMA)
 
 
-def class_sets(docs: DataFrame, size: int) -> DataFrame:
-    """The sets of some documents, with the counts of their hashes in equal ranges. A node that
+def class_sets(size: int) -> Work:
+    """Makes the sets of documents, with the counts of their hashes in equal ranges. A node that
     several texts have gets the sets of all."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -248,7 +251,7 @@ def class_sets(docs: DataFrame, size: int) -> DataFrame:
                     kinds = (pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.binary())
                     yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=_names(SET_SCHEMA))
 
-    return docs.select("doc_id", "text").mapInArrow(run, SET_SCHEMA)
+    return run
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -376,12 +379,12 @@ def jaccard_components(docs: DataFrame, *, percent: int = 75, size: int = 5) ->
         bits = min(64, max(32, total.bit_length() + 8))
         shard_bits = max(0, (total // SHARD).bit_length(), (int(spark.conf.get("spark.sql.shuffle.partitions")) - 1).bit_length())
         named_docs = docs.filter("doc_id is not null")
-        blocks = packed(only(named_docs, classes, count), size, bits, shard_bits)
+        blocks = only(named_docs, classes, count, packed(size, bits, shard_bits), PACKED_SCHEMA)
         postings = staged(prefixes(blocks, percent, bits, shard_bits), "prefixes")
         met = postings.groupBy("token").agg(F.count("*").alias("texts")).filter("texts > 1")
         postings = staged(postings.join(met.select("token"), "token", "left_semi"), "postings")
         nodes = staged(postings.select("node").distinct(), "nodes")
-        sets = staged(class_sets(only(named_docs, nodes, nodes.count()), size), "sets")
+        sets = staged(only(named_docs, nodes, nodes.count(), class_sets(size), SET_SCHEMA), "sets")
         labels = linked(postings, sets, nodes.select("node", F.col("node").alias("label")), percent)
         # texts of one doc_id
         own = named.join(classes.select("key", "check", "node"), ["key", "check"]).select("doc_id", "node")
