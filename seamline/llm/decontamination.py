@@ -82,7 +82,8 @@ def contaminated(docs: DataFrame, items: DataFrame, *, percent: int = 75, size:
     fewer words is one shingle, found wherever a document has these words in a row.
 
     Null and blank texts hold nothing and are held by nothing. Rows that repeat a doc_id or an
-    item_id are compared one by one, and the best pair counts. Empty tables give no rows.
+    item_id are compared one by one, and the best pair counts. Rows without a doc_id or an item_id
+    can't be named in a pair and give none. Empty tables give no rows.
     Returns doc_id, item_id, n_item, n_common (long), containment (double).
     """
     docs, items = needed(docs, "doc_id", "text"), needed(items, "item_id", "text")
