@@ -13,6 +13,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..functions.codec import bytes_to_long, int_at, long_at
+from ..streaming.dedup import DedupProcessor
 
 
 @dataclass(frozen=True)
@@ -100,7 +101,7 @@ class DedupSettings:
 
 @dataclass(frozen=True)
 class Strategy:
-    """Where a record's sequence and producer are, and how long a gap may last."""
+    """Where a record's sequence and producer are, how long a gap may last, and what decides."""
 
     sequence: Column
     producer_key: Column | None = None
@@ -108,6 +109,7 @@ class Strategy:
     timeout_ms: int | None = 10_000
     expire_ms: int | None = None
     header_prefix: str = ""
+    processor: type[DedupProcessor] = DedupProcessor
 
 
 def _timeout(props: dict) -> int | None:

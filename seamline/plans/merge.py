@@ -29,7 +29,8 @@ def merge(captured: DataFrame, settings: DedupSettings, *, start: DataFrame | No
     own = strategy(settings.strategy)
     keys = ("partition",) if own.producer_key is None else ("partition", "producer_key")
     return stream_dedup(
-        _normalised(captured, settings), topics=len(settings.inbound_topics), keys=keys, ordered=settings.ordered, timeout_ms=own.timeout_ms, expire_ms=own.expire_ms, carry=KEPT, start=start
+        _normalised(captured, settings), topics=len(settings.inbound_topics), keys=keys, ordered=settings.ordered, timeout_ms=own.timeout_ms, expire_ms=own.expire_ms, carry=KEPT, start=start,
+        processor=own.processor,
     )
 
 
@@ -38,6 +39,14 @@ def dead_letters(captured: DataFrame, settings: DedupSettings) -> DataFrame:
     return _normalised(captured, settings).filter("seq is null")
 
 
+def start_dead_letters(captured: DataFrame, settings: DedupSettings, checkpoint: str, sink: Callable[[DataFrame], None], **trigger) -> StreamingQuery:
+    """Send the dead letters of a stream to ``sink``, by a query beside the merge. Its commit
+    interval is the merge's, if no other ``trigger`` is given."""
+    given = trigger or {"processingTime": f"{settings.commit_ms} milliseconds"}
+    letters = dead_letters(captured, settings)
+    return letters.writeStream.foreachBatch(lambda rows, _: sink(rows)).option("checkpointLocation", checkpoint).trigger(**given).start()
+
+
 def outbound_rows(merged: DataFrame, settings: DedupSettings) -> DataFrame:
     """Sent records as a sink takes them, with the headers that a restart needs. Several producers
     of a partition get headers of their own name."""
@@ -86,9 +95,10 @@ def sender(settings: DedupSettings, sink: Callable[[DataFrame], None], *, sent:
     return send
 
 
-def start_merge(spark: SparkSession, settings: DedupSettings, checkpoint: str, *, partitions: list[int] | None = None, on_gaps: Callable[[DataFrame], None] | None = None) -> StreamingQuery:
+def start_merge(spark: SparkSession, settings: DedupSettings, checkpoint: str, *, partitions: list[int] | None = None, on_gaps: Callable[[DataFrame], None] | None = None, on_dead_letters: Callable[[DataFrame], None] | None = None) -> StreamingQuery:
     """Run the merge from Kafka to Kafka (needs the connector). What the outbound topic holds decides
-    where it goes on: sequences and, for a new checkpoint and the given ``partitions``, offsets."""
+    where it goes on: sequences and, for a new checkpoint and the given ``partitions``, offsets.
+    ``on_dead_letters`` gets the records whose sequence can't be read, from a query of its own."""
     use_rocksdb(spark)
     servers = settings.consumer["bootstrap.servers"]
     sink = kafka.sink_options(settings.producer.get("bootstrap.servers", servers), settings.outbound_topic)
@@ -97,5 +107,7 @@ def start_merge(spark: SparkSession, settings: DedupSettings, checkpoint: str, *
     at = starting_offsets(offsets, settings.inbound_topics, partitions) if partitions else "earliest"
     captured = kafka.read_stream(spark, kafka.source_options(servers, settings.inbound_topics, starting_offsets=at, group_prefix=settings.group_prefix))
     send = sender(settings, lambda rows: rows.write.format("kafka").options(**sink).save(), sent=sent, on_gaps=on_gaps)
+    if on_dead_letters is not None:
+        start_dead_letters(captured, settings, f"{checkpoint.rstrip('/')}-dead-letters", on_dead_letters)
     interval = f"{settings.commit_ms} milliseconds"
     return merge(captured, settings, start=start).writeStream.foreachBatch(send).option("checkpointLocation", checkpoint).trigger(processingTime=interval).start()

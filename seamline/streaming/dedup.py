@@ -62,7 +62,9 @@ class _Held:
 
 class DedupProcessor(StatefulProcessor):
     """Sends each key's records in order, and reports gaps. ``carry``: the columns that a record
-    takes along."""
+    takes along. ``sequencer`` makes the decisions: a subclass may name another."""
+
+    sequencer: type[Sequencer] = Sequencer
 
     def __init__(self, keys: Sequence[str], topics: int, ordered: bool, timeout_ms: int | None, expire_ms: int | None, carry: Sequence[str]):
         self.keys, self.topics, self.ordered, self.timeout_ms, self.expire_ms, self.carry = list(keys), topics, ordered, timeout_ms, expire_ms, list(carry)
@@ -82,7 +84,7 @@ class DedupProcessor(StatefulProcessor):
     def _load(self) -> Sequencer:
         at = self.position.get() if self.position.exists() else (None, None, None)
         marks = {k[0]: int(v[0]) for k, v in self.marks.iterator()}
-        return Sequencer(self.topics, self.ordered, self.timeout_ms, None if at[0] is None else int(at[0]), at[1], marks, _Held(self.held))
+        return self.sequencer(self.topics, self.ordered, self.timeout_ms, None if at[0] is None else int(at[0]), at[1], marks, _Held(self.held))
 
     def _save(self, core: Sequencer, marks: dict[int, int], now: int) -> None:
         self.position.update((None if core.next is None else str(core.next), core.waiting_since, now))
@@ -160,7 +162,7 @@ class DedupProcessor(StatefulProcessor):
 
 def stream_dedup(
     records: DataFrame, *, topics: int, keys: Sequence[str] = ("partition",), ordered: bool = False, timeout_ms: int | None = 10_000, expire_ms: int | None = None,
-    carry: Sequence[str] = ("payload",), start: DataFrame | None = None,
+    carry: Sequence[str] = ("payload",), start: DataFrame | None = None, processor: type[DedupProcessor] = DedupProcessor,
 ) -> DataFrame:
     """Merge a stream of captured records (``keys``, seq, topic_idx, offset, arrival, those in
     ``carry``, and num_seq if records cover several sequences) into rows of ``kind`` record or gap.
@@ -170,7 +172,8 @@ def stream_dedup(
     ``done`` is true, where there is such a column, says that its topic sends no more for its
     key; other rows with a null seq are left out (dead letters, see the sources). ``carry`` are
     columns of binary, string or array type. ``start``: keys and ``start_seq`` from which a new
-    query goes on. ``handled`` has the last offset of each topic at that point.
+    query goes on. ``handled`` has the last offset of each topic at that point. ``processor``: the
+    class that decides, a user's own or the merge's.
 
     Needs the RocksDB provider (:func:`use_rocksdb`). With a timeout or expiry there are timers,
     and the query has to run on a processing-time trigger: with ``availableNow`` it would go on
@@ -190,6 +193,6 @@ def stream_dedup(
     types = dict(rows.dtypes)
     schema = ", ".join(f"{k} {types[k]}" for k in keys) + f", {ROW_SCHEMA}, " + ", ".join(f"{k} {types[k]}" for k in carry)
     timers = timeout_ms is not None or expire_ms is not None
-    processor = DedupProcessor(keys, topics, ordered, timeout_ms, expire_ms, carry)
+    own = processor(keys, topics, ordered, timeout_ms, expire_ms, carry)
     initial = None if start is None else start.select(*keys, F.col("start_seq").cast("string").alias("start_seq")).groupBy(*keys)
-    return rows.groupBy(*keys).transformWithStateInPandas(processor, outputStructType=schema, outputMode="Append", timeMode="ProcessingTime" if timers else "None", initialState=initial)
+    return rows.groupBy(*keys).transformWithStateInPandas(own, outputStructType=schema, outputMode="Append", timeMode="ProcessingTime" if timers else "None", initialState=initial)

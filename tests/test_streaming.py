@@ -8,7 +8,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from seamline.operators import dedup
-from seamline.streaming.dedup import stream_dedup, use_rocksdb
+from seamline.streaming.core import Sequencer
+from seamline.streaming.dedup import DedupProcessor, stream_dedup, use_rocksdb
 from seamline.streaming.listener import ProgressListener, observed
 
 SCHEMA = "partition int, producer_key string, seq long, topic_idx int, offset long, arrival long, payload binary, done boolean"
@@ -93,7 +94,7 @@ def test_settings_build_the_whole_merge(spark, tmp_path):
     from seamline.functions.headers import header_long
     from seamline.operators.recovery import last_offsets, resume_sequences
     from seamline.plans.config import DedupSettings, from_dict
-    from seamline.plans.merge import dead_letters, merge, outbound_gaps, outbound_rows
+    from seamline.plans.merge import dead_letters, merge, outbound_gaps, outbound_rows, start_dead_letters
 
     settings = from_dict(DedupSettings, {
         "group_prefix": "g", "consumer": {}, "producer": {}, "inbound_topics": ["a", "b"], "outbound_topic": "o", "ordered": True,
@@ -113,11 +114,72 @@ def test_settings_build_the_whole_merge(spark, tmp_path):
     assert sorted(r[:] for r in sent.select("partition", bytes_of("key"), header_long("headers", "DDSEQ"), header_long("headers", "DDNUM")).collect()) == [(0, 5, 5, 1), (0, 7, 7, 1), (0, 8, 8, 1)]
     assert [r[:] for r in outbound_gaps(out).select("partition", "from_seq", "to_seq").collect()] == [(0, 6, 6)]
     assert [r["offset"] for r in dead_letters(df, settings).collect()] == [2]
+    letters = []
+    start_dead_letters(source, settings, str(tmp_path / "d"), lambda rows: letters.extend(r["offset"] for r in rows.collect()), availableNow=True).awaitTermination()
+    assert letters == [2]
     kept = sent.withColumn("offset", header_long("headers", "DDSEQ"))
     assert [r[:] for r in resume_sequences(kept).collect()] == [(0, 9)]
     assert sorted(r[:] for r in last_offsets(kept).collect()) == [(0, 0, 3), (0, 1, 1)]
 
 
+class EvenOnly(Sequencer):
+    """A user's own rule: odd sequences are never sent."""
+
+    def offer(self, topic, seq, record, now, count=1):
+        if seq % 2:
+            return "DROP", []
+        return super().offer(topic, seq, record, now, 2)
+
+
+class EvenProcessor(DedupProcessor):
+    sequencer = EvenOnly
+
+
+def test_a_strategy_brings_its_own_processor(spark, tmp_path, monkeypatch):
+    from seamline.functions.codec import bytes_to_long, long_to_bytes
+    from seamline.plans import config
+    from seamline.plans.merge import merge
+
+    monkeypatch.setitem(config.STRATEGIES, "even", lambda props: config.Strategy(bytes_to_long("key"), timeout_ms=None, processor=EvenProcessor))
+    settings = config.from_dict(config.DedupSettings, {"group_prefix": "g", "consumer": {}, "producer": {}, "inbound_topics": ["a"], "outbound_topic": "o", "ordered": True, "strategy": {"impl": "even"}})
+    df = spark.createDataFrame([(k,) for k in (4, 5, 6, 6, 7, 10)], "n long").select(
+        long_to_bytes("n").alias("key"), F.lit(b"v").alias("value"), F.lit("a").alias("topic"), F.lit(0).alias("partition"), F.col("n").alias("offset"),
+        F.timestamp_millis("n").alias("timestamp"), F.lit(0).alias("timestampType"), F.lit(None).cast("array<struct<key:string,value:binary>>").alias("headers"))
+    df.coalesce(1).write.parquet(str(tmp_path / "in"))
+    merged = merge(spark.readStream.schema(df.schema).parquet(str(tmp_path / "in")), settings)
+    merged.writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start(str(tmp_path / "out")).awaitTermination()
+    out = spark.read.schema(merged.schema).parquet(str(tmp_path / "out"))
+    assert sorted(r["seq"] for r in out.filter("kind = 'record'").collect()) == [4, 6, 10]
+    assert [r[:] for r in out.filter("kind = 'gap'").select("from_seq", "to_seq").collect()] == [(8, 9)]
+
+
+def test_a_silent_producer_expires(spark, tmp_path):
+    """After its expiry a producer's next record opens a new stream, even one that starts lower."""
+    put(spark, tmp_path / "in", [(0, "a", s, 0, s, s, b"x", False) for s in (7, 8)])
+    source = spark.readStream.schema(SCHEMA).parquet(str(tmp_path / "in"))
+    merged = stream_dedup(source, topics=1, keys=("partition", "producer_key"), timeout_ms=None, expire_ms=3000)
+    query = merged.writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "checkpoint")).trigger(processingTime="300 milliseconds").start(str(tmp_path / "out"))
+
+    def sent(n):
+        found = []
+        for _ in range(120):
+            time.sleep(0.5)
+            assert query.exception() is None
+            if (tmp_path / "out").exists() and any((tmp_path / "out").glob("*.parquet")):
+                found = [r["seq"] for r in spark.read.schema(merged.schema).parquet(str(tmp_path / "out")).collect()]
+                if len(found) >= n:
+                    break
+        return sorted(found)
+
+    try:
+        assert sent(2) == [7, 8]
+        time.sleep(6)  # silent for longer than the expiry
+        put(spark, tmp_path / "in", [(0, "a", 2, 0, 9, 9, b"x", False)])
+        assert sent(3) == [2, 7, 8]
+    finally:
+        query.stop()
+
+
 def test_a_restart_goes_on_from_what_is_sent(spark, tmp_path):
     """The first micro-batch of a run leaves out what an earlier run has sent; gaps are told."""
     from seamline.functions.codec import long_to_bytes
