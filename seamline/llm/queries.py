@@ -1,12 +1,16 @@
-"""The registered queries of this subpackage: the ten operators over their whole tables."""
+"""The registered queries of this subpackage: the numbered operators over their whole tables."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from ._stage import table
+from ._stage import staged, table
+from .conversation_repair import damaged, plan_repairs, repaired_turns, turn_digests
+from .conversation_trie import numbered_turns, prefix_trie, rebuilt_turns
 from .decontamination import contaminated
 from .html_extraction import extract_text
+from .inverted_multi_index import nearest
 from .language_id import identify
 from .ngram_join import jaccard_components
 from .packing import pack
@@ -62,7 +66,30 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_token_counts, op3_packing, op4_decontamination, op5_secret_scans, op6_language_id, op7_url_filters, op8_ngram_jaccard_join, op9_html_extraction, op10_quality_classifier)}
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    given = table(spark, sf_dir, "conversations")
+    rows = damaged(given)
+    plans = staged(plan_repairs(rows), "repairs")
+    digests = turn_digests(repaired_turns(rows, plans)).withColumnRenamed("conv_id", "repaired_id")
+    found = plans.withColumnRenamed("conv_id", "planned_id")
+    counts = [c for c in plans.columns if c not in ("conv_id", "audit")]
+    ids = given.select(F.col("conv_id").cast("long").alias("conv_id")).distinct()
+    joined = ids.join(found, F.col("conv_id").eqNullSafe(F.col("planned_id")), "left").join(digests, F.col("conv_id").eqNullSafe(F.col("repaired_id")), "left")
+    nothing = F.sha2(F.lit(b""), 256)
+    return joined.select("conv_id", *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in counts], F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", nothing).alias("repaired_sha256"))
+
+
+def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = staged(numbered_turns(table(spark, sf_dir, "conversations")), "turns")
+    conv = F.col("conv_id")
+    return prefix_trie(*rebuilt_turns(turns, conv - conv % 20, F.crc32(conv.cast("string")) % 4))
+
+
+def op13_approximate_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(table(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_token_counts, op3_packing, op4_decontamination, op5_secret_scans, op6_language_id, op7_url_filters, op8_ngram_jaccard_join, op9_html_extraction, op10_quality_classifier, op11_conversation_repair, op12_conversation_trie, op13_approximate_nearest)}
 
 _SHINGLES = """(SELECT DISTINCT id, array_to_string(w[i : i + 4], ' ') AS s FROM (
   SELECT id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM (

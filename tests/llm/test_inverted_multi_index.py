@@ -1,0 +1,80 @@
+"""The inverted multi-index against brute force: exact scores, recall, ties, copies, odd rows."""
+
+import numpy as np
+import pytest
+
+from seamline.llm import queries
+from seamline.llm.inverted_multi_index import nearest, traverse
+
+SCHEMA = "vec_id long, embedding array<float>, label int, rank string"
+
+
+def brute(rows, every=100, k=10):
+    rows = [(i, np.array(v, np.float64)) for i, v in rows]
+    out = {}
+    for i, v in rows:
+        if i % every == 0:
+            found = sorted((float(np.sqrt(((w - v) ** 2).sum())), j) for j, w in rows if j != i)
+            out[i] = found[:k]
+    return out
+
+
+def got(df):
+    out = {}
+    for r in df.orderBy("query_id", "rank").collect():
+        out.setdefault(r["query_id"], []).append((r["score"], r["vec_id"]))
+        assert r["rank"] == len(out[r["query_id"]])
+    return out
+
+
+def recall(found, want):
+    hits = sum(len({j for _, j in found.get(q, [])} & {j for _, j in w}) for q, w in want.items())
+    return hits / max(1, sum(map(len, want.values())))
+
+
+def test_table(spark, sf_dir):
+    from .brute import table
+
+    rows = table(sf_dir, "embeddings", "vec_id, embedding")
+    vectors, want, found = dict(rows), brute(rows), got(queries.op13_approximate_nearest(spark, sf_dir))
+    assert set(found) == set(want) and recall(found, want) >= 0.9
+    for q, near in found.items():
+        assert len(near) == 10 and near == sorted(near) and q not in {j for _, j in near}
+        for score, j in near:
+            assert score == pytest.approx(float(np.linalg.norm(np.array(vectors[q], float) - np.array(vectors[j], float))), abs=1e-12)
+
+
+def test_pairs_of_centroids_come_by_their_sum():
+    draw = np.random.default_rng(1)
+    for shape in ((1, 1), (1, 7), (5, 1), (6, 9)):
+        first, second = draw.random(shape[0]), draw.random(shape[1])
+        counts = np.arange(shape[0] * shape[1])
+        cells = [c for c, n in traverse(first, second, counts) if n == counts[c]]
+        sums = [first[c // shape[1]] + second[c % shape[1]] for c in cells]
+        assert sorted(cells) == counts.tolist() and sums == sorted(sums)
+
+
+def test_awkward_rows_and_a_third_of_copies(spark):
+    draw = np.random.default_rng(2)
+    rows = [(i, draw.normal(size=6).astype(np.float32).tolist()) for i in range(600)]
+    rows += [(i, [1.0, 2.0, 3.0, 4.0, 5.0, 6.0]) for i in range(1000, 1400)]
+    good = list(rows)
+    rows += [(7000, None), (7001, []), (7100, [0.0] * 6), (7200, [1.0, None, 1.0, 1.0, 1.0, 1.0]), (7300, [float("nan")] * 6), (7400, [float("inf")] * 6), (None, [1.0] * 6), (7500, [1.0, 2.0]), rows[0], rows[0]]
+    df = spark.createDataFrame([(i, v, 1, "clash") for i, v in rows], SCHEMA).repartition(7)
+    want = brute(good)
+    found = got(nearest(df, piece_rows=50, per_cell=8))
+    assert set(found) == set(want) and recall(found, want) >= 0.9
+    for q in (1000, 1100, 1200, 1300):  # copies: the smallest ids but the query's own
+        assert found[q] == [(0.0, j) for j in [*range(1000, 1012)] if j != q][:10]
+    whole = got(nearest(df, recall=1.0, sample_queries=100, piece_rows=64))
+    assert {q: [j for _, j in x] for q, x in whole.items()} == {q: [j for _, j in x] for q, x in want.items()}
+
+
+def test_few_rows(spark):
+    make = lambda rows: spark.createDataFrame([(i, v, 0, "") for i, v in rows], SCHEMA)
+    assert got(nearest(make([]))) == {}
+    assert got(nearest(make([(0, [1.0, 1.0])]))) == {}
+    assert got(nearest(make([(0, [1.0]), (5, [3.0]), (100, [2.0])]))) == {0: [(1.0, 100), (2.0, 5)], 100: [(1.0, 0), (1.0, 5)]}
+    assert got(nearest(make([(1, [1.0, 2.0]), (2, [1.0, 2.0])]))) == {}
+    ties = make([(0, [0.0, 1.0]), (3, [0.0, 1.0]), (0, [5.0, 1.0]), (9, [0.0, 2.0])])
+    assert got(nearest(ties))[0] == [(0.0, 3), (1.0, 9)]
