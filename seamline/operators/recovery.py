@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.codec import unsigned_key
 from ..functions.headers import header_long, recovered_offsets
 from ..schema import SEQUENCE, SEQUENCE_COUNT
+from .dedup import ARRIVAL, KEYS, gaps, sequenced_dedup
 
 
 def last_records(outbound: DataFrame) -> DataFrame:
@@ -31,6 +33,26 @@ def handled_offsets(records: DataFrame) -> DataFrame:
     return records.groupBy("partition", "topic_idx").agg(F.max("offset").alias("offset"))
 
 
+def low_water_offsets(records: DataFrame, *, keys: Sequence[str] = KEYS, arrival: Sequence[str] = ARRIVAL, start: str | DataFrame = "first_arrival") -> DataFrame:
+    """partition, topic_idx and ``offset``, the highest below which nothing is only held when all
+    ``records`` have been handled and no gap given up, and ``handled``, the last offset of all. A
+    cold start after ``offset`` reads again whatever was held; one after ``handled`` loses it.
+
+    ``keys``: the partition, and producers within it if there are any; what any of them holds
+    counts for the partition. Arguments as in ``sequenced_dedup``; an empty table gives no rows.
+    """
+    sent = sequenced_dedup(records, keys=keys, arrival=arrival, start=start)
+    stuck = gaps(sent, keys=keys).groupBy(*keys).agg(F.min(unsigned_key("from_seq")).alias("__stuck"))
+    stuck = stuck.select(*[F.col(k).alias(f"__{k}") for k in keys], "__stuck")
+    same = F.lit(True)
+    for k in keys:
+        same = same & sent[k].eqNullSafe(stuck[f"__{k}"])
+    held = sent.join(stuck, same).filter(unsigned_key("seq") > F.col("__stuck"))
+    low = held.groupBy("partition", "topic_idx").agg(F.min("offset").alias("__low"))
+    rows = records.groupBy("partition", "topic_idx").agg(F.max("offset").alias("handled")).join(low, ["partition", "topic_idx"], "left")
+    return rows.select("partition", "topic_idx", F.least(F.col("__low") - 1, F.col("handled")).alias("offset"), "handled")
+
+
 def tracked_count(offsets: DataFrame) -> DataFrame:
     """The number of topics with a tracked offset in each partition."""
     return offsets.groupBy("partition").agg(F.count("*").alias("tracked"))

@@ -34,6 +34,14 @@ def captures(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bus(spark, sf_dir).withColumn("offset", F.col("seq")).withColumn("topic_idx", F.explode(F.array_compact(heard)))
 
 
+def delayed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The captures with ``clock``, an arrival time of their own in milliseconds: most copies come
+    soon, single sequences and whole stretches of them late."""
+    seq = F.col("seq")
+    delay = (seq * 37 + F.col("topic_idx") * 61) % 50 + F.when(seq % 11 == 4, 400).otherwise(0) + F.when(F.floor(seq / 20) % 9 == 3, 700).otherwise(0)
+    return captures(spark, sf_dir).withColumn("clock", (F.col("arrival") * 10 + delay).cast("bigint"))
+
+
 def topics(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
     """The same captures as one table for each topic."""
     heard = bus(spark, sf_dir).withColumn("offset", F.col("seq"))
@@ -60,5 +68,7 @@ cap AS (
   UNION ALL SELECT *, 2 FROM bus WHERE seq % 3 <> 1),
 sent AS (
   SELECT * FROM cap QUALIFY row_number() OVER (PARTITION BY part, seq ORDER BY arrival, topic_idx) = 1),
+late AS (
+  SELECT *, arrival * 10 + (seq * 37 + topic_idx * 61) % 50 + CASE WHEN seq % 11 = 4 THEN 400 ELSE 0 END + CASE WHEN (seq // 20) % 9 = 3 THEN 700 ELSE 0 END AS clock FROM cap),
 outb AS (
   SELECT *, row_number() OVER (PARTITION BY part ORDER BY seq) - 1 AS sent_offset FROM sent)"""

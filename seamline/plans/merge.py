@@ -27,10 +27,9 @@ def merge(captured: DataFrame, settings: DedupSettings, *, start: DataFrame | No
     """Kafka-shaped rows of all capture topics, merged: rows of kind record or gap. ``start``: where
     each partition (and producer) goes on, from recovery."""
     own = strategy(settings.strategy)
-    keys = ("partition",) if own.producer_key is None else ("partition", "producer_key")
     return stream_dedup(
-        _normalised(captured, settings), topics=len(settings.inbound_topics), keys=keys, ordered=settings.ordered, timeout_ms=own.timeout_ms, expire_ms=own.expire_ms, carry=KEPT, start=start,
-        processor=own.processor,
+        _normalised(captured, settings), topics=len(settings.inbound_topics), ordered=settings.ordered, timeout_ms=own.timeout_ms, expire_ms=own.expire_ms, carry=KEPT, start=start,
+        processor=own.processor, producer=None if own.producer_key is None else "producer_key", counts=True,
     )
 
 

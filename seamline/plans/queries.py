@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,12 +9,13 @@ from pyspark.sql import functions as F
 
 from ..functions.codec import bytes_to_long, encode_text, int_at, long_at, long_to_bytes, slice_payload, unsigned_key, unsigned_text
 from ..functions.headers import header_long
-from ..operators import dedup, recovery, stats
+from ..operators import dedup, recovery, stats, timeout
 from ..operators.ordered import numbered
 from ..operators.populate import populate, split_header
 from ..sources.kafka import normalise
+from ..staging import new_folder
 from ..streaming.dedup import stream_dedup, use_rocksdb
-from .fixture import BUS_SQL, bus, captures, outbound, topics
+from .fixture import BUS_SQL, bus, captures, delayed, outbound, topics
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -23,10 +23,11 @@ EXPIRE_MS = 86_400_000
 TOPICS = ["cap_a", "cap_b", "cap_c"]
 
 
-def query(sql: str) -> Callable:
+def query(sql: str, recursive: bool = False) -> Callable:
     def put(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
         QUERIES[f.__name__] = f
-        ORACLE_SQL[f.__name__] = f"WITH {BUS_SQL}{sql}" if sql.lstrip().startswith(",") else f"WITH {BUS_SQL} {sql}"
+        head = f"WITH {'RECURSIVE ' if recursive else ''}{BUS_SQL}"
+        ORACLE_SQL[f.__name__] = f"{head}{sql}" if sql.lstrip().startswith(",") else f"{head} {sql}"
         return f
 
     return put
@@ -82,6 +83,49 @@ def _by_producer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return captures(spark, sf_dir).withColumn("seq", F.col("pseq"))
 
 
+TIMEOUT_MS = 300
+
+#: One step for each arrival and each gap that is given up, from lists of the first copies' times.
+_TIMEOUTS = f""", opened AS (SELECT part, arg_min(seq, (clock, topic_idx)) AS start FROM late GROUP BY part),
+firsts AS (SELECT part, seq, min(clock) AS t FROM late JOIN opened USING (part) WHERE seq >= start GROUP BY ALL),
+lists AS (SELECT part, list(seq ORDER BY t, seq) AS s, list(t ORDER BY t, seq) AS t FROM firsts GROUP BY part),
+walk AS (
+  SELECT part, 0 AS i, start AS next, NULL::BIGINT AS since, []::BIGINT[] AS held, NULL::BIGINT AS from_seq, NULL::BIGINT AS to_seq, NULL::BIGINT AS given_up FROM opened
+  UNION ALL
+  SELECT part, CASE WHEN due THEN i ELSE i + 1 END,
+    CASE WHEN due THEN held[1] + ahead WHEN x = next THEN next + 1 + ahead ELSE next END,
+    CASE WHEN due THEN CASE WHEN len(held) > ahead THEN since + {TIMEOUT_MS} + 1 END
+      WHEN x = next THEN CASE WHEN len(held) > ahead THEN now END
+      WHEN x > next AND (len(held) = 0 OR x < held[1]) THEN now ELSE since END,
+    CASE WHEN due OR x = next THEN held[ahead + 1:] WHEN x > next THEN list_sort(list_append(held, x)) ELSE held END,
+    CASE WHEN due THEN next END, CASE WHEN due THEN held[1] - 1 END, CASE WHEN due THEN since + {TIMEOUT_MS} + 1 END
+  FROM (SELECT *, len(list_filter(held, lambda h, k: h = CASE WHEN due THEN held[1] - 1 ELSE next END + k)) AS ahead
+    FROM (SELECT w.*, l.s[i + 1] AS x, l.t[i + 1] AS now, len(held) > 0 AND (i >= len(l.s) OR since + {TIMEOUT_MS} + 1 <= l.t[i + 1]) AS due, len(l.s) AS n
+      FROM walk w JOIN lists l USING (part)) WHERE due OR i < n)),
+given AS (SELECT part, from_seq, to_seq, given_up FROM walk WHERE given_up IS NOT NULL)"""
+
+
+@query(_TIMEOUTS + """ SELECT part::BIGINT AS partition, from_seq, to_seq, given_up,
+  (SELECT count(*) FROM late c WHERE c.part = g.part AND c.seq BETWEEN from_seq AND to_seq)::BIGINT AS late FROM given g""", recursive=True)
+def gap_timeout_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = timeout.gap_timeouts(delayed(spark, sf_dir), TIMEOUT_MS, arrival=("clock", "topic_idx", "offset"), time="clock")
+    return longs(found, "partition", "from_seq", "to_seq", "given_up", "late")
+
+
+@query(_TIMEOUTS + """ SELECT part::BIGINT AS partition, seq, t AS clock FROM firsts f
+WHERE NOT EXISTS (SELECT 1 FROM given g WHERE g.part = f.part AND f.seq BETWEEN g.from_seq AND g.to_seq)""", recursive=True)
+def gap_timeout_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return longs(timeout.timeout_dedup(delayed(spark, sf_dir), TIMEOUT_MS, arrival=("clock", "topic_idx", "offset"), time="clock"), "partition", "seq", "clock")
+
+
+@query(_GAPS + """, stuck AS (SELECT part, min(from_seq) AS stuck FROM holes WHERE to_seq >= from_seq GROUP BY part),
+low AS (SELECT part, topic_idx, min(seq) - 1 AS low FROM sent JOIN stuck USING (part) WHERE seq > stuck GROUP BY ALL),
+marks AS (SELECT part, topic_idx, max(seq) AS handled FROM cap GROUP BY ALL)
+SELECT part::BIGINT AS partition, topic_idx::BIGINT AS topic_idx, least(low, handled)::BIGINT AS "offset", handled::BIGINT AS handled FROM marks LEFT JOIN low USING (part, topic_idx)""")
+def low_water_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return longs(recovery.low_water_offsets(captures(spark, sf_dir)), "partition", "topic_idx", "offset", "handled")
+
+
 PRODUCER = ("partition", "producer_key")
 
 
@@ -245,17 +289,11 @@ def latency_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("partition", "day", "n", "min_ms", *[F.round(f"{k}_ms", 3).alias(f"{k}_ms") for k in ("mean", *stats.QUANTILES)], "max_ms")
 
 
-def _scratch(spark: SparkSession) -> str:
-    """A new folder that driver and executors share."""
-    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    return f"{shared.rstrip('/')}/stream-{uuid.uuid4().hex}"
-
-
 def _streamed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The captures as a stream in three runs, merged by the stateful processor; at the end each
     topic says that it is done."""
     use_rocksdb(spark)
-    top = _scratch(spark)
+    top = new_folder(spark, "stream")
     rows = captures(spark, sf_dir).select("partition", "seq", "topic_idx", "offset", "arrival", F.encode("event_type", "UTF-8").alias("payload"), F.lit(False).alias("done"))
     ends = rows.select("partition").distinct().join(spark.range(3).select(F.col("id").cast("int").alias("topic_idx")))
     done = ends.select("partition", F.lit(None).cast("bigint").alias("seq"), "topic_idx", *[F.lit(None).cast("bigint").alias(x) for x in ("offset", "arrival")], F.lit(None).cast("binary").alias("payload"), F.lit(True).alias("done"))

@@ -32,11 +32,32 @@ class Gap(NamedTuple):
     to_seq: int
 
 
+class Held:
+    """Held records in memory: what a sequencer asks of a store."""
+
+    def __init__(self) -> None:
+        self.records: dict[int, tuple[int, Any]] = {}
+        self.heap: list[int] = []
+
+    def __contains__(self, seq: int) -> bool:
+        return seq in self.records
+
+    def lowest(self) -> int | None:
+        return self.heap[0] if self.heap else None
+
+    def add(self, seq: int, count: int, record: Any) -> None:
+        self.records[seq] = count, record
+        heapq.heappush(self.heap, seq)
+
+    def pop_lowest(self) -> tuple[int, Any]:
+        return self.records.pop(heapq.heappop(self.heap))
+
+
 @dataclass
 class Sequencer:
     """``topics``: how many captures there are. ``ordered``: each capture's sequences ascend.
     ``timeout_ms``: the longest wait for a missing sequence; None waits for ever. ``held``: the
-    store of held records by sequence, a dict or the like."""
+    store of held records. ``stamp``: what a record becomes at the moment it is sent."""
 
     topics: int
     ordered: bool = False
@@ -44,11 +65,8 @@ class Sequencer:
     next: int | None = None
     waiting_since: int | None = None
     marks: dict[int, int] = field(default_factory=dict)
-    held: dict[int, tuple[int, Any]] = field(default_factory=dict)
-    _heap: list[int] = field(default_factory=list)
-
-    def __post_init__(self) -> None:
-        self._heap = sorted(self.held)
+    held: Held = field(default_factory=Held)
+    stamp: Callable[[Any], Any] = lambda record: record
 
     def offer(self, topic: int, seq: int, record: Any, now: int, count: int = 1) -> tuple[str, list[Sent | Gap]]:
         """The verdict on a record as it arrives, and all that is sent or given up thereby."""
@@ -59,11 +77,12 @@ class Sequencer:
             return DROP, self._settle(now, False)
         if seq == self.next:
             self.next = seq + count
-            return SEND, [Sent(seq, record), *self._settle(now, True)]
-        earlier = not self._heap or seq < self._heap[0]
-        if seq not in self.held:
-            self.held[seq] = count, record
-            heapq.heappush(self._heap, seq)
+            sent = Sent(seq, self.stamp(record))
+            return SEND, [sent, *self._settle(now, True)]
+        lowest = self.held.lowest()
+        earlier = lowest is None or seq < lowest
+        if earlier or seq not in self.held:
+            self.held.add(seq, count, record)
         out = self._settle(now, earlier)
         return (SEND if any(isinstance(x, Sent) and x.seq == seq for x in out) else CACHE), out
 
@@ -76,6 +95,10 @@ class Sequencer:
         """Time has passed."""
         return self._settle(now, False)
 
+    def give_up(self, now: int) -> list[Sent | Gap]:
+        """Nothing is waited for any more: all that is held is sent, with the gaps between."""
+        return self._settle(now, False, True)
+
     def deadline(self) -> int | None:
         """When to call :meth:`tick`, if nothing arrives before."""
         return None if self.timeout_ms is None or self.waiting_since is None else self.waiting_since + self.timeout_ms + 1
@@ -83,23 +106,21 @@ class Sequencer:
     def _past(self, seq: int) -> bool:
         return self.ordered and len(self.marks) >= self.topics and min(self.marks.values()) >= seq
 
-    def _settle(self, now: int, moved: bool) -> list[Sent | Gap]:
+    def _settle(self, now: int, moved: bool, over: bool = False) -> list[Sent | Gap]:
         out: list[Sent | Gap] = []
-        while self._heap:
-            first = self._heap[0]
+        while (first := self.held.lowest()) is not None:
             if first > self.next:
                 late = self.timeout_ms is not None and not moved and self.waiting_since is not None and now > self.waiting_since + self.timeout_ms
-                if not late and not self._past(first):
+                if not over and not late and not self._past(first):
                     break
                 out.append(Gap(self.next, first - 1))
                 self.next = first
-            heapq.heappop(self._heap)
-            count, record = self.held.pop(first)
+            count, record = self.held.pop_lowest()
             if first == self.next:
-                out.append(Sent(first, record))
+                out.append(Sent(first, self.stamp(record)))
                 self.next = first + count
             moved = True
-        if not self._heap:
+        if self.held.lowest() is None:
             self.waiting_since = None
         elif moved or self.waiting_since is None:
             self.waiting_since = now

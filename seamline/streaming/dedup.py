@@ -1,10 +1,9 @@
-"""The merge as a streaming query: one stateful processor by partition, or by partition and
-producer. State is kept by the RocksDB provider, so held records may exceed memory.
+"""The merge as a streaming query: one stateful processor by partition, with its producers inside.
+State is kept by the RocksDB provider, so held records may exceed memory.
 """
 
 from __future__ import annotations
 
-import pickle
 from collections.abc import Iterator, Sequence
 from typing import Any
 
@@ -14,10 +13,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from .core import MAX_UNSIGNED, Gap, Sent, Sequencer
+from .store import NODE, NODE_KEY, RECORD_KEY, HeldStore, signed
 
 PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-OUTPUT = {"kind": "object", "seq": "Int64", "num_seq": "Int64", "from_seq": "Int64", "to_seq": "Int64", "topic_idx": "Int32", "offset": "Int64", "handled": "object"}
+OUTPUT = {"kind": "object", "seq": "Int64", "num_seq": "Int64", "from_seq": "Int64", "to_seq": "Int64", "topic_idx": "Int32", "offset": "Int64", "handled": "object", "dropped": "Int64", "held": "Int64"}
+COUNTS = ("dropped", "held")
 ROW_SCHEMA = "kind string, seq bigint, num_seq bigint, from_seq bigint, to_seq bigint, topic_idx int, offset bigint, handled string"
+COUNT_SCHEMA = ", dropped bigint, held bigint"
 NONE = -(1 << 63)  # of an offset; pandas would turn a column with nulls into floats
 
 
@@ -25,10 +27,6 @@ def use_rocksdb(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", PROVIDER)
 
 
-def _signed(seq: int) -> int:
-    return seq - (1 << 64) if seq >= 1 << 63 else seq
-
-
 def _handled(offsets: dict[int, int]) -> str:
     return ",".join(f"{k}:{v}" for k, v in sorted(offsets.items()))
 
@@ -39,122 +37,166 @@ def handled_offsets(handled: Column | str) -> Column:
     return F.map_from_entries(F.transform(F.filter(entries, lambda e: e["key"] != ""), lambda e: F.struct(e["key"].cast("int"), e["value"].cast("bigint"))))
 
 
-class _Held:
-    """Held records in a map state, as the sequencer's store."""
+def _packed(numbers: dict[int, int]) -> str:
+    return _handled(numbers)
 
-    def __init__(self, state: Any):
-        self.state = state
 
-    def __iter__(self) -> Iterator[int]:
-        return (k[0] & MAX_UNSIGNED for k in list(self.state.keys()))
+def _unpacked(text: str | None) -> dict[int, int]:
+    return {int(k): int(v) for k, _, v in (x.partition(":") for x in (text or "").split(",") if x)}
 
-    def __contains__(self, seq: int) -> bool:
-        return self.state.containsKey((_signed(seq),))
 
-    def __setitem__(self, seq: int, value: tuple[int, Any]) -> None:
-        self.state.updateValue((_signed(seq),), (value[0], pickle.dumps(value[1])))
-
-    def pop(self, seq: int) -> tuple[int, Any]:
-        count, record = self.state.getValue((_signed(seq),))
-        self.state.removeKey((_signed(seq),))
-        return count, pickle.loads(record)
+#: Where a producer's stream is: unsigned numbers as text, times in epoch milliseconds.
+POSITION = "next string, waiting bigint, last bigint, marks string"
 
 
 class DedupProcessor(StatefulProcessor):
     """Sends each key's records in order, and reports gaps. ``carry``: the columns that a record
-    takes along. ``sequencer`` makes the decisions: a subclass may name another."""
+    takes along, as DDL of their types. ``producer``: the column of producers within a key, or
+    None. ``sequencer`` makes the decisions: a subclass may name another.
+
+    A micro-batch reads the positions of its producers and the head of what they hold; the rest of
+    the held records stays in the state untouched.
+    """
 
     sequencer: type[Sequencer] = Sequencer
 
-    def __init__(self, keys: Sequence[str], topics: int, ordered: bool, timeout_ms: int | None, expire_ms: int | None, carry: Sequence[str]):
-        self.keys, self.topics, self.ordered, self.timeout_ms, self.expire_ms, self.carry = list(keys), topics, ordered, timeout_ms, expire_ms, list(carry)
+    def __init__(self, keys: Sequence[str], topics: int, ordered: bool, timeout_ms: int | None, expire_ms: int | None, carry: dict[str, str], producer: str | None = None, counts: bool = False):
+        self.keys, self.topics, self.ordered, self.timeout_ms, self.expire_ms, self.carry, self.producer, self.counts = list(keys), topics, ordered, timeout_ms, expire_ms, dict(carry), producer, counts
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.position = handle.getValueState("position", "next string, waiting bigint, last bigint")
-        self.marks = handle.getMapState("marks", "topic int", "mark string")
-        self.held = handle.getMapState("held", "seq bigint", "num bigint, record binary")
-        self.offsets = handle.getMapState("offsets", "topic int", "last bigint")
+        columns = "".join(f", c{k} {t}" for k, t in enumerate(self.carry.values()))
+        # of producers that hold nothing, forgotten after their expiry; of those that hold something
+        self.idle = handle.getMapState("idle", "producer string", POSITION, *([self.expire_ms] if self.expire_ms is not None else []))
+        self.waiting = handle.getMapState("waiting", "producer string", POSITION)
+        self.records = handle.getMapState("records", RECORD_KEY, f"num bigint, topic int, offset bigint{columns}")
+        self.nodes = handle.getMapState("nodes", NODE_KEY, NODE)
+        self.partition = handle.getValueState("partition", "offsets string, held bigint")
 
     def handleInitialState(self, key, initialState, timerValues) -> None:  # noqa: N802, N803
-        start = initialState["start_seq"].tolist()[0]
-        if start is not None and start == start:
-            self.position.update((str(int(start) & MAX_UNSIGNED), None, timerValues.getCurrentProcessingTimeInMs()))
-
-    def _load(self) -> Sequencer:
-        at = self.position.get() if self.position.exists() else (None, None, None)
-        marks = {k[0]: int(v[0]) for k, v in self.marks.iterator()}
-        return self.sequencer(self.topics, self.ordered, self.timeout_ms, None if at[0] is None else int(at[0]), at[1], marks, _Held(self.held))
-
-    def _save(self, core: Sequencer, marks: dict[int, int], now: int) -> None:
-        self.position.update((None if core.next is None else str(core.next), core.waiting_since, now))
-        for k, v in core.marks.items():
-            if marks.get(k) != v:
-                self.marks.updateValue((k,), (str(v),))
+        names = initialState[self.producer].tolist() if self.producer else [""] * len(initialState)
+        for name, start in zip(names, initialState["start_seq"].tolist(), strict=True):
+            if start is not None and start == start:
+                self.idle.updateValue((name or "",), (str(int(start) & MAX_UNSIGNED), None, timerValues.getCurrentProcessingTimeInMs(), ""))
+
+    def _begin(self) -> None:
+        """What one call works on: positions by producer, the held records, offsets, results."""
+        found = self.partition.get() if self.partition.exists() else None
+        self.offsets, self.held_before = _unpacked(found[0] if found else None), found[1] if found else 0
+        self.store = HeldStore(self.nodes, self.records)
+        self.known: dict[str, tuple[Sequencer, int | None]] = {}
+        self.out: list[tuple[str, Sent | Gap]] = []
+
+    def _stamp(self, record: tuple) -> tuple:
+        """A record with the offsets up to which each topic has nothing that is only held, as they
+        are when it is sent."""
+        marks = {}
+        for topic, offset in self.offsets.items():
+            low = self.store.lowest_offset(topic)
+            marks[topic] = offset if low is None else min(offset, low - 1)
+        return record, _handled(marks)
+
+    def _core(self, producer: str, now: int) -> Sequencer:
+        """The sequencer of a producer; one that was silent for longer than the expiry is sent what it
+        holds, and begins anew."""
+        if producer not in self.known:
+            at = self.waiting.getValue((producer,)) or self.idle.getValue((producer,)) or (None, None, None, "")
+            core = self.sequencer(self.topics, self.ordered, self.timeout_ms, None if at[0] is None else int(at[0]), at[1], _unpacked(at[3]), self.store.of(producer), self._stamp)
+            if self.expire_ms is not None and at[2] is not None and now - at[2] > self.expire_ms:
+                self.out += [(producer, x) for x in core.give_up(now)]
+                core = self.sequencer(self.topics, self.ordered, self.timeout_ms, held=self.store.of(producer), stamp=self._stamp)
+            self.known[producer] = core, at[2]
+        return self.known[producer][0]
+
+    def _end(self) -> None:
+        self.store.flush()
+        for producer, (core, last) in self.known.items():
+            value = None if core.next is None else str(core.next), core.waiting_since, last, _packed(core.marks)
+            here, there = (self.idle, self.waiting) if core.held.lowest() is None else (self.waiting, self.idle)
+            if core.next is None and not core.marks:  # forgotten
+                here.removeKey((producer,)) if here.containsKey((producer,)) else None
+            else:
+                here.updateValue((producer,), value)
+            if there.containsKey((producer,)):
+                there.removeKey((producer,))
+        held = self.held_before + self.store.count
+        self.partition.update((_packed(self.offsets), held))
+        self.held_now = held
         if self.timeout_ms is None and self.expire_ms is None:
             return
         for timer in list(self.handle.listTimers()):
             self.handle.deleteTimer(timer if isinstance(timer, int) else timer[0])
-        times = [t for t in (core.deadline(), None if self.expire_ms is None else now + self.expire_ms + 1) if t is not None]
+        times = [at + limit + 1 for _, (_, since, last, _) in self.waiting.iterator() for at, limit in ((since, self.timeout_ms), (last, self.expire_ms)) if at is not None and limit is not None]
         if times:
             self.handle.registerTimer(min(times))
 
-    def _rows(self, key: tuple, out: list[tuple[Sent | Gap, str | None]]) -> pd.DataFrame:
-        rows, carried = [], []
-        for x, handled in out:
+    def _rows(self, key: tuple, counted: tuple[int, int] | None) -> pd.DataFrame:
+        rows, carried, names = [], [], []
+        for producer, x in self.out:
+            names.append(producer)
             if isinstance(x, Gap):
-                rows.append(("gap", None, None, _signed(x.from_seq), _signed(x.to_seq), None, None, None))
+                rows.append(("gap", None, None, signed(x.from_seq), signed(x.to_seq), None, None, None, None, None))
                 carried.append((None,) * len(self.carry))
             else:
-                topic, offset, num, record = x.record
-                rows.append(("record", _signed(x.seq), num, None, None, topic, offset, handled))
+                (topic, offset, num, record), handled = x.record
+                rows.append(("record", signed(x.seq), num, None, None, topic, offset, handled, None, None))
                 carried.append(record)
+        if counted is not None:
+            names.append("")
+            rows.append(("count", None, None, None, None, None, None, None, *counted))
+            carried.append((None,) * len(self.carry))
         columns = {k: [v] * len(rows) for k, v in zip(self.keys, key, strict=True)}
+        if self.producer:
+            columns[self.producer] = pd.array(names, dtype="object")
         for (name, kind), values in zip(OUTPUT.items(), zip(*rows, strict=True), strict=True):
-            columns[name] = pd.array(values, dtype=kind)  # nullable types: long integers stay exact
+            if self.counts or name not in COUNTS:
+                columns[name] = pd.array(values, dtype=kind)  # nullable types: long integers stay exact
         for name, values in zip(self.carry, zip(*carried, strict=True), strict=True):
             columns[name] = pd.Series(values, dtype=object)
         return pd.DataFrame(columns)
 
+    def _result(self, key: tuple, offered: int) -> Iterator[pd.DataFrame]:
+        sent = sum(isinstance(x, Sent) for _, x in self.out)
+        dropped = offered - sent - self.store.count
+        if self.out or self.counts and dropped:
+            yield self._rows(key, (dropped, self.held_now) if self.counts else None)
+
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         now = timerValues.getCurrentProcessingTimeInMs()
-        core, out = self._load(), []
-        marks, offsets = dict(core.marks), {k[0]: v[0] for k, v in self.offsets.iterator()}
-        before = dict(offsets)
-        batch = pd.concat(list(rows), ignore_index=True).sort_values(["done", "arrival", "topic_idx", "offset"], kind="stable")
-        for done, topic, seq, num, offset, *record in zip(*(batch[k].tolist() for k in ("done", "topic_idx", "seq", "num_seq", "offset", *self.carry)), strict=True):
+        self._begin()
+        batch = pd.concat(list(rows), ignore_index=True)
+        # a topic's records count in the order of its offsets, whatever their times say
+        batch = batch.sort_values(["done", "topic_idx", "offset"], kind="stable")
+        batch["arrival"] = batch.groupby(["done", "topic_idx"], sort=False)["arrival"].cummax()
+        batch = batch.sort_values(["done", "arrival", "topic_idx", "offset"], kind="stable")
+        names = batch[self.producer].tolist() if self.producer else [""] * len(batch)
+        offered = 0
+        for producer, done, topic, seq, num, offset, *record in zip(names, *(batch[k].tolist() for k in ("done", "topic_idx", "seq", "num_seq", "offset", *self.carry)), strict=True):
+            producer = producer or ""
             if done:
-                events = core.finished(topic, now)
-            else:
-                offset = None if offset == NONE else offset
-                if offset is not None:
-                    offsets[topic] = max(offset, offsets.get(topic, offset))
-                num = max(1, num)
-                events = core.offer(topic, seq & MAX_UNSIGNED, (topic, offset, num, tuple(record)), now, num)[1]
-            if events:
-                handled = _handled(offsets)
-                out += [(x, handled) for x in events]
-        for k, v in offsets.items():
-            if before.get(k) != v:
-                self.offsets.updateValue((k,), (v,))
-        self._save(core, marks, now)
-        if out:
-            yield self._rows(key, out)
+                # a topic that ends holds up none of the producers that still wait
+                for name in [producer] if producer or not self.producer else [k[0] for k in list(self.waiting.keys())] + list(self.known):
+                    self.out += [(name, x) for x in self._core(name, now).finished(topic, now)]
+                continue
+            offered += 1
+            offset = None if offset == NONE else offset
+            if offset is not None:
+                self.offsets[topic] = max(offset, self.offsets.get(topic, offset))
+            num = max(1, num)
+            core = self._core(producer, now)
+            self.known[producer] = core, now
+            self.out += [(producer, x) for x in core.offer(topic, seq & MAX_UNSIGNED, (topic, offset, num, tuple(record)), now, num)[1]]
+        self._end()
+        yield from self._result(key, offered)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         now = timerValues.getCurrentProcessingTimeInMs()
-        core = self._load()
-        marks, last = dict(core.marks), self.position.get()[2]
-        if self.expire_ms is not None and now - last > self.expire_ms:
-            if not list(core.held):
-                self.position.clear()
-                self.marks.clear()
-                return
-        handled = _handled({k[0]: v[0] for k, v in self.offsets.iterator()})
-        out = [(x, handled) for x in core.tick(now)]
-        self._save(core, marks, last)
-        if out:
-            yield self._rows(key, out)
+        self._begin()
+        for (producer,) in list(self.waiting.keys()):
+            core = self._core(producer, now)  # sends what an expired one holds
+            self.out += [(producer, x) for x in core.tick(now)]
+        self._end()
+        yield from self._result(key, 0)
 
     def close(self) -> None:
         pass
@@ -162,23 +204,30 @@ class DedupProcessor(StatefulProcessor):
 
 def stream_dedup(
     records: DataFrame, *, topics: int, keys: Sequence[str] = ("partition",), ordered: bool = False, timeout_ms: int | None = 10_000, expire_ms: int | None = None,
-    carry: Sequence[str] = ("payload",), start: DataFrame | None = None, processor: type[DedupProcessor] = DedupProcessor,
+    carry: Sequence[str] = ("payload",), start: DataFrame | None = None, processor: type[DedupProcessor] = DedupProcessor, producer: str | None = None, counts: bool = False,
 ) -> DataFrame:
     """Merge a stream of captured records (``keys``, seq, topic_idx, offset, arrival, those in
     ``carry``, and num_seq if records cover several sequences) into rows of ``kind`` record or gap.
 
     A gap is skipped when all topics are past it (``ordered``) or after ``timeout_ms``. Within a
-    micro-batch records count in the order of arrival, topic and offset. A row whose boolean
-    ``done`` is true, where there is such a column, says that its topic sends no more for its
-    key; other rows with a null seq are left out (dead letters, see the sources). ``carry`` are
-    columns of binary, string or array type. ``start``: keys and ``start_seq`` from which a new
-    query goes on. ``handled`` has the last offset of each topic at that point. ``processor``: the
-    class that decides, a user's own or the merge's.
+    micro-batch records count in the order of arrival, topic and offset, and those of a topic in the
+    order of its offsets. A row whose boolean ``done`` is true, where there is such a column, says
+    that its topic sends no more for its key (and its producer; without one, for all that wait);
+    other rows with a null seq are left out (dead letters, see the sources). ``carry`` are columns
+    of binary, string or array type. ``start``: keys (and producer) and ``start_seq`` from which a
+    new query goes on. ``processor``: the class that decides, a user's own or the merge's.
+
+    ``producer``: a column of logical producers within a key, each of which has sequences of its
+    own; one that is silent for longer than ``expire_ms`` begins anew, and what it holds is sent
+    first. ``handled`` has for each topic the highest offset below which nothing of the key is only
+    held, at the moment the record is sent: a cold start from any sent record reads all the
+    rest again. ``counts``: also a row of kind ``count`` for each key and micro-batch, with the
+    records dropped in it and those held now.
 
     Needs the RocksDB provider (:func:`use_rocksdb`). With a timeout or expiry there are timers,
     and the query has to run on a processing-time trigger: with ``availableNow`` it would go on
-    with empty batches. Keys run apart, so the parallelism is the
-    number of keys.
+    with empty batches. Keys run apart, so the parallelism is the number of keys; the rows of a key
+    in one micro-batch are in memory at once, so limit the source.
     """
     num = F.col("num_seq") if "num_seq" in records.columns else F.lit(1)
     done = F.coalesce(F.col("done"), F.lit(False)) if "done" in records.columns else F.lit(False)
@@ -186,13 +235,14 @@ def stream_dedup(
     def whole(c: Column, otherwise: int, kind: str = "bigint") -> Column:
         return F.coalesce(c.cast(kind), F.lit(otherwise).cast(kind))
 
+    named = [producer] if producer else []
     rows = records.filter(F.col("seq").isNotNull() | done).select(
-        *keys, done.alias("done"), whole(F.col("seq"), 0).alias("seq"), whole(num, 1).alias("num_seq"), whole(F.col("topic_idx"), -1, "int").alias("topic_idx"),
+        *keys, *[F.col(c).cast("string").alias(c) for c in named], done.alias("done"), whole(F.col("seq"), 0).alias("seq"), whole(num, 1).alias("num_seq"), whole(F.col("topic_idx"), -1, "int").alias("topic_idx"),
         whole(F.col("offset"), NONE).alias("offset"), whole(F.col("arrival"), (1 << 63) - 1).alias("arrival"), *carry,
     )
     types = dict(rows.dtypes)
-    schema = ", ".join(f"{k} {types[k]}" for k in keys) + f", {ROW_SCHEMA}, " + ", ".join(f"{k} {types[k]}" for k in carry)
+    schema = ", ".join(f"{k} {types[k]}" for k in [*keys, *named]) + f", {ROW_SCHEMA}{COUNT_SCHEMA if counts else ''}, " + ", ".join(f"{k} {types[k]}" for k in carry)
     timers = timeout_ms is not None or expire_ms is not None
-    own = processor(keys, topics, ordered, timeout_ms, expire_ms, carry)
-    initial = None if start is None else start.select(*keys, F.col("start_seq").cast("string").alias("start_seq")).groupBy(*keys)
+    own = processor(keys, topics, ordered, timeout_ms, expire_ms, {c: types[c] for c in carry}, producer, counts)
+    initial = None if start is None else start.select(*keys, *named, F.col("start_seq").cast("string").alias("start_seq")).groupBy(*keys)
     return rows.groupBy(*keys).transformWithStateInPandas(own, outputStructType=schema, outputMode="Append", timeMode="ProcessingTime" if timers else "None", initialState=initial)
