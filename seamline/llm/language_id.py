@@ -11,6 +11,7 @@ by a hash of the id. All their words and n-grams are kept; what is broadcast is
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,8 +25,10 @@ from .decontamination import let
 
 LENGTHS = (4, 3, 2, 1)
 REMEMBERED = 300_000
-_WORD = re.compile(r"[^\W\d_]+")
 WORD = r"\p{L}+"
+#: The same in Python: its word characters without digits, and without numbers of other kinds.
+_NUMBERS = "".join(c for c in map(chr, range(0x110000)) if unicodedata.category(c) in ("Nl", "No"))
+_WORD = re.compile(rf"[^\W\d_{_NUMBERS}]+")
 SCHEMA = "doc_id long, lang_pred string, score double"
 
 
@@ -147,8 +150,9 @@ def identify(docs: DataFrame, *, max_rows: int = 20_000) -> DataFrame:
     """Learn from the text and lang of rows outside fold 1, and predict every row
     (columns ``doc_id, text, lang``; others are ignored).
 
-    A null text, or one without letters, gives ``und`` with score 0; so does everything if no
-    row can be learnt from. Rows with a null lang are not learnt from; rows with a null doc_id
+    A null text, or one without letters (numbers such as ½ or Ⅻ are none), gives ``und`` with score 0;
+    so does everything if no row can be learnt from. Of languages with one score the first in
+    the alphabet wins. Rows with a null lang are not learnt from; rows with a null doc_id
     are predicted with a null held_out and not learnt from. Repeated rows are predicted one by
     one; an empty table gives no rows. Returns doc_id, held_out, lang_pred, score.
     """

@@ -17,7 +17,9 @@ deviation; documents below the lower or above the upper end of the band are reje
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -44,8 +46,14 @@ SCORE_SCHEMA = (
 )
 
 
+@lru_cache(maxsize=10_000)
+def _seed(lang: str) -> int:
+    """64 bits of a hash of a language's whole name."""
+    return int.from_bytes(hashlib.blake2b(lang.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")
+
+
 def _seeds(langs: list[str | None]) -> np.ndarray:
-    return np.array([np.frombuffer((x or "und").encode()[-8:].rjust(8, b"\0"), U64)[0] for x in langs], U64)
+    return np.array([_seed(x or "und") for x in langs], U64)
 
 
 def _hashes(column: pa.Array, langs: list[str | None], order: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:

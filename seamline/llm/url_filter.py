@@ -115,14 +115,14 @@ def tree_column(description: str, features: list[str]) -> Column:
     return node(0)[0]
 
 
-def fit(rows: DataFrame, *, label: str = "label", features: list[str] = FEATURES, trees: int = 12, depth: int = 3, seed: int = 5) -> Column:
+def fit(rows: DataFrame, *, label: str = "label", features: list[str] = FEATURES, weight: str | None = None, trees: int = 12, depth: int = 3, seed: int = 5) -> Column:
     """Boosted trees as a column: the probability of label 1. With one label only, or none, its
     smoothed share."""
     seen = {r[label]: r["count"] for r in rows.groupBy(label).count().collect()}  # two rows at most
     if len(seen) < 2:
         return F.lit((seen.get(1, 0) + 1) / (sum(seen.values()) + 2))
-    data = VectorAssembler(inputCols=features, outputCol="features").transform(rows).select(F.col(label).cast("double").alias("label"), "features")
-    model = GBTClassifier(maxIter=trees, maxDepth=depth, stepSize=0.3, seed=seed, maxBins=32).fit(data)
+    data = VectorAssembler(inputCols=features, outputCol="features").transform(rows).select(F.col(label).cast("double").alias("label"), "features", (F.col(weight) if weight else F.lit(1.0)).alias("weight"))
+    model = GBTClassifier(maxIter=trees, maxDepth=depth, stepSize=0.3, seed=seed, maxBins=32, weightCol="weight").fit(data)
     margin = F.lit(0.0)
     for tree, weight in zip(model.trees, model.treeWeights, strict=True):
         margin = margin + F.lit(float(weight)) * tree_column(tree.toDebugString, features)
@@ -154,14 +154,19 @@ def judge_urls(pages: DataFrame, *, rules: list[Rule] = RULES, max_rows: int = 2
     # a suffix's share of blocked URLs leaves out the row's own label
     own = F.col("said").isNotNull().cast("long")
     share = (F.col("blocked") - F.coalesce(is_block, F.lit(0)) + 1) / (F.col("decided") - own + 2)
-    full = rows.join(suffixes, "suffix").withColumn("suffix_share", share)
+    # where a rule names a whole suffix, the suffix's labels are that rule over again: it has no statistics
+    named = F.col("suffix").isin([r.partition("/")[0] for _, r in rules if "." not in r.partition("/")[0]])
+    full = rows.join(suffixes, "suffix").withColumns({"suffix_share": F.when(named, 0.5).otherwise(share), "suffix_urls": F.when(named, 0.0).otherwise(F.col("suffix_urls"))})
 
     known = full.filter("said is not null").withColumn("label", (F.col("said") == "block").cast("int"))
     n = rows.filter("said is not null").count()
     if n > max_rows:
         known = known.filter(drawn("draw", max_rows / n))
-    learnt = staged(known.select("label", *FEATURES), "labelled").coalesce(4).cache()
-    score = fit(learnt)
+    # a rule counts as one, however many URLs it decides
+    each = known.groupBy("rule").agg((1 / F.count("*")).alias("weight"))
+    known = known.join(F.broadcast(each), "rule")  # a row for each rule
+    learnt = staged(known.select("label", "weight", *FEATURES), "labelled").coalesce(4).cache()
+    score = fit(learnt, weight="weight")
     learnt.unpersist()
     scored = full.select("page_id", "host", "path", "rule", "said", score.alias("score"))
     return scored.select("page_id", "host", "path", "rule", F.coalesce("said", F.when(F.col("score") >= threshold, "block").otherwise("allow")).alias("verdict"), "score")

@@ -32,3 +32,20 @@ def test_held_out_hosts(spark):
     held_out = [(got[i]["score"], bad) for (i, _, bad, _), rule in zip(rows, decided, strict=True) if rule is None]
     assert len(held_out) > 700 and all(0 <= s <= 1 for s, _ in held_out)
     assert auc(held_out) > 0.9
+
+
+def test_undecided_urls_of_one_suffix_differ(spark):
+    """Rules that name whole suffixes don't make the verdict a look-up of the suffix."""
+    from collections import defaultdict
+
+    r = random.Random(3)
+    rows = []
+    for k in range(1500):
+        host = "".join(r.choice(("th", "er", "on", "ble", "ing")) for _ in range(r.randrange(2, 5)))
+        end = r.choice(("", ".html", "/", "#top", "?page=2&ref=x", "?utm_source=feed"))
+        rows.append((k, f"http{r.choice(('', 's'))}://{r.choice(('', 'www.', 'm.', 'blog.'))}{host}.example.{r.choice(('com', 'net', 'org'))}/{r.choice(('en', 'de', 'es', 'fr'))}/{r.randrange(1000, 9999)}{end}"))
+    verdicts, scores = defaultdict(set), set()
+    for x in judge_urls(spark.createDataFrame(rows, "page_id long, url string")).filter("rule is null").collect():
+        verdicts[x["host"].rpartition(".")[2]].add(x["verdict"])
+        scores.add(round(x["score"], 6))
+    assert len(scores) > 50 and all(len(v) == 2 for v in verdicts.values())
