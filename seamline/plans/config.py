@@ -18,8 +18,12 @@ from ..streaming.dedup import DedupProcessor
 
 @dataclass(frozen=True)
 class Spool:
+    """``durable``: a log in which each payload is on disk before the next is received; else files,
+    rolled every ``roll_ms``, until which payloads are in memory only."""
+
     path: str
     roll_ms: int = 1000
+    durable: bool = False
 
 
 @dataclass(frozen=True)
@@ -171,8 +175,3 @@ def load(kind: type, name: str, package: str | None = None) -> Any:
     import yaml
 
     return from_dict(kind, yaml.safe_load(text))
-
-
-def default_strategy() -> Strategy:
-    """The sequence is the long key."""
-    return Strategy(F.when(F.length("key") == 8, bytes_to_long("key")))

@@ -7,10 +7,6 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import DataStreamWriter
-
-from ..operators.populate import now_ms
-from ..schema import DEDUP_SEND_TIME
 
 
 def source_options(servers: str, topics: Sequence[str], *, starting_offsets: str = "earliest", max_per_trigger: int | None = None, group_prefix: str | None = None) -> dict[str, str]:
@@ -49,15 +45,3 @@ def normalise(captured: DataFrame, topics: Sequence[str], *, sequence: Column, p
 def outbound(rows: DataFrame) -> DataFrame:
     """The columns a Kafka sink takes; the outbound partition is the inbound one."""
     return rows.select("key", "value", "partition", "headers")
-
-
-def start_capture(records: DataFrame, options: dict[str, str], checkpoint: str, interval: str = "1 second") -> DataStreamWriter:
-    """A writer of populated records to a capture topic; ``interval`` is how often offsets are committed."""
-    return records.writeStream.format("kafka").options(**options).option("checkpointLocation", checkpoint).trigger(processingTime=interval)
-
-
-def stamped(rows: DataFrame) -> DataFrame:
-    """Rows with the send time added to their headers."""
-    from ..functions.headers import append_headers, long_header
-
-    return rows.withColumn("headers", append_headers("headers", long_header(DEDUP_SEND_TIME, now_ms())))

@@ -18,6 +18,7 @@ from pyspark.sql.types import StructType
 
 from ..plans.config import UdpCapture, WebsocketCapture
 from ..schema import SPOOL_SCHEMA
+from .log import LogWriter
 from .spool import SpoolWriter
 
 
@@ -99,7 +100,7 @@ class Agent:
     """Runs a receiver in a thread and spools its messages. What was received is written before
     :meth:`close` returns."""
 
-    def __init__(self, receiver: Receiver, spool: SpoolWriter):
+    def __init__(self, receiver: Receiver, spool: SpoolWriter | LogWriter):
         self.receiver, self.spool = receiver, spool
         self.stopped = threading.Event()
         self.failure: Exception | None = None
@@ -140,7 +141,8 @@ def agent_of(settings: UdpCapture | WebsocketCapture, **given: Any) -> Agent:
         receiver = UdpReceiver(own.port, group=own.group, iface=own.iface, mtu=own.mtu, **given)
     else:
         raise TypeError(f"there is no receiver for {type(settings).__name__}")
-    return Agent(receiver, SpoolWriter(settings.spool.path, max_ms=settings.spool.roll_ms))
+    spool = LogWriter(settings.spool.path) if settings.spool.durable else SpoolWriter(settings.spool.path, max_ms=settings.spool.roll_ms)
+    return Agent(receiver, spool)
 
 
 class _UdpReader(SimpleDataSourceStreamReader):
