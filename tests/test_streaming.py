@@ -215,3 +215,78 @@ def bytes_of(name):
     from seamline.functions.codec import bytes_to_long
 
     return bytes_to_long(name)
+
+
+def collected(spark, tmp_path, merged, wanted, during=None, seconds=40):
+    """Rows that a query on a clock has written, as soon as there are enough."""
+    query = merged.writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "checkpoint")).trigger(processingTime="300 milliseconds").start(str(tmp_path / "out"))
+    found = []
+    try:
+        for _ in range(2 * seconds):
+            time.sleep(0.5)
+            assert query.exception() is None
+            if (tmp_path / "out").exists() and any((tmp_path / "out").glob("*.parquet")):
+                found = spark.read.schema(merged.schema).parquet(str(tmp_path / "out")).collect()
+                if during is not None and during(found):
+                    during = None
+                if len(found) >= wanted and during is None:
+                    break
+    finally:
+        query.stop()
+    return found
+
+
+def test_an_expired_producer_sends_what_it_holds(spark, tmp_path):
+    """Without a gap timeout, held records wait for the expiry; then they are sent, with the gap, and
+    no timer rings again and again."""
+    put(spark, tmp_path / "in", [(0, p, s, 0, o, s, b"x", False) for o, (p, s) in enumerate([("a", 1), ("b", 50), ("a", 4), ("a", 7)])])
+    source = spark.readStream.schema(SCHEMA).parquet(str(tmp_path / "in"))
+    merged = stream_dedup(source, topics=1, producer="producer_key", timeout_ms=None, expire_ms=2000)
+    found = collected(spark, tmp_path, merged, 6)
+    assert sorted((r["producer_key"], r["seq"]) for r in found if r["kind"] == "record") == [("a", 1), ("a", 4), ("a", 7), ("b", 50)]
+    assert sorted((r["producer_key"], r["from_seq"], r["to_seq"]) for r in found if r["kind"] == "gap") == [("a", 2, 3), ("a", 5, 6)]
+
+
+def test_marks_stay_below_what_is_held(spark, tmp_path):
+    """Of each sent record: the highest offsets below which nothing is only held at that moment, over
+    all producers, and equal to the batch form's at the end."""
+    from seamline.operators.recovery import low_water_offsets
+
+    rows = [(0, "a", 1, 0, 0), (0, "b", 7, 0, 1), (0, "a", 3, 0, 2), (0, "b", 9, 1, 0), (0, "b", 8, 0, 3), (0, "a", 2, 1, 1), (0, "a", 6, 1, 2), (0, "b", 10, 0, 4), (0, "b", 12, 0, 5)]
+    put(spark, tmp_path / "in", [(p, who, s, t, o, k, b"x", False) for k, (p, who, s, t, o) in enumerate(rows)])
+    source = spark.readStream.schema(SCHEMA).parquet(str(tmp_path / "in"))
+    merged = stream_dedup(source, topics=2, producer="producer_key", timeout_ms=None)
+    merged.writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "checkpoint")).trigger(availableNow=True).start(str(tmp_path / "out")).awaitTermination()
+    got = {(r["producer_key"], r["seq"]): r["handled"] for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    assert got == {("a", 1): "0:0", ("b", 7): "0:1", ("b", 8): "0:1,1:-1", ("b", 9): "0:1,1:0", ("a", 2): "0:1,1:1", ("a", 3): "0:3,1:1", ("b", 10): "0:4,1:1"}
+    df = spark.read.schema(SCHEMA).parquet(str(tmp_path / "in")).withColumn("topic_idx", F.col("topic_idx"))
+    batch = low_water_offsets(df, keys=("partition", "producer_key"))
+    assert sorted(r[:] for r in batch.collect()) == [(0, 0, 4, 5), (0, 1, 1, 2)]
+
+
+def test_counters_say_what_verdicts_say(spark, tmp_path):
+    from seamline.streaming.listener import observed_partitions
+
+    chance = random.Random(4)
+    rows = [(p, "", s, t, s, s * 10 + t, b"x", False) for p in range(2) for t in range(3) for s in range(60) if s == 0 or chance.random() < 0.8]
+    want = {r["partition"]: (r["sent"], r["dropped"]) for r in dedup.verdict_counts(dedup.verdicts(spark.createDataFrame(rows, SCHEMA))).collect()}
+    seen = []
+    listener = ProgressListener(seen.append)
+    spark.streams.addListener(listener)
+    rows.sort(key=lambda r: r[5])
+    ends = [(p, "", None, t, None, None, None, True) for p in range(2) for t in range(3)]
+    for part in (rows[:100], rows[100:], ends):
+        put(spark, tmp_path / "in", part)
+        source = spark.readStream.schema(SCHEMA).parquet(str(tmp_path / "in"))
+        merged = observed_partitions(observed(stream_dedup(source, topics=3, ordered=True, timeout_ms=None, counts=True)), 2)
+        merged.filter("kind <> 'count'").writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "checkpoint")).trigger(availableNow=True).start(str(tmp_path / "out")).awaitTermination()
+    for _ in range(50):
+        if sum(x.get("sent", 0) for x in seen) >= sum(s for s, _ in want.values()):
+            break
+        time.sleep(0.2)
+    spark.streams.removeListener(listener)
+    for p in range(2):
+        parts = [x["partitions"][p] for x in seen if "partitions" in x]
+        assert (sum(x["sent"] for x in parts), sum(x["dropped"] for x in parts)) == want[p]
+    assert sum(x.get("dropped", 0) for x in seen) == sum(d for _, d in want.values())
+    assert [x for x in seen if "held" in x][-1]["held"] == 0
