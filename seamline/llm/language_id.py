@@ -26,12 +26,18 @@ from .decontamination import let
 LENGTHS = (4, 3, 2, 1)
 REMEMBERED = 300_000
 WORD = r"\p{L}+"
-#: The same in Python: its word characters without digits, and without numbers of other kinds.
+#: The same in Python: its word characters without digits, and without numbers of other kinds, which
+#: few texts have.
 _NUMBERS = "".join(c for c in map(chr, range(0x110000)) if unicodedata.category(c) in ("Nl", "No"))
-_WORD = re.compile(rf"[^\W\d_{_NUMBERS}]+")
+_NUMBER, _WORD, _WORD_BESIDE = re.compile(f"[{_NUMBERS}]"), re.compile(r"[^\W\d_]+"), re.compile(rf"[^\W\d_{_NUMBERS}]+")
 SCHEMA = "doc_id long, lang_pred string, score double"
 
 
+def words_of(text: str) -> list[str]:
+    """Runs of letters."""
+    return (_WORD if text.isascii() or not _NUMBER.search(text) else _WORD_BESIDE).findall(text)
+
+
 def fold(doc_id: str = "doc_id") -> Column:
     """crc32 of the id as text, modulo 3; a null id is in no fold."""
     return F.crc32(F.col(doc_id).cast("string")) % 3
@@ -129,7 +135,7 @@ def predict(docs: DataFrame, model: DataFrame) -> DataFrame:
         for batch in batches:
             best, sure = [], []
             for text in batch.column(1).to_pylist():
-                words = _WORD.findall(text.lower()) if text else []
+                words = words_of(text.lower()) if text else []
                 if not words or not langs:
                     best.append("und")
                     sure.append(0.0)
