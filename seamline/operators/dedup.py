@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.codec import unsigned_key
+from ..staging import discard, staged
 from .ordered import previous, running
 
 KEYS = ("partition",)
@@ -73,12 +74,17 @@ def sequenced_dedup(records: DataFrame, *, keys: Sequence[str] = KEYS, arrival:
     return rows.withColumn("__copy", F.row_number().over(copies)).filter("__copy = 1").drop("__copy")
 
 
-def outbound_order(sent: DataFrame, *, keys: Sequence[str] = KEYS, partitions: int | None = None) -> DataFrame:
-    """Sent records with each key's rows in one partition, by ascending unsigned sequence, as a
-    sink that keeps order within partitions needs them."""
-    columns = [F.col(k) for k in keys]
-    dealt = sent.repartition(partitions, *columns) if partitions else sent.repartition(*columns)
-    return dealt.sortWithinPartitions(*columns, unsigned_key("seq"))
+def outbound_order(sent: DataFrame, *, keys: Sequence[str] = KEYS, partitions: int | None = None, ranged: bool = False) -> DataFrame:
+    """Sent records by ascending unsigned sequence within each key. As a sink that keeps order within
+    partitions needs them, each key's rows are in one partition; with ``ranged`` they are in as many
+    consecutive ones as their number takes, for a sink that puts the work of tasks in the tasks'
+    order, as the log does when it commits."""
+    columns = [*[F.col(k) for k in keys], unsigned_key("seq")]
+    if ranged:
+        dealt = sent.repartitionByRange(partitions, *columns) if partitions else sent.repartitionByRange(*columns)
+    else:
+        dealt = sent.repartition(partitions, *columns[:-1]) if partitions else sent.repartition(*columns[:-1])
+    return dealt.sortWithinPartitions(*columns)
 
 
 def gaps(sent: DataFrame, *, keys: Sequence[str] = KEYS, count: Column | None = None) -> DataFrame:
@@ -109,9 +115,11 @@ def packet_dedup(records: DataFrame, *, keys: Sequence[str] = KEYS, arrival: Seq
     """As :func:`sequenced_dedup` for records that cover ``count`` sequences each: a record that
     starts before the end of the last sent one is dropped, and does not extend what is covered.
 
-    A record that no earlier one reaches over is sent whatever came before, so the fold over
-    overlapping records runs apart in each stretch between two such records. A null or
-    non-positive count is 1.
+    A record that no earlier one reaches over is sent whatever came before. In a stretch of
+    records between two such ones, each has a pointer to the record that would be sent next after
+    it, the first that starts at or after its end; those sent are what the pointers reach from the
+    stretch's first record. Pointers are doubled, so that a stretch of n records takes log n rounds
+    of joins, and none is gathered in one row or task. A null or non-positive count is 1.
     """
     keys = list(keys)
     own = F.when(F.col(count) > 0, F.col(count)).otherwise(1)
@@ -120,19 +128,42 @@ def packet_dedup(records: DataFrame, *, keys: Sequence[str] = KEYS, arrival: Seq
     rows = running(rows, keys, "__at", F.col("__end"), "__reach", inclusive=False)
     safe = F.col("__reach").isNull() | (F.col("__reach") <= F.col("__at"))
     rows = running(rows, keys, "__at", F.when(safe, F.col("__at")), "__stretch")
-    begun = F.struct(F.lit(-(1 << 63)).cast("bigint").alias("end"), F.array().cast("array<bigint>").alias("kept"))
-
-    def step(state: Column, p: Column) -> Column:
-        fits = p["__at"] >= state["end"]
-        return F.when(fits, F.struct(p["__end"].alias("end"), F.concat(state["kept"], F.array(p["__at"])).alias("kept"))).otherwise(state)
-
-    lone = rows.groupBy(*keys, "__stretch").agg(F.sort_array(F.collect_list(F.struct("__at", "__end"))).alias("__packets"))
-    kept = lone.select(*keys, F.explode(F.aggregate("__packets", begun, step, lambda s: s["kept"])).alias("__at"))
-    named = kept.select(*[F.col(k).alias(f"__{k}") for k in keys], F.col("__at").alias("__kept"))
-    condition = rows["__at"] == named["__kept"]
-    for k in keys:
-        condition = condition & rows[k].eqNullSafe(named[f"__{k}"])
-    return rows.join(named, condition, "left_semi").drop("__at", "__end", "__reach", "__stretch")
+    packets = staged(rows.select(*keys, "__at", "__end", "__stretch"), "packets")
+    kept = packets.filter("__at = __stretch").select(*keys, "__at")
+    tangled = packets.filter("__at <> __stretch").select(*keys, "__stretch").distinct()
+    tangled = _null_safe(packets, tangled, [*keys, "__stretch"], "left_semi")
+    # the first start at or after each end, looked up among starts and ends in one order
+    starts = tangled.select(*keys, F.col("__at").alias("place"), F.col("__at").alias("start"))
+    places = starts.unionByName(tangled.select(*keys, F.col("__end").alias("place"), F.lit(None).cast("bigint").alias("start")))
+    places = places.groupBy(*keys, "place").agg(F.max("start").alias("start")).withColumn("__down", F.bitwise_not("place"))
+    places = running(places, keys, "__down", F.col("start"), "__next", kind="min").select(*keys, F.col("place").alias("__end"), "__next")
+    pointers = _null_safe(tangled, places, [*keys, "__end"], "inner")
+    ends = tangled.groupBy(*keys, "__stretch").agg(F.max("__at").alias("__last"))
+    pointers = _null_safe(pointers, ends, [*keys, "__stretch"], "inner").filter("__next <= __last").select(*keys, "__at", F.col("__next").alias("to"))
+    pointers = staged(pointers, "pointers")
+    reached = staged(tangled.filter("__at = __stretch").select(*keys, "__at"), "reached")
+    found = []
+    while not pointers.isEmpty():
+        # those that a step of the present length leads to; with them the reached part of a chain doubles
+        new = staged(_null_safe(reached, pointers, [*keys, "__at"], "inner").select(*keys, F.col("to").alias("__at")), "reached")
+        found.append(new)
+        reached = reached.unionByName(new)
+        further = pointers.select(*keys, F.col("__at").alias("to"), F.col("to").alias("beyond"))
+        double = staged(_null_safe(pointers, further, [*keys, "to"], "inner").select(*keys, "__at", F.col("beyond").alias("to")), "pointers")
+        discard(pointers)
+        pointers = double
+    for new in found:
+        kept = kept.unionByName(new)
+    return _null_safe(rows, kept, [*keys, "__at"], "left_semi").drop("__at", "__end", "__reach", "__stretch")
+
+
+def _null_safe(left: DataFrame, right: DataFrame, names: Sequence[str], how: str) -> DataFrame:
+    """An equality join in which null keys are equal."""
+    renamed = right.select(*[F.col(k).alias(f"__r_{k}") for k in names], *[c for c in right.columns if c not in names])
+    condition = F.lit(True)
+    for k in names:
+        condition = condition & left[k].eqNullSafe(renamed[f"__r_{k}"])
+    return left.join(renamed, condition, how).drop(*[f"__r_{k}" for k in names])
 
 
 def producer_sessions(records: DataFrame, expire_ms: int, *, keys: Sequence[str] = ("partition", "producer_key"), time: str = "arrival", order: str = "offset") -> DataFrame:

@@ -42,6 +42,23 @@ def delayed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return captures(spark, sf_dir).withColumn("clock", (F.col("arrival") * 10 + delay).cast("bigint"))
 
 
+PIECE = 12
+
+
+def fragments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each event as a message on a bus, in pieces of a few bytes; a session's messages follow each other
+    with room between, and some pieces are lost."""
+    text = F.concat_ws("|", "arrival", "event_type", "props")
+    pieces = F.greatest(F.lit(1), F.ceil(F.length(text) / PIECE)).cast("int")
+    rows = bus(spark, sf_dir).select(F.col("partition").alias("session"), "arrival", "seq", text.alias("text"), pieces.alias("pieces"))
+    rows = rows.select("session", "arrival", "seq", "text", "pieces", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)).alias("k"))
+    rows = rows.filter((F.col("arrival") * 5 + F.col("k") * 3) % 17 != 4)
+    return rows.select(
+        "session", (F.col("seq") * 100 + F.col("k")).alias("position"), F.lit(1).cast("bigint").alias("length"), (F.col("k") == 0).alias("begin"), (F.col("k") == F.col("pieces") - 1).alias("end"),
+        F.encode(F.substr("text", F.col("k") * PIECE + 1, F.lit(PIECE)), "UTF-8").alias("payload"),
+    )
+
+
 def topics(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
     """The same captures as one table for each topic."""
     heard = bus(spark, sf_dir).withColumn("offset", F.col("seq"))
@@ -68,6 +85,10 @@ cap AS (
   UNION ALL SELECT *, 2 FROM bus WHERE seq % 3 <> 1),
 sent AS (
   SELECT * FROM cap QUALIFY row_number() OVER (PARTITION BY part, seq ORDER BY arrival, topic_idx) = 1),
+texts AS (SELECT part, arrival, seq, concat_ws('|', arrival, event_type, props) AS text FROM bus),
+frag AS (
+  SELECT part, arrival, seq, k, greatest(1, ceil(length(text) / 12))::BIGINT AS pieces, substr(text, k * 12 + 1, 12) AS payload
+  FROM (SELECT *, unnest(range(greatest(1, ceil(length(text) / 12))::BIGINT)) AS k FROM texts) WHERE (arrival * 5 + k * 3) % 17 <> 4),
 late AS (
   SELECT *, arrival * 10 + (seq * 37 + topic_idx * 61) % 50 + CASE WHEN seq % 11 = 4 THEN 400 ELSE 0 END + CASE WHEN (seq // 20) % 9 = 3 THEN 700 ELSE 0 END AS clock FROM cap),
 outb AS (

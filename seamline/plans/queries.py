@@ -9,12 +9,14 @@ from pyspark.sql import functions as F
 
 from ..functions.codec import bytes_to_long, encode_text, int_at, long_at, long_to_bytes, slice_payload, unsigned_key, unsigned_text
 from ..functions.headers import header_long
-from ..operators import dedup, recovery, stats, timeout
+from ..operators import dedup, fragments, histogram, recovery, stats, timeout
 from ..operators.ordered import numbered
 from ..operators.populate import populate, split_header
+from ..sources import log
 from ..sources.kafka import normalise
 from ..staging import new_folder
 from ..streaming.dedup import stream_dedup, use_rocksdb
+from . import fixture
 from .fixture import BUS_SQL, bus, captures, delayed, outbound, topics
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -251,6 +253,29 @@ def last_outbound_record(spark: SparkSession, sf_dir: str) -> DataFrame:
     return recovery.last_records(outbound(spark, sf_dir)).select(F.col("partition").cast("bigint").alias("partition"), "offset", F.decode("value", "UTF-8").alias("body"))
 
 
+def _logged(spark: SparkSession, sf_dir: str) -> str:
+    """The merged stream written to a log, in two batches of which the second comes twice."""
+    path = new_folder(spark, "log")
+    rows = outbound(spark, sf_dir).select("partition", "key", "value", "headers", "seq")
+    half = rows.agg(F.max("seq")).first()[0] or 0
+    for number, part in ((0, rows.filter(F.col("seq") <= half // 2)), (1, rows.filter(F.col("seq") > half // 2)), (1, rows.filter(F.col("seq") > half // 2))):
+        log.log_sink(path, "outbound")(dedup.outbound_order(part, ranged=True).drop("seq"), number)
+    return path
+
+
+@query("SELECT part::BIGINT AS partition, sent_offset::BIGINT AS \"offset\", seq, event_type AS body FROM outb")
+def committed_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = log.read_log(spark, _logged(spark, sf_dir))
+    return rows.select(F.col("partition").cast("bigint").alias("partition"), "offset", bytes_to_long("key").alias("seq"), F.decode("value", "UTF-8").alias("body"))
+
+
+@query("SELECT part::BIGINT AS partition, max(sent_offset)::BIGINT AS \"offset\", arg_max(seq, sent_offset) AS ddseq, (max(seq) + 1)::BIGINT AS start_seq FROM outb GROUP BY part")
+def log_tail(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tail = log.tail_of(spark, _logged(spark, sf_dir))
+    rows = tail.join(recovery.resume_sequences(tail), "partition")
+    return rows.select(F.col("partition").cast("bigint").alias("partition"), "offset", header_long("headers", "DDSEQ").alias("ddseq"), "start_seq")
+
+
 @query(_LAST + """ SELECT c.part::BIGINT AS partition, c.topic_idx::BIGINT AS topic_idx, c.seq FROM cap c LEFT JOIN (SELECT part, topic_idx, off - 20 AS off FROM offs WHERE topic_idx < 2) o USING (part, topic_idx)
 WHERE o.off IS NULL OR c.seq > o.off""")
 def replay_after_recovery(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -289,6 +314,52 @@ def latency_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("partition", "day", "n", "min_ms", *[F.round(f"{k}_ms", 3).alias(f"{k}_ms") for k in ("mean", *stats.QUANTILES)], "max_ms")
 
 
+@query(""" SELECT part::BIGINT AS session, seq * 100 AS position, count(*)::BIGINT AS fragments, string_agg(payload, '' ORDER BY k) AS body
+FROM frag GROUP BY part, seq HAVING count(*) = any_value(pieces)""")
+def fragment_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = fragments.assembled(fixture.fragments(spark, sf_dir))
+    return found.select(F.col("session").cast("bigint").alias("session"), "position", "fragments", F.decode("payload", "UTF-8").alias("body"))
+
+
+@query(""", runs AS (SELECT *, seq * 100 + k AS position, lag(k) OVER (PARTITION BY part, seq ORDER BY k) IS DISTINCT FROM k - 1 AS head FROM frag),
+chains AS (SELECT *, max(CASE WHEN head THEN position END) OVER (PARTITION BY part, seq ORDER BY k) AS chain FROM runs),
+found AS (SELECT part, chain, max(position) + 1 AS past, count(*) AS fragments, bool_or(k = 0) AS begun, bool_or(k = pieces - 1) AS ended FROM chains GROUP BY part, chain)
+SELECT part::BIGINT AS session, chain::BIGINT AS position, past::BIGINT AS past, fragments::BIGINT AS fragments, CASE WHEN NOT begun AND NOT ended THEN 'both' WHEN begun THEN 'end' ELSE 'begin' END AS lost
+FROM found WHERE NOT (begun AND ended)""")
+def fragment_losses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fragments.lost_fragments(fixture.fragments(spark, sf_dir)).withColumn("session", F.col("session").cast("bigint"))
+
+
+_BUCKETS = """, lat AS (SELECT part, ts_ms // 21600000 * 21600000 AS start_ms, (seq * 7919) % 5000 + CASE WHEN seq % 50 = 0 THEN 1000000 + seq ELSE 0 END AS ms FROM sent),
+binned AS (SELECT part, start_ms, (greatest(0, length(bin(ms)) - 6) * 32 + (ms >> greatest(0, length(bin(ms)) - 6)))::BIGINT AS bucket FROM lat)"""
+
+
+def _latencies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ms = (F.col("seq") * 7919) % 5000 + F.when(F.col("seq") % 50 == 0, 1_000_000 + F.col("seq")).otherwise(0)
+    rows = dedup.sequenced_dedup(captures(spark, sf_dir)).withColumns({"queued": long_to_bytes(F.col("ts_ms")), "ms": ms, "time": F.timestamp_millis("ts_ms")})
+    sent = populate(rows.withColumns({"payload": F.lit(b""), "enqueue_time": F.col("ts_ms")}), F.col("partition"), key=long_to_bytes("ms"), send_time=F.col("ts_ms"))
+    late = stats.end_to_end_latency("headers", header_long("headers", "CAPQT") + bytes_to_long("key"))
+    return histogram.bucket_counts(sent, late, F.timestamp_millis(header_long("headers", "CAPQT")), interval="6 hours", by=["partition"])
+
+
+@query(_BUCKETS + """, each AS (SELECT part, start_ms, bucket, count(*) AS n FROM binned GROUP BY ALL),
+summed AS (SELECT *, sum(n) OVER (PARTITION BY part, start_ms ORDER BY bucket) AS seen, sum(n) OVER (PARTITION BY part, start_ms) AS total FROM each),
+picked AS (SELECT part, start_ms, total, min(bucket) FILTER (seen >= greatest(1, ceil(total * 0.5))) AS b50, min(bucket) FILTER (seen >= greatest(1, ceil(total * 0.99))) AS b99 FROM summed GROUP BY ALL)
+SELECT part::BIGINT AS partition, start_ms::BIGINT AS start_ms, total::BIGINT AS n,
+  (((b50 - greatest(0, (b50 >> 5) - 1) * 32) << greatest(0, (b50 >> 5) - 1)) + ((b50 + 1 - greatest(0, ((b50 + 1) >> 5) - 1) * 32) << greatest(0, ((b50 + 1) >> 5) - 1)) - 1) / 2 AS p50_ms,
+  (((b99 - greatest(0, (b99 >> 5) - 1) * 32) << greatest(0, (b99 >> 5) - 1)) + ((b99 + 1 - greatest(0, ((b99 + 1) >> 5) - 1) * 32) << greatest(0, ((b99 + 1) >> 5) - 1)) - 1) / 2 AS p99_ms
+FROM picked""")
+def latency_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = histogram.quantiles(histogram.histograms(_latencies(spark, sf_dir), ["partition", "start"]), {"p50_ms": 0.5, "p99_ms": 0.99})
+    return found.select(F.col("partition").cast("bigint").alias("partition"), F.unix_millis("start").alias("start_ms"), "n", "p50_ms", "p99_ms")
+
+
+@query(_BUCKETS + " SELECT part::BIGINT AS partition, bucket, count(*)::BIGINT AS n FROM binned GROUP BY ALL")
+def latency_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    intervals = histogram.histograms(_latencies(spark, sf_dir), ["partition", "start"])
+    return longs(histogram.merged(intervals, ["partition"]).select("partition", F.explode("buckets").alias("b")).select("partition", "b.bucket", "b.n"), "partition", "bucket", "n")
+
+
 def _streamed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The captures as a stream in three runs, merged by the stateful processor; at the end each
     topic says that it is done."""

@@ -40,6 +40,15 @@ COMMITS = "_commits"
 ALL_EVERY = 100  # commits after which one names all segments again
 
 
+def local(path: str) -> str:
+    """The path on a mounted file system; logs lie on no other."""
+    if (at := path.find(":")) > 1 and "/" not in path[:at]:
+        if path[:at] != "file":
+            raise ValueError(f"a log lies on a mounted file system, not on {path[:at]}:")
+        path = "/" + path[at + 1 :].lstrip("/")
+    return path.rstrip("/")
+
+
 class Record(NamedTuple):
     timestamp: int
     key: bytes | None
@@ -333,7 +342,7 @@ def write_segments(path: str, rows: Iterator[Any]) -> Written:
 
 class _Writer(DataSourceWriter):
     def __init__(self, options: dict):
-        self.path, self.run, self.batch = options["path"], options.get("run", "batch"), options.get("batch")
+        self.path, self.run, self.batch = local(options["path"]), options.get("run", "batch"), options.get("batch")
 
     def write(self, iterator: Iterator[Any]) -> Written:
         return write_segments(self.path, iterator)
@@ -380,7 +389,7 @@ def _start(given: str, end: dict[int, int]) -> dict[int, int]:
 
 class _Reader(DataSourceReader):
     def __init__(self, options: dict):
-        self.path, self.begin, self.split = options["path"], options.get("start", "earliest"), int(options.get("split", 1_000_000))
+        self.path, self.begin, self.split = local(options["path"]), options.get("start", "earliest"), int(options.get("split", 1_000_000))
 
     def partitions(self) -> list[_Range]:
         end = ends(self.path)
@@ -403,7 +412,7 @@ class _StreamReader(DataSourceStreamReader):
     restart from a checkpoint takes what there is."""
 
     def __init__(self, options: dict):
-        self.path, self.begin, self.limit = options["path"], options.get("start", "earliest"), int(options.get("limit", 100_000))
+        self.path, self.begin, self.limit = local(options["path"]), options.get("start", "earliest"), int(options.get("limit", 100_000))
         self.reader = _Reader(options)
         self.told: dict[str, int] | None = None
 
@@ -485,8 +494,8 @@ def read_topics(spark: SparkSession, topics: dict[str, str], start: dict[str, di
 
 
 def log_sink(path: str, run: str) -> Callable[[DataFrame, int], None]:
-    """What writes the outbound rows of a micro-batch to a log, once even if the batch is repeated. Rows of a
-    partition keep their order if they are in one task."""
+    """What writes the outbound rows of a micro-batch to a log, once even if the batch is repeated. A
+    partition's rows keep their order within a task and from task to task."""
 
     def put(rows: DataFrame, batch: int) -> None:
         register(rows.sparkSession)

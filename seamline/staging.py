@@ -27,3 +27,13 @@ def staged(df: DataFrame, name: str = "stage") -> DataFrame:
     path = new_folder(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def discard(df: DataFrame) -> None:
+    """Delete a table that :func:`staged` wrote and that nothing reads any more."""
+    spark = df.sparkSession
+    home, jvm = shared_dir(spark).rpartition("/")[2], spark.sparkContext._jvm
+    for folder in {x.rpartition("/")[0] for x in df.inputFiles()}:
+        if folder.split("/")[-2:-1] == [home]:
+            where = jvm.org.apache.hadoop.fs.Path(folder)
+            where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)

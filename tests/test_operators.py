@@ -133,3 +133,25 @@ def test_latency(spark):
         r = stats.latency_histogram(df, stats.end_to_end_latency("headers", F.col("now")), exact=exact).first()
         assert (r["n"], r["min_ms"], r["max_ms"], r["mean_ms"]) == (2, 0, 10, 5.0)
     assert stats.latency_histogram(df, stats.capture_latency("queued", "now")).first()["min_ms"] == -20
+
+
+def test_long_stretches_of_packets(spark):
+    """Stretches in which each packet overlaps the next, equal to the sequencer's decisions."""
+    import random
+
+    from seamline.streaming.core import Sent, Sequencer
+
+    chance = random.Random(6)
+    rows = []
+    for key, n, widest in ((0, 3000, 2), (1, 500, 9), (2, 400, 1), (3, 1, 5)):
+        rows += [(key, s, chance.randint(1, widest), 0, s, s) for s in range(n) if key != 1 or chance.random() < 0.7]
+    rows += [(4, s, 2, 0, s, s) for s in range(0, 5000)]
+    df = spark.createDataFrame(rows, "partition int, seq long, num_seq long, topic_idx int, offset long, arrival long")
+    want = set()
+    for key in range(5):
+        core = Sequencer(1, False, 0, next=min(r[1] for r in rows if r[0] == key))
+        for r in sorted(r for r in rows if r[0] == key):
+            for now in (r[1] * 10, r[1] * 10 + 5):
+                found = core.offer(0, r[1], None, now, r[2])[1] if now % 10 == 0 else core.tick(now)
+                want |= {(key, x.seq) for x in found if isinstance(x, Sent)}
+    assert {(r["partition"], r["seq"]) for r in dedup.packet_dedup(df).select("partition", "seq").collect()} == want
