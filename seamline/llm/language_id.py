@@ -11,7 +11,6 @@ by a hash of the id. All their words and n-grams are kept; what is broadcast is
 from __future__ import annotations
 
 import re
-import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,16 +25,17 @@ from .decontamination import let
 LENGTHS = (4, 3, 2, 1)
 REMEMBERED = 300_000
 WORD = r"\p{L}+"
-#: The same in Python: its word characters without digits, and without numbers of other kinds, which
-#: few texts have.
-_NUMBERS = "".join(c for c in map(chr, range(0x110000)) if unicodedata.category(c) in ("Nl", "No"))
-_NUMBER, _WORD, _WORD_BESIDE = re.compile(f"[{_NUMBERS}]"), re.compile(r"[^\W\d_]+"), re.compile(rf"[^\W\d_{_NUMBERS}]+")
+#: Word characters without digits: letters, and numbers of other kinds.
+_WORD = re.compile(r"[^\W\d_]+")
 SCHEMA = "doc_id long, lang_pred string, score double"
 
 
 def words_of(text: str) -> list[str]:
     """Runs of letters."""
-    return (_WORD if text.isascii() or not _NUMBER.search(text) else _WORD_BESIDE).findall(text)
+    words = _WORD.findall(text)
+    if all(map(str.isalpha, words)):
+        return words
+    return [run for word in words for run in "".join(c if c.isalpha() else " " for c in word).split()]
 
 
 def fold(doc_id: str = "doc_id") -> Column:
