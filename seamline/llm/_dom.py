@@ -9,6 +9,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from dataclasses import dataclass, field
+from functools import lru_cache
 from html import unescape
 
 import numpy as np
@@ -38,6 +39,11 @@ ASIDE_WORDS = re.compile(
     r"comments?|commentlist|respond|replies|disqus|cookies?|consent|gdpr|notices?|popup|modal|newsletter|subscribe|subscription|share|sharing|social|related|recommended|"
     r"widgets?|login|signup|search|toolbar|copyright|[a-z]*(nav|menu|sidebar|footer))$"
 )
+#: Words that say nothing of what a part is: with these around it, a name is still that of the part.
+NEUTRAL = set(
+    "site page main top bottom left right bar box container wrapper wrap list links link section area block button buttons icon icons form slot slots unit units inner outer global primary secondary "
+    "mobile desktop sticky fixed widget post posts article articles entry item items panel column col group holder content text title thread policy dialog overlay toggle row zone blog the my js".split()
+)
 STATES = {"has", "with", "no", "without", "is", "js", "not"}  # a name that starts so tells of a part, it isn't that part
 HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
@@ -59,17 +65,25 @@ class Node:
     holds: frozenset[str] = frozenset()  # which of ``BOUNDS`` are in it
 
 
+@lru_cache(maxsize=100_000)
+def _names_aside(name: str) -> bool:
+    """Whether a whole name is that of a part outside an article: ``related-posts`` is, but not
+    ``related-work``, of which the list knows one word only."""
+    parts = [re.sub(r"[0-9]+$", "", x) for x in re.split("[_-]+", name)]
+    if parts[0] in STATES:
+        return False
+    parts = [x for x in parts if x]
+    known = [bool(ASIDE_WORDS.match(x)) for x in parts]
+    return any(known) and all(k or x in NEUTRAL for k, x in zip(known, parts, strict=True))
+
+
 def _marks(tag: str, rest: str) -> tuple[str, bool]:
     """The label of an element, and whether its attributes mark it as no part of an article."""
     if not rest.strip(" /"):
         return tag, False
     found = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in ATTRIBUTE.finditer(rest)}
     names = f"{found.get('class', '')} {found.get('id', '')}".lower()
-    words = [re.sub(r"[0-9]+$", "", w) for name in names.split() if (parts := re.split("[_-]+", name))[0] not in STATES for w in parts]
-    aside = (
-        any(ASIDE_WORDS.match(w) for w in words if w) or found.get("role", "").lower() in ASIDE_ROLES
-        or "hidden" in found or bool(HIDDEN.search(found.get("style", "")))
-    )
+    aside = any(map(_names_aside, names.split())) or found.get("role", "").lower() in ASIDE_ROLES or "hidden" in found or bool(HIDDEN.search(found.get("style", "")))
     return f"{tag}.{re.sub(r'[0-9]+', '', names)}", aside and tag not in WHOLE or (tag == "article" and bool(re.search(r"\bcomments?\b", names)))
 
 

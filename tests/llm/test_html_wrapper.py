@@ -48,3 +48,13 @@ def test_few_pages_and_other_hosts_are_left_alone(spark):
     pages = [page(r, 20) for _ in range(3)]
     got = found(spark, [(f"h{k}.org", html) for k, (html, _) in enumerate(pages)])
     assert all(template == 0 and "Entry 0" in text for text, template in got)
+
+
+def test_marks_are_whole_names():
+    from seamline.llm._dom import body, parse
+
+    for name in ("related-work", "search-results", "social-history", "header-files-in-c", "share-prices", "menu-of-the-day-recipe"):
+        for html in (f"<article><p>a<section class='{name}'><p>b</section></article>", f"<article><p>a<section id={name}><p>b</section></article>", f"<p>a<div id={name}>b</div>"):
+            assert [n.text for n in body(parse(html))[0]] == ["a", "b"], html
+    for name in ("related-posts", "share-buttons", "site-header", "cookie_banner", "ad-slot-3", "main-nav", "comment-list", "sidebar", "newsletter-form", "social"):
+        assert [n.text for n in body(parse(f"<p>a<div class='{name}'>b</div>"))[0]] == ["a"], name
