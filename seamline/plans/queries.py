@@ -360,7 +360,7 @@ def latency_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
     return longs(histogram.merged(intervals, ["partition"]).select("partition", F.explode("buckets").alias("b")).select("partition", "b.bucket", "b.n"), "partition", "bucket", "n")
 
 
-def _streamed(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _streamed(spark: SparkSession, sf_dir: str, counts: bool = False) -> DataFrame:
     """The captures as a stream in three runs, merged by the stateful processor; at the end each
     topic says that it is done."""
     use_rocksdb(spark)
@@ -371,7 +371,7 @@ def _streamed(spark: SparkSession, sf_dir: str) -> DataFrame:
     first, last = rows.agg(F.min("arrival"), F.max("arrival")).first()
     rows.limit(0).write.parquet(f"{top}/in")
     source = spark.readStream.schema(rows.schema).parquet(f"{top}/in")
-    merged = stream_dedup(source, topics=3, ordered=True, timeout_ms=None)
+    merged = stream_dedup(source, topics=3, ordered=True, timeout_ms=None, counts=counts)
     for k in range(3):  # each part is written, then read by a query that goes on from the last one's checkpoint
         part = rows if first is None else rows.filter(F.floor((F.col("arrival") - first) * 3 / (last - first + 1)) == k)
         (part.unionByName(done) if k == 2 else part).write.mode("append").parquet(f"{top}/in")
@@ -387,3 +387,9 @@ def stream_sequenced_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(_GAPS + " SELECT part::BIGINT AS partition, from_seq, to_seq FROM holes WHERE to_seq >= from_seq")
 def stream_gap_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return longs(_streamed(spark, sf_dir).filter("kind = 'gap'"), "partition", "from_seq", "to_seq")
+
+
+@query("""SELECT part::BIGINT AS partition, count(DISTINCT seq)::BIGINT AS sent, (count(*) - count(DISTINCT seq))::BIGINT AS dropped FROM cap GROUP BY part""")
+def stream_verdict_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _streamed(spark, sf_dir, counts=True)
+    return longs(rows.groupBy("partition").agg(F.count_if(F.col("kind") == "record").alias("sent"), F.coalesce(F.sum("dropped"), F.lit(0)).alias("dropped")), "partition", "sent", "dropped")
