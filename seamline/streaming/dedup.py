@@ -5,7 +5,6 @@ State is kept by the RocksDB provider, so held records may exceed memory.
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
-from typing import Any
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession

@@ -9,7 +9,6 @@ import pytest
 from pyspark.sql import functions as F
 
 from seamline.functions.codec import bytes_to_long, long_to_bytes
-from seamline.functions.headers import header_list, long_header
 from seamline.plans import config
 from seamline.sources import kafka, receivers, spool
 
