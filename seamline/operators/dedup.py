@@ -111,12 +111,12 @@ def gap_agreement(found: DataFrame, records: DataFrame, topics: int, *, keys: Se
     return rows.select(*keys, "from_seq", "to_seq", F.coalesce("topics_at_next", F.lit(0)).cast("bigint").alias("topics_at_next"), past.alias("topics_past"), (past == topics).alias("agreed"))
 
 
-def packet_dedup(records: DataFrame, *, keys: Sequence[str] = KEYS, arrival: Sequence[str] = ARRIVAL, count: str = "num_seq", start: str | DataFrame = "first_arrival") -> DataFrame:
+def packet_dedup(records: DataFrame, *, keys: Sequence[str] = KEYS, arrival: Sequence[str] = ARRIVAL, count: str = "num_seq", start: str | DataFrame = "first_arrival", most_folded: int = 64) -> DataFrame:
     """As :func:`sequenced_dedup` for records that cover ``count`` sequences each: a record that
     starts before the end of the last sent one is dropped, and does not extend what is covered.
 
-    A record that no earlier one reaches over is sent whatever came before. In a stretch of
-    records between two such ones, each has a pointer to the record that would be sent next after
+    A record that no earlier one reaches over is sent whatever came before. A stretch of at most
+    ``most_folded`` records between two such ones is folded in order; in a longer one each has a pointer to the record that would be sent next after
     it, the first that starts at or after its end; those sent are what the pointers reach from the
     stretch's first record. Pointers are doubled, so that a stretch of n records takes log n rounds
     of joins, and none is gathered in one row or task. A null or non-positive count is 1.
@@ -129,9 +129,30 @@ def packet_dedup(records: DataFrame, *, keys: Sequence[str] = KEYS, arrival: Seq
     safe = F.col("__reach").isNull() | (F.col("__reach") <= F.col("__at"))
     rows = running(rows, keys, "__at", F.when(safe, F.col("__at")), "__stretch")
     packets = staged(rows.select(*keys, "__at", "__end", "__stretch"), "packets")
+    sizes = packets.groupBy(*keys, "__stretch").agg(F.count("*").alias("__size")).filter("__size > 1")
     kept = packets.filter("__at = __stretch").select(*keys, "__at")
-    tangled = packets.filter("__at <> __stretch").select(*keys, "__stretch").distinct()
-    tangled = _null_safe(packets, tangled, [*keys, "__stretch"], "left_semi")
+    tangled = _null_safe(packets, sizes, [*keys, "__stretch"], "inner")
+    kept = kept.unionByName(_folded(tangled.filter(F.col("__size") <= most_folded), keys))
+    tangled = tangled.filter(F.col("__size") > most_folded).drop("__size")
+    found = [] if tangled.isEmpty() else _pointed(tangled, keys)
+    for new in found:
+        kept = kept.unionByName(new)
+    return _null_safe(rows, kept, [*keys, "__at"], "left_semi").drop("__at", "__end", "__reach", "__stretch")
+
+
+def _folded(packets: DataFrame, keys: list[str]) -> DataFrame:
+    """Those of short stretches that are sent, but for the first of each: an array for each stretch."""
+    begun = F.struct(F.lit(-(1 << 63)).cast("bigint").alias("end"), F.array().cast("array<bigint>").alias("kept"))
+
+    def step(state: Column, p: Column) -> Column:
+        return F.when(p["__at"] >= state["end"], F.struct(p["__end"].alias("end"), F.concat(state["kept"], F.array(p["__at"])).alias("kept"))).otherwise(state)
+
+    lone = packets.groupBy(*keys, "__stretch").agg(F.sort_array(F.collect_list(F.struct("__at", "__end"))).alias("__packets"))
+    return lone.select(*keys, "__stretch", F.explode(F.aggregate("__packets", begun, step, lambda s: s["kept"])).alias("__at")).filter("__at <> __stretch").select(*keys, "__at")
+
+
+def _pointed(tangled: DataFrame, keys: list[str]) -> list[DataFrame]:
+    """Those of long stretches that are sent, but for the first of each, by rounds of doubled pointers."""
     # the first start at or after each end, looked up among starts and ends in one order
     starts = tangled.select(*keys, F.col("__at").alias("place"), F.col("__at").alias("start"))
     places = starts.unionByName(tangled.select(*keys, F.col("__end").alias("place"), F.lit(None).cast("bigint").alias("start")))
@@ -152,9 +173,7 @@ def packet_dedup(records: DataFrame, *, keys: Sequence[str] = KEYS, arrival: Seq
         double = staged(_null_safe(pointers, further, [*keys, "to"], "inner").select(*keys, "__at", F.col("beyond").alias("to")), "pointers")
         discard(pointers)
         pointers = double
-    for new in found:
-        kept = kept.unionByName(new)
-    return _null_safe(rows, kept, [*keys, "__at"], "left_semi").drop("__at", "__end", "__reach", "__stretch")
+    return found
 
 
 def _null_safe(left: DataFrame, right: DataFrame, names: Sequence[str], how: str) -> DataFrame:
