@@ -16,6 +16,10 @@
    component, and of two components at least one is not the group's largest. So a group of
    near copies is linked through its leaders, and any two texts that are not connected do meet.
    A group with a large share of all members is dealt to pieces, and its leaders go to each.
+   The first turns link near copies, with some pairs a member at most. In groups that are open
+   after that, of texts that share little but a token, members carry a bitmap of their set (about
+   a bit a shingle): two sets differ in as many shingles at least as their bitmaps in bits, so
+   the join leaves out nearly all pairs that can't be similar before any of them is written.
 5. *Verification*, once for a pair: a suffix filter bounds the overlap by the counts of both
    sets in equal ranges of hashes; only what passes has its sets fetched and intersected.
 """
@@ -29,7 +33,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._stage import needed, scratch, staged
@@ -41,6 +45,8 @@ BLOCK, SHARD = 1_000_000, 1_000_000
 RANGES, PAIRS = 64, 256
 #: Leaders of a group in the first turn, and how many times as many all turns so far have in the next.
 LEADERS, MORE = 2, 4
+#: Turns that have had so many leaders are over; pairs of later ones are tested by bitmaps first.
+BARE = 8
 #: A group with more than one in so many of all members is dealt to pieces, none above that share.
 PIECES = 256
 #: Nodes that a broadcast bit table of 8 bits each can hold; more are looked up by a join.
@@ -50,7 +56,7 @@ Work = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
 PROFILE_SCHEMA = "doc_id long, n long, key long, check long"
 PACKED_SCHEMA = "shard long, block long, payload binary"
 POSTING_SCHEMA = "token long, node long, n long, pos long"
-SET_SCHEMA = "node long, n long, ranges array<int>, shingles binary"
+SET_SCHEMA = "node long, n long, ranges array<int>, bitmap array<long>, shingles binary"
 
 
 def _names(schema: str) -> list[str]:
@@ -231,9 +237,26 @@ def prefixes(blocks: DataFrame, percent: int, bits: int, shard_bits: int) -> Dat
     return met.groupBy("block").applyInArrow(finish, POSTING_SCHEMA)
 
 
+def _bitmap(own: np.ndarray) -> np.ndarray:
+    """Which bits an odd number of a set's hashes has as its low ones; the next power of two of bits,
+    64 or more. The halves of a bitmap, one exclusive-or the other, are the bitmap half as long."""
+    length = 1 << max(6, (len(own) - 1).bit_length())
+    odd = np.bincount((own & U64(length - 1)).astype(np.int64), minlength=length).astype(np.uint8) & 1
+    return np.packbits(odd, bitorder="little").view("<i8")
+
+
+def may_reach(p: Column, q: Column, n: Column, m: Column, percent: int) -> Column:
+    """Whether sets of n and m shingles with the bitmaps p and q, whose sizes pass the length filter,
+    may reach the similarity: bits that differ are shingles that only one of them has."""
+    for _ in range((-(-100 // percent) - 1).bit_length()):  # doublings that the length filter leaves
+        p, q = (F.when(F.size(x) > F.size(y), F.zip_with(F.slice(x, 1, F.floor(F.size(x) / 2).cast("int")), F.slice(x, F.floor(F.size(x) / 2).cast("int") + 1, F.size(x)), lambda a, b: a.bitwiseXOR(b))).otherwise(x) for x, y in ((p, q), (q, p)))
+    differ = F.aggregate(F.zip_with(p, q, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda x, y: x + y)
+    return (n + m - differ) * (100 + percent) >= 2 * percent * (n + m)
+
+
 def class_sets(size: int) -> Work:
-    """Makes the sets of documents, with the counts of their hashes in equal ranges. A node that
-    several texts have gets the sets of all."""
+    """Makes the sets of documents, with the counts of their hashes in equal ranges and a bitmap. A
+    node that several texts have gets the sets of all."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         done: set[tuple[int, int, int]] = set()
@@ -246,9 +269,9 @@ def class_sets(size: int) -> Work:
                     if len(own) and key not in done:
                         done.add(key)
                         ranges = np.bincount((own >> U64(64 - RANGES.bit_length() + 1)).astype(np.int64), minlength=RANGES)
-                        rows.append((node, len(own), ranges.astype(np.int32), own.tobytes()))
+                        rows.append((node, len(own), ranges.astype(np.int32), _bitmap(own), own.tobytes()))
                 if rows:
-                    kinds = (pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.binary())
+                    kinds = (pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.binary())
                     yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=_names(SET_SCHEMA))
 
     return run
@@ -344,13 +367,17 @@ def linked(postings: DataFrame, sets: DataFrame, labels: DataFrame, percent: int
         now = staged(now.withColumn("minor", F.col("label") != F.col("main")), "open")
         if now.isEmpty():
             return labels
-        lead = now.filter((F.col("turn") >= first) & (F.col("turn") < last))
+        # a node of several texts meets the bitmaps of all that have the posting's size
+        met = now.join(sets.select("node", "n", "bitmap"), ["node", "n"]) if first >= BARE else now.withColumn("bitmap", F.lit(None).cast("array<bigint>"))
+        lead = met.filter((F.col("turn") >= first) & (F.col("turn") < last))
         lead = lead.withColumn("minor", F.explode(F.when(F.col("minor"), F.array(F.lit(True), F.lit(False))).otherwise(F.array(F.lit(True)))))
-        lead = _each_piece(lead.drop("piece")).select("group", "piece", "minor", F.col("node").alias("other"), F.col("n").alias("m"), F.col("pos").alias("at"), F.col("role").alias("part"), F.col("label").alias("with"))
+        lead = _each_piece(lead.drop("piece")).select("group", "piece", "minor", F.col("node").alias("other"), F.col("n").alias("m"), F.col("pos").alias("at"), F.col("role").alias("part"), F.col("label").alias("with"), F.col("bitmap").alias("bits"))
         short, long = F.least("n", "m"), F.greatest("n", "m")
         room = F.least(F.col("n") - F.col("pos"), F.col("m") - F.col("at"))
         fits = (short * 100 >= long * percent) & (room * (100 + percent) >= (short + long) * percent)
-        pairs = now.join(lead, ["group", "piece", "minor"]).filter((F.col("role") != F.col("part")) & (F.col("label") != F.col("with")) & fits)
+        if first >= BARE:
+            fits &= may_reach(F.col("bitmap"), F.col("bits"), F.col("n"), F.col("m"), percent)
+        pairs = met.join(lead, ["group", "piece", "minor"]).filter((F.col("role") != F.col("part")) & (F.col("label") != F.col("with")) & fits)
         pairs = pairs.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
         pairs = staged(pairs.join(tested, ["a", "b"], "left_anti") if tested else pairs, "pairs")
         tested = tested.unionByName(pairs) if tested else pairs

@@ -44,6 +44,64 @@ def test_groups_of_near_copies(spark, monkeypatch):
     assert len(seen) < 85 * 84 / 4  # and far from all of them
 
 
+def templated(count, seed=8):
+    """Texts of twelve slots with five variants each, a few with a word changed: nearly all pairs share
+    prefix tokens, next to none reach the similarity."""
+    r = random.Random(seed)
+    slots = [[[f"s{k}v{v}w{w}" for w in range(9)] for v in range(5)] for k in range(12)]
+    out = []
+    for i in range(count):
+        own = [w for slot in slots for w in r.choice(slot)]
+        if i % 10 == 9:
+            own = out[-1][1].split(" ")
+            own[r.randrange(len(own))] = f"x{i}"
+        out.append((i, " ".join(own)))
+    return out
+
+
+def test_templated_texts_make_pairs_in_proportion(spark, monkeypatch):
+    sent, before = [], ngram_join.verified
+
+    def counted(pairs, sets, percent):
+        sent.append(pairs.count())
+        return before(pairs, sets, percent)
+
+    monkeypatch.setattr(ngram_join, "verified", counted)
+    totals = []
+    for count in (300, 1200):
+        sent.clear()
+        rows = templated(count)
+        df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+        got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard_components(df).collect()}
+        totals.append(sum(sent))
+        assert got == brute.components(rows)
+    assert totals[1] < 6 * totals[0], totals
+    assert totals[1] < 1200 * 1199 / 2 / 10, totals
+
+
+def test_bitmaps_leave_no_similar_pair_out(spark):
+    """On sets of all kinds of sizes and overlaps, lengths of bitmaps that differ included."""
+    r = np.random.default_rng(5)
+    for percent in (75, 40):
+        rows = []
+        for n in (1, 2, 63, 64, 65, 127, 128, 129, 300, 1000):
+            for share in (0.0, 0.5, 0.8, 0.9, 0.97, 1.0):
+                a = np.unique(r.integers(0, 2**63, n, dtype=np.uint64))
+                extra = np.unique(r.integers(0, 2**63, int(n * r.random() * (100 / percent - 1)), dtype=np.uint64))
+                b = np.union1d(a[: round(share * len(a))], extra)
+                if not len(b) or min(len(a), len(b)) * 100 < max(len(a), len(b)) * percent:
+                    continue
+                common = len(np.intersect1d(a, b))
+                similar = common * 100 >= percent * (len(a) + len(b) - common)
+                rows.append((ngram_join._bitmap(a).tolist(), ngram_join._bitmap(b).tolist(), len(a), len(b), similar, common))
+        df = spark.createDataFrame(rows, "p array<long>, q array<long>, n long, m long, similar boolean, common long")
+        got = df.withColumn("may", ngram_join.may_reach(*(df[c] for c in "pqnm"), percent)).collect()
+        assert sum(x["similar"] for x in got) > 10
+        assert all(x["may"] for x in got if x["similar"])
+        if percent == 75:
+            assert not any(x["may"] for x in got if x["common"] == 0 and x["n"] > 100)
+
+
 def test_many_blocks_and_joined_lookups(spark, monkeypatch):
     """Blocks of a few tokens, and nodes that don't fit a bit table, give the same."""
     monkeypatch.setattr(ngram_join, "BLOCK", 300)
