@@ -39,6 +39,8 @@ FURTHER_QUICK = r"[A-Za-z0-9+/_-]{24}"
 #: A value in more repositories than this is a copied example, however few owners they have. A credential
 #: that a few repositories of one owner share, or that some copies of its document repeat, stays below.
 MAX_REPOSITORIES = 20
+#: Values with more than one of so many spans each, fewer than this, are judged apart.
+HOT = 1000
 SPAN = "struct<start:int,rank:int,end:int,kind:string,value:string>"
 
 
@@ -138,12 +140,20 @@ def _row() -> Column:
 
 
 def _live(held: DataFrame, max_owners: int, max_repositories: int) -> DataFrame:
-    """The live-looking spans (row, start, rank, end, kind, value), by the spread of every value."""
+    """The live-looking spans (row, start, rank, end, kind, value), by the spread of every value.
+    A value with more than one of ``HOT`` of all spans is judged where its spans are, so that no
+    task meets them all; the others are joined by value."""
     spans = F.explode(F.concat("base", "further")).alias("span")
     each = held.select("repository", "owner", spans).select("repository", "owner", F.xxhash64("span.value").alias("hash"))
-    spread = each.groupBy("hash").agg(F.count_distinct("owner").alias("owners"), F.count_distinct("repository").alias("repositories"))
-    live = spread.filter((F.col("owners") <= max_owners) & (F.col("repositories") <= max_repositories)).select("hash")
-    return held.dropDuplicates(["row"]).select("row", spans).select("row", "span.*", F.xxhash64("span.value").alias("hash")).join(live, "hash").drop("hash")
+    spread = each.groupBy("hash").agg(F.count_distinct("owner").alias("owners"), F.count_distinct("repository").alias("repositories"), F.count("*").alias("held"))
+    spread = staged(spread.select("hash", "held", ((F.col("owners") <= max_owners) & (F.col("repositories") <= max_repositories)).alias("live")), "spread")
+    total = spread.agg(F.sum("held")).first()[0] or 0
+    hot = F.broadcast(spread.filter(F.col("held") * HOT > total).select("hash", F.col("live").alias("judged")))  # fewer than HOT rows
+    found = held.dropDuplicates(["row"]).select("row", spans).select("row", "span.*", F.xxhash64("span.value").alias("hash"))
+    found = found.join(hot, "hash", "left").filter(F.coalesce("judged", F.lit(True)))
+    found = found.withColumn("key", F.when(F.col("judged").isNull(), F.col("hash")).otherwise(F.xxhash64("row", "start")))  # judged spans: anywhere
+    single = spread.filter("live").select(F.col("hash").alias("key"), F.lit(True).alias("single"))
+    return found.join(single, "key", "left").filter(F.coalesce("judged", "single", F.lit(False))).drop("key", "hash", "judged", "single")
 
 
 def mask(

@@ -8,6 +8,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
+from seamline.llm import secrets
 from seamline.llm.decontamination import contaminated
 from seamline.llm.html_extraction import extract_text
 from seamline.llm.language_id import identify
@@ -141,8 +142,11 @@ def test_secret_scans(spark, awkward, empty):
     assert mask(awkward).count() == len(brute.AWKWARD)
 
 
-def test_secrets_copied_within_one_source(spark):
-    """Values in many documents of a single source, or without one, are copied examples; those in a few are not."""
+@pytest.mark.parametrize("hot", [0, 4, 1000])
+def test_secrets_copied_within_one_source(spark, monkeypatch, hot):
+    """Values in many documents of a single source, or without one, are copied examples; those in a few are not.
+    No value is judged apart, or some are, or all."""
+    monkeypatch.setattr(secrets, "HOT", hot)
     copied, mixed, orphan = "password=changeme123", "Zx81QpLm04TyUi77AsDfGhJk22Zz", "token=n0s0urce99"
     few = "secret=s3cr3tS3CR3T99"
     docs = [(k, f"see {copied} or {mixed} here" + (f" and {few}" if k < 20 else ""), "hot") for k in range(40)] + [(100 + k, f"see {orphan}", None) for k in range(21)]
