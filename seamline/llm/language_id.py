@@ -5,13 +5,14 @@ back to its character n-grams, from the longest length to the shortest; the firs
 which the model knows any n-gram decides.
 
 The model is fitted on a bounded sample of labelled rows: ``max_rows`` rows in the mean, chosen
-by a hash of the id. All their words and n-grams are kept; what is broadcast is bounded by them.
+by a hash of the id. All their words and n-grams are kept. The model is sparse; its bytes are
+counted, and beyond a bound it isn't broadcast but joined with the words of the texts.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -54,6 +55,12 @@ def bounded_sample(rows: DataFrame, max_rows: int, key: str = "doc_id") -> DataF
     return rows if n <= max_rows else rows.filter(drawn(key, max_rows / n))
 
 
+def grams_of(word: str, k: int) -> Column:
+    """All n-grams of ``k`` characters of a marked word, in order."""
+    chars = F.split(F.concat(F.lit("<"), word, F.lit(">")), "")
+    return let(chars, lambda c: F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(c) - (k - 1))), lambda i: F.array_join(F.slice(c, i, k), "")))
+
+
 def fit(docs: DataFrame, *, max_rows: int = 20_000) -> DataFrame:
     """Counts of words (length 0) and of n-grams for each language: lang, length, item, n, total.
     The model has all of the sample's words and n-grams; only labelled rows are bounded."""
@@ -63,9 +70,8 @@ def fit(docs: DataFrame, *, max_rows: int = 20_000) -> DataFrame:
         .groupBy("lang", "item").agg(F.count("*").alias("n"))
     )
     words = staged(words, "words")
-    chars = F.split(F.concat(F.lit("<"), "item", F.lit(">")), "")
     grams = [
-        words.select("lang", F.lit(k).alias("length"), F.explode(let(chars, lambda c, k=k: F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(c) - (k - 1))), lambda i: F.array_join(F.slice(c, i, k), "")))).alias("item"), "n")
+        words.select("lang", F.lit(k).alias("length"), F.explode(grams_of("item", k)).alias("item"), "n")
         .groupBy("lang", "length", "item").agg(F.sum("n").alias("n"))
         for k in LENGTHS
     ]
@@ -76,47 +82,65 @@ def fit(docs: DataFrame, *, max_rows: int = 20_000) -> DataFrame:
     return counts.join(counts.groupBy("lang", "length").agg(F.sum("n").alias("total")), ["lang", "length"])
 
 
-Tables = dict[int, tuple[pa.Array, np.ndarray]]
+class _Table:
+    """The items of one length, with the log frequencies of the languages that have them; an
+    item that a language lacks has half a count there (``base``)."""
+
+    def __init__(self, items: pa.Array, starts: np.ndarray, langs: np.ndarray, logs: np.ndarray, base: np.ndarray):
+        self.items, self.starts, self.langs, self.logs, self.base = items, starts, langs, logs, base
+
+    def indexed(self) -> dict[str, int]:
+        return dict(zip(self.items.to_pylist(), range(len(self.items)), strict=True))
+
+    def row(self, at: int) -> np.ndarray:
+        row = self.base.copy()
+        of = slice(self.starts[at], self.starts[at + 1])
+        row[self.langs[of]] = self.logs[of]
+        return row
+
 
+def _languages(model: DataFrame) -> tuple[list[str], dict[int, np.ndarray]]:
+    """The languages, and for each length what an item that a language lacks scores there."""
+    totals = {(x["lang"], x["length"]): x["total"] for x in model.select("lang", "length", "total").distinct().collect()}  # languages x lengths
+    langs = sorted({lang for lang, _ in totals})
+    base = {k: np.log(0.5) - np.log([totals.get((lang, k), 1) + 1.0 for lang in langs]) for k in (0, *LENGTHS)}
+    return langs, base
 
-def _tables(counts: pa.Table) -> tuple[list[str], Tables]:
-    """For each length the items and the matrix of their log frequencies by language; an item
-    that a language lacks has half a count there."""
+
+def _tables(counts: pa.Table, langs: list[str], base: dict[int, np.ndarray]) -> dict[int, _Table]:
     counts = counts.combine_chunks()
-    langs = sorted(pc.unique(counts["lang"]).to_pylist())
     column = pc.index_in(counts["lang"], pa.array(langs, pa.string())).to_numpy()
-    length, n, total = (counts[k].to_numpy().astype(np.float64) for k in ("length", "n", "total"))
-    tables: Tables = {}
+    length = counts["length"].to_numpy()
+    logs = np.log(counts["n"].to_numpy()) - np.log(counts["total"].to_numpy() + 1.0)
+    tables = {}
     for k in (0, *LENGTHS):
         own = np.flatnonzero(length == k)
         coded = counts["item"].take(pa.array(own)).combine_chunks().dictionary_encode()
-        row, at = coded.indices.to_numpy(), column[own]
-        floor = np.ones(len(langs))
-        floor[at] = total[own]
-        matrix = np.tile(np.log(0.5) - np.log(floor + 1), (len(coded.dictionary), 1))
-        matrix[row, at] = np.log(n[own]) - np.log(total[own] + 1)
-        tables[k] = coded.dictionary, matrix.astype(np.float32)
-    return langs, tables
+        row = coded.indices.to_numpy()
+        order = np.argsort(row, kind="stable")
+        starts = np.searchsorted(row[order], np.arange(len(coded.dictionary) + 1))
+        tables[k] = _Table(coded.dictionary, starts, column[own][order].astype(np.int32), logs[own][order].astype(np.float32), base[k])
+    return tables
 
 
 class _Scores(dict):
-    """Rows of the score matrix by word; unseen words are scored when they first come."""
+    """Rows of scores by word; unseen words are scored when they first come."""
 
-    def __init__(self, tables: dict[int, tuple[dict[str, int], np.ndarray]], width: int):
+    def __init__(self, tables: dict[int, tuple[dict[str, int], _Table]], width: int):
         super().__init__()
         self.tables, self.rows, self.none = tables, [], np.zeros(width)
 
     def __missing__(self, word: str) -> int:
         found = None
-        items, matrix = self.tables[0]
+        items, table = self.tables[0]
         if word in items:
-            found = matrix[items[word]]
+            found = table.row(items[word])
         marked = f"<{word}>"
         for k in LENGTHS if found is None else ():
-            items, matrix = self.tables[k]
+            items, table = self.tables[k]
             known = [items[g] for i in range(max(1, len(marked) - k + 1)) if (g := marked[i : i + k]) in items]
             if known:
-                found = matrix[known].mean(axis=0)
+                found = sum(map(table.row, known)) / len(known)
                 break
         self[word] = len(self.rows)
         self.rows.append(self.none if found is None else found)
@@ -124,13 +148,14 @@ class _Scores(dict):
 
 
 def predict(docs: DataFrame, model: DataFrame) -> DataFrame:
-    """The language of every whole text, with the posterior of the mean log score of up to 100 words."""
-    langs, tables = _tables(model.toArrow())  # bounded by fit()
-    sent = docs.sparkSession.sparkContext.broadcast((langs, tables))
+    """The language of every whole text, with the posterior of the mean log score of up to 100 words.
+    The model goes to every executor: for models that :func:`identify` has found small."""
+    langs, base = _languages(model)
+    sent = docs.sparkSession.sparkContext.broadcast((langs, _tables(model.toArrow(), langs, base)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         langs, packed = sent.value
-        tables = {k: (dict(zip(items.to_pylist(), range(len(items)), strict=True)), matrix) for k, (items, matrix) in packed.items()}
+        tables = {k: (table.indexed(), table) for k, table in packed.items()}
         scores = _Scores(tables, len(langs))
         for batch in batches:
             best, sure = [], []
@@ -152,9 +177,53 @@ def predict(docs: DataFrame, model: DataFrame) -> DataFrame:
     return needed(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long")).mapInArrow(run, SCHEMA)
 
 
-def identify(docs: DataFrame, *, max_rows: int = 20_000) -> DataFrame:
+def marked(length: int) -> Callable[[Column], Column]:
+    return lambda item: F.struct(F.lit(length).alias("length"), item.alias("item"))
+
+
+def predict_joined(docs: DataFrame, model: DataFrame) -> DataFrame:
+    """As :func:`predict`, for a model of any size: each distinct word is scored once, by joins
+    with the model, and its scores are joined with the texts' counts of words."""
+    langs, base = _languages(model)
+    texts = needed(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), "text", F.monotonically_increasing_id().alias("row"))
+    texts = texts.select("doc_id", "row", F.explode_outer(F.regexp_extract_all(F.lower("text"), F.lit(WORD), F.lit(0))).alias("word"))
+    counted = staged(texts.groupBy("row", "doc_id", "word").agg(F.count("word").alias("n")), "words")
+    if not langs:
+        return counted.select("row", "doc_id").distinct().select("doc_id", F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"))
+
+    lang = F.array_position(F.array(*map(F.lit, langs)), F.col("lang"))
+    log = F.log("n") - F.log(F.col("total") + 1.0)
+    held = model.groupBy("length", "item").agg(F.map_from_entries(F.collect_list(F.struct(lang.alias("lang"), log.alias("log")))).alias("logs"))  # a language each
+    absent = F.create_map(*[x for k, row in base.items() for x in (F.lit(k), F.array(*[F.lit(float(v)) for v in row]))])[F.col("length")]
+    rows = held.select("length", "item", F.transform(absent, lambda b, i: F.coalesce(F.try_element_at("logs", (i + 1).cast("long")), b)).alias("scores"))
+
+    words = counted.filter("word is not null").select("word").distinct()
+    known = rows.filter("length = 0").select(F.col("item").alias("word"), "scores")
+    looked = staged(words.join(known, "word", "left"), "looked-up")
+    grams = F.concat(*[F.transform(grams_of("word", k), marked(k)) for k in LENGTHS])
+    unseen = looked.filter("scores is null").select("word", F.inline(grams)).join(rows.filter("length > 0"), ["length", "item"])
+    means = unseen.groupBy("word", "length").agg(F.array(*[F.avg(F.col("scores")[i]) for i in range(len(langs))]).alias("scores"))
+    backed = means.groupBy("word").agg(F.max_by("scores", "length").alias("scores"))
+    scored = looked.filter("scores is not null").unionByName(backed)
+
+    sums = (
+        counted.join(scored, "word", "left").groupBy("row", "doc_id")
+        .agg(F.sum("n").alias("words"), F.array(*[F.coalesce(F.sum(F.col("n") * F.col("scores")[i]), F.lit(0.0)) for i in range(len(langs))]).alias("sums"))
+    )
+    top = F.array_max("sums")
+    p = F.transform("sums", lambda x: F.exp((x - top) * F.least(F.lit(1.0), 100 / F.col("words"))))
+    best = F.array(*map(F.lit, langs))[(F.array_position("sums", top) - 1).cast("int")]
+    return sums.select(
+        "doc_id",
+        F.when(F.col("words") > 0, best).otherwise("und").alias("lang_pred"),
+        F.when(F.col("words") > 0, 1 / F.aggregate(p, F.lit(0.0), lambda a, x: a + x)).otherwise(0.0).alias("score"),
+    )
+
+
+def identify(docs: DataFrame, *, max_rows: int = 20_000, most_bytes: int = 64 << 20) -> DataFrame:
     """Learn from the text and lang of rows outside fold 1, and predict every row
-    (columns ``doc_id, text, lang``; others are ignored).
+    (columns ``doc_id, text, lang``; others are ignored). A model of up to ``most_bytes`` is
+    broadcast, a larger one joined (long sums may then differ in their last digits).
 
     A null text, or one without letters (numbers such as ½ or Ⅻ are none), gives ``und`` with score 0;
     so does everything if no row can be learnt from. Of languages with one score the first in
@@ -163,5 +232,6 @@ def identify(docs: DataFrame, *, max_rows: int = 20_000) -> DataFrame:
     one; an empty table gives no rows. Returns doc_id, held_out, lang_pred, score.
     """
     model = fit(docs.filter(fold() != 1), max_rows=max_rows)
-    out = predict(docs, model)
+    size = model.agg(F.sum(F.octet_length("item") + 32)).first()[0] or 0
+    out = (predict if size <= most_bytes else predict_joined)(docs, model)
     return out.select("doc_id", (fold() == 1).alias("held_out"), "lang_pred", "score")
