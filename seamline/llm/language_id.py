@@ -5,8 +5,8 @@ back to its character n-grams, from the longest length to the shortest; the firs
 which the model knows any n-gram decides.
 
 The model is fitted on a bounded sample of labelled rows: ``max_rows`` rows in the mean, chosen
-by a hash of the id. All their words and n-grams are kept. The model is sparse; its bytes are
-counted, and beyond a bound it isn't broadcast but joined with the words of the texts.
+by a hash of the id. All their words and n-grams are kept. The bytes of
+the model are counted; beyond a bound it isn't broadcast but joined with the words of the texts.
 """
 
 from __future__ import annotations
@@ -82,23 +82,6 @@ def fit(docs: DataFrame, *, max_rows: int = 20_000) -> DataFrame:
     return counts.join(counts.groupBy("lang", "length").agg(F.sum("n").alias("total")), ["lang", "length"])
 
 
-class _Table:
-    """The items of one length, with the log frequencies of the languages that have them; an
-    item that a language lacks has half a count there (``base``)."""
-
-    def __init__(self, items: pa.Array, starts: np.ndarray, langs: np.ndarray, logs: np.ndarray, base: np.ndarray):
-        self.items, self.starts, self.langs, self.logs, self.base = items, starts, langs, logs, base
-
-    def indexed(self) -> dict[str, int]:
-        return dict(zip(self.items.to_pylist(), range(len(self.items)), strict=True))
-
-    def row(self, at: int) -> np.ndarray:
-        row = self.base.copy()
-        of = slice(self.starts[at], self.starts[at + 1])
-        row[self.langs[of]] = self.logs[of]
-        return row
-
-
 def _languages(model: DataFrame) -> tuple[list[str], dict[int, np.ndarray]]:
     """The languages, and for each length what an item that a language lacks scores there."""
     totals = {(x["lang"], x["length"]): x["total"] for x in model.select("lang", "length", "total").distinct().collect()}  # languages x lengths
@@ -107,40 +90,44 @@ def _languages(model: DataFrame) -> tuple[list[str], dict[int, np.ndarray]]:
     return langs, base
 
 
-def _tables(counts: pa.Table, langs: list[str], base: dict[int, np.ndarray]) -> dict[int, _Table]:
+Tables = dict[int, tuple[pa.Array, np.ndarray]]
+
+
+def _tables(counts: pa.Table, langs: list[str], base: dict[int, np.ndarray]) -> Tables:
+    """For each length the items and the matrix of their log frequencies by language; an item
+    that a language lacks has half a count there (``base``)."""
     counts = counts.combine_chunks()
     column = pc.index_in(counts["lang"], pa.array(langs, pa.string())).to_numpy()
     length = counts["length"].to_numpy()
     logs = np.log(counts["n"].to_numpy()) - np.log(counts["total"].to_numpy() + 1.0)
-    tables = {}
+    tables: Tables = {}
     for k in (0, *LENGTHS):
         own = np.flatnonzero(length == k)
         coded = counts["item"].take(pa.array(own)).combine_chunks().dictionary_encode()
-        row = coded.indices.to_numpy()
-        order = np.argsort(row, kind="stable")
-        starts = np.searchsorted(row[order], np.arange(len(coded.dictionary) + 1))
-        tables[k] = _Table(coded.dictionary, starts, column[own][order].astype(np.int32), logs[own][order].astype(np.float32), base[k])
+        matrix = np.tile(base[k].astype(np.float32), (len(coded.dictionary), 1))
+        matrix[coded.indices.to_numpy(), column[own]] = logs[own]
+        tables[k] = coded.dictionary, matrix
     return tables
 
 
 class _Scores(dict):
-    """Rows of scores by word; unseen words are scored when they first come."""
+    """Rows of the score matrix by word; unseen words are scored when they first come."""
 
-    def __init__(self, tables: dict[int, tuple[dict[str, int], _Table]], width: int):
+    def __init__(self, tables: dict[int, tuple[dict[str, int], np.ndarray]], width: int):
         super().__init__()
         self.tables, self.rows, self.none = tables, [], np.zeros(width)
 
     def __missing__(self, word: str) -> int:
         found = None
-        items, table = self.tables[0]
+        items, matrix = self.tables[0]
         if word in items:
-            found = table.row(items[word])
+            found = matrix[items[word]]
         marked = f"<{word}>"
         for k in LENGTHS if found is None else ():
-            items, table = self.tables[k]
+            items, matrix = self.tables[k]
             known = [items[g] for i in range(max(1, len(marked) - k + 1)) if (g := marked[i : i + k]) in items]
             if known:
-                found = sum(map(table.row, known)) / len(known)
+                found = matrix[known].mean(axis=0)
                 break
         self[word] = len(self.rows)
         self.rows.append(self.none if found is None else found)
@@ -155,7 +142,7 @@ def predict(docs: DataFrame, model: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         langs, packed = sent.value
-        tables = {k: (table.indexed(), table) for k, table in packed.items()}
+        tables = {k: (dict(zip(items.to_pylist(), range(len(items)), strict=True)), matrix) for k, (items, matrix) in packed.items()}
         scores = _Scores(tables, len(langs))
         for batch in batches:
             best, sure = [], []
@@ -232,6 +219,8 @@ def identify(docs: DataFrame, *, max_rows: int = 20_000, most_bytes: int = 64 <<
     one; an empty table gives no rows. Returns doc_id, held_out, lang_pred, score.
     """
     model = fit(docs.filter(fold() != 1), max_rows=max_rows)
-    size = model.agg(F.sum(F.octet_length("item") + 32)).first()[0] or 0
+    items = model.groupBy("length", "item").agg(F.count("*").alias("n"))
+    row = F.octet_length("item") + 32 + 4 * F.lit(model.agg(F.count_distinct("lang")).first()[0])  # a row of the matrix that is sent
+    size = items.agg(F.sum(F.greatest(row, 32 * F.col("n")))).first()[0] or 0  # or, if larger, of the counts it is made from
     out = (predict if size <= most_bytes else predict_joined)(docs, model)
     return out.select("doc_id", (fold() == 1).alias("held_out"), "lang_pred", "score")
