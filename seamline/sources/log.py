@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, DataSourceStreamWriter, DataSourceWriter, InputPartition, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, DataSourceStreamReader, DataSourceStreamWriter, DataSourceWriter, InputPartition, WriterCommitMessage
 from pyspark.sql.types import StructType
 
 NAME = "seamline_log"
@@ -316,28 +316,53 @@ class Written(WriterCommitMessage):
     files: list[tuple[int, str, int]]
 
 
+def frames_of(batch: pa.RecordBatch) -> Iterator[tuple[int, bytes]]:
+    """The rows of a batch, each with its partition and as a frame."""
+    now, names = time.time_ns() // 1_000_000, batch.schema.names
+    times = batch.column("timestamp").to_pylist() if "timestamp" in names else [None] * len(batch)
+    headers = batch.column("headers")
+    valid, ends = headers.is_valid().to_pylist(), headers.offsets.to_pylist()
+    known: dict[str, bytes] = {}
+    flat = []  # of each header, its name and value
+    for name, value in zip(*(headers.values.field(k).to_pylist() for k in (0, 1)), strict=True):
+        if name not in known:
+            known[name] = _part(name.encode())
+        flat.append(known[name] + _part(value))
+    for k, (partition, at, key, value) in enumerate(zip(batch.column("partition").to_pylist(), times, batch.column("key").to_pylist(), batch.column("value").to_pylist(), strict=True)):
+        own = flat[ends[k] : ends[k + 1]] if valid[k] else []
+        yield partition, frame(b"".join([struct.pack("<q", at or now), _part(key), _part(value), struct.pack("<i", len(own) if valid[k] else -1), *own]))
+
+
+def _frames(rows: Iterator[Any]) -> Iterator[tuple[int, bytes]]:
+    for row in rows:
+        headers = row["headers"]
+        yield row["partition"], frame(encode(Record(getattr(row, "timestamp", None) or time.time_ns() // 1_000_000, row["key"], row["value"], None if headers is None else [(h["key"], h["value"]) for h in headers])))
+
+
 def write_segments(path: str, rows: Iterator[Any]) -> Written:
     """Write a task's rows as segments, one for each partition, on disk when this returns."""
-    files: dict[int, tuple[str, Any, list[tuple[int, int]], int]] = {}
-    for row in rows:
-        partition = row["partition"]
+    return write_frames(path, _frames(rows))
+
+
+def write_frames(path: str, frames: Iterable[tuple[int, bytes]]) -> Written:
+    files: dict[int, tuple[str, Any, list[tuple[int, int]], list[int]]] = {}
+    for partition, data in frames:
         if partition not in files:
             name = f"{partition}/{uuid.uuid4().hex}.log"
             os.makedirs(f"{path}/{partition}", exist_ok=True)
-            files[partition] = name, open(f"{path}/{name}", "wb"), [], 0  # noqa: SIM115
-        name, file, index, count = files[partition]
-        if count and count % INDEX_EVERY == 0:
-            index.append((count, file.tell()))
-        headers = row["headers"]
-        file.write(frame(encode(Record(getattr(row, "timestamp", None) or time.time_ns() // 1_000_000, row["key"], row["value"], None if headers is None else [(h["key"], h["value"]) for h in headers]))))
-        files[partition] = name, file, index, count + 1
+            files[partition] = name, open(f"{path}/{name}", "wb"), [], [0]  # noqa: SIM115
+        _, file, index, count = files[partition]
+        if count[0] and count[0] % INDEX_EVERY == 0:
+            index.append((count[0], file.tell()))
+        file.write(data)
+        count[0] += 1
     for name, file, index, _ in files.values():
         file.flush()
         os.fsync(file.fileno())
         file.close()
         Path(f"{path}/{name}.idx").write_bytes(b"".join(_ENTRY.pack(*x) for x in index))
     context = TaskContext.get()
-    return Written(context.partitionId() if context else 0, [(p, name, count) for p, (name, _, _, count) in files.items()])
+    return Written(context.partitionId() if context else 0, [(p, name, count[0]) for p, (name, _, _, count) in files.items()])
 
 
 class _Writer(DataSourceWriter):
@@ -361,6 +386,11 @@ class _Writer(DataSourceWriter):
                     os.remove(x)
 
 
+class _BatchWriter(_Writer, DataSourceArrowWriter):
+    def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
+        return write_frames(self.path, (x for batch in iterator for x in frames_of(batch)))
+
+
 class _StreamWriter(_Writer, DataSourceStreamWriter):
     def commit(self, messages: list[Written | None], batchId: int) -> None:  # noqa: N803
         commit_segments(self.path, self.run, batchId, self._added(messages))
@@ -458,7 +488,7 @@ class LogDataSource(DataSource):
     def writer(self, schema: StructType, overwrite: bool) -> _Writer:
         if overwrite:
             raise ValueError("a log is only appended to")
-        return _Writer(self.options)
+        return _BatchWriter(self.options)
 
     def streamWriter(self, schema: StructType, overwrite: bool) -> _StreamWriter:  # noqa: N802
         return _StreamWriter(self.options)

@@ -252,3 +252,29 @@ def test_a_capture_from_end_to_end(spark, tmp_path):
     assert sorted(bytes(r["value"]) for r in found) == [b"M%d%d" % (run, k) for run in range(2) for k in range(5)]
     assert all(r["partition"] == 3 and 0 < r["queued"] <= r["sent"] for r in found)
     assert json.loads((tmp_path / "topic" / "_commits" / "00000000000000000000.json").read_text())["run"] == "t"
+
+
+def test_batches_are_framed_as_their_rows():
+    import pyarrow as pa
+
+    rows = [
+        {"partition": 0, "timestamp": 5, "key": b"k", "value": None, "headers": None}, {"partition": 1, "timestamp": 6, "key": None, "value": b"", "headers": []},
+        {"partition": 0, "timestamp": 7, "key": b"", "value": b"v", "headers": [{"key": "a", "value": b"x"}, {"key": "b", "value": None}]},
+    ]
+    batch = pa.RecordBatch.from_pylist(rows, schema=log._FIELDS)
+    for part, want in ((batch, rows), (batch.slice(1), rows[1:])):
+        pairs = [(r["partition"], log.frame(log.encode(log.Record(r["timestamp"], r["key"], r["value"], None if r["headers"] is None else [(h["key"], h["value"]) for h in r["headers"]])))) for r in want]
+        assert list(log.frames_of(part)) == pairs
+
+
+def test_the_sent_rows_are_computed_once(spark, sf_dir, monkeypatch):
+    from seamline.plans import queries
+
+    given = []
+    staged = queries.staged
+    monkeypatch.setattr(queries, "staged", lambda df, name: given.append(name) or staged(df, name))
+    written = []
+    sink = log.log_sink
+    monkeypatch.setattr(queries.log, "log_sink", lambda path, run: lambda rows, n: written.append(any("events" in f for f in rows.inputFiles())) or sink(path, run)(rows, n))
+    queries._logged(spark, sf_dir)
+    assert given == ["sent"] and written == [False] * 3
