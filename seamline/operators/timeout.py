@@ -175,7 +175,7 @@ def timeout_dedup(records: DataFrame, timeout_ms: int, **given) -> DataFrame:
     from .dedup import sequenced_dedup
 
     keys = list(given.get("keys", KEYS))
-    sent = sequenced_dedup(records, keys=keys, arrival=given.get("arrival", ARRIVAL))
+    sent = (given.get("stage") or staged)(sequenced_dedup(records, keys=keys, arrival=given.get("arrival", ARRIVAL)))  # read three times
     holes, _ = timeout_holes(records, timeout_ms, **given)
     gone = skipped_copies(sent, holes, keys, given.get("time", "arrival")).select(*keys, "seq").distinct()
     return _joined(sent, gone, [*keys, "seq"], "left_anti")

@@ -1,0 +1,12 @@
+"""Results that rest on first copies written once, not on the captures computed again."""
+
+import pytest
+
+from seamline.plans import queries
+
+
+@pytest.mark.parametrize("name", ["multi_sequence_dedup", "gap_timeout_dedup"])
+def test_the_first_copies_are_written_once(spark, sf_dir, name):
+    found = queries.QUERIES[name](spark, sf_dir)
+    assert not any("events" in f for f in found.inputFiles())
+    assert found.count()
